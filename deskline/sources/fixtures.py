@@ -228,7 +228,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return views(spark, sf_dir, name)[name]
 
 
-def with_views(names: list[str], body: str) -> str:
-    """DuckDB oracle text: the needed views as CTEs ahead of ``body``."""
+def with_views(names: list[str], body: str, recursive: bool = False) -> str:
+    """DuckDB oracle text: the needed views as CTEs ahead of ``body``.
+
+    ``body`` either starts with ``SELECT`` or continues the CTE list with ``, name AS (...)``.
+    """
     ctes = ",\n".join(f"{v} AS ({VIEWS[v][1].strip()})" for v in view_order(names))
-    return f"WITH {ctes}\n{body.strip()}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body.strip()}"
