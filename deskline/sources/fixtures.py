@@ -234,4 +234,9 @@ def with_views(names: list[str], body: str, recursive: bool = False) -> str:
     ``body`` either starts with ``SELECT`` or continues the CTE list with ``, name AS (...)``.
     """
     ctes = ",\n".join(f"{v} AS ({VIEWS[v][1].strip()})" for v in view_order(names))
-    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body.strip()}"
+    body = body.strip()
+    if not ctes:
+        if not body.startswith(","):
+            return body
+        body = body[1:].lstrip()
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
