@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskline.functions import parse_iso
-from deskline.operators.upsert import upsert
+from deskline.operators.upsert import load_new, upsert
 from deskline.sources.schemas import CONTRACT_UNIT_COLS, TIME_ENTRY_COLS
 
 
@@ -89,17 +89,26 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
     return ok, bad, counts
 
 
-def upsert_units(target: DataFrame, batch: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """ContractUnits on ``id``; every other column is updated, last arrival wins."""
+def upsert_units(target: DataFrame, batch: DataFrame, order_by: Sequence[str],
+                 target_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """ContractUnits on ``id``; every other column is updated, last arrival wins.
+
+    ``target_empty`` (first load) skips the join: the result is the batch's dedupe.
+    """
+    if target_empty:
+        return load_new(target, batch, ["id"], order_by)
     return upsert(target, batch, ["id"], order_by)
 
 
-def upsert_time_entries(target: DataFrame, batch: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def upsert_time_entries(target: DataFrame, batch: DataFrame, order_by: Sequence[str],
+                        target_empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """TimeEntries on ``id``; every other column is updated, last arrival wins.
 
     Arrival order, not ``lastModifiedDateTime``: an older modification arriving later overwrites a
     newer one (no late-data check), as in the row-by-row MERGE.
     """
+    if target_empty:
+        return load_new(target, batch, ["id"], order_by)
     return upsert(target, batch, ["id"], order_by)
 
 

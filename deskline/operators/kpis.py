@@ -116,6 +116,12 @@ def weekly_response_resolution(tickets: DataFrame, resources: DataFrame, as_of)
         start.alias("weekStartDate"), end.alias("weekEndDate"))
 
 
+def week_filter(col: str, as_of) -> Column:
+    """``col BETWEEN week start AND week end`` with date bounds."""
+    start, end = week_start(_ts(as_of)), week_end(_ts(as_of))
+    return F.col(col).between(start.cast("timestamp_ntz"), end.cast("timestamp_ntz"))
+
+
 def weekly_utilization(entries: DataFrame, resources: DataFrame, as_of,
                        base_hours: float = UTILIZATION_BASE_HOURS) -> DataFrame:
     """K6: hours worked per creator for the week of ``as_of``; percentage of ``base_hours``.
@@ -123,7 +129,7 @@ def weekly_utilization(entries: DataFrame, resources: DataFrame, as_of,
     Grouped by (email, creatorUserID) -- the creator, not the resource, is the id.
     """
     start, end = week_start(_ts(as_of)), week_end(_ts(as_of))
-    t = entries.filter(F.col("dateWorked").between(start.cast("timestamp_ntz"), end.cast("timestamp_ntz")))
+    t = entries.filter(week_filter("dateWorked", as_of))
     r = resources.select(F.col("id").alias("_rid"), F.col("email"))
     j = t.join(r, t["creatorUserID"] == r["_rid"], "left")
     g = j.groupBy("email", "creatorUserID").agg(

@@ -64,18 +64,23 @@ def ticket_weight(df: DataFrame, as_of, priority_weights=PRIORITY_WEIGHTS, statu
                   pairs=SLA_PAIRS) -> DataFrame:
     """Priority points + status points + penalty per SLA not met + points per whole day of age.
 
-    Adds ``sla_results`` (T5), ``sla_missed`` and ``weight``. A null create date adds no age points;
+    Adds ``sla_missed`` and ``weight`` (a pair counts as met exactly when T5 says so). A null create date adds no age points;
     whole days are floored, so tickets created after ``as_of`` lose points, as in the source rule.
     """
     now = as_of_col(as_of)
-    with_sla = df if "sla_results" in df.columns else sla_results(df, now, pairs)
-    missed = F.size(F.filter("sla_results", lambda x: ~x["sla_met"]))
+    # Only the met flags matter for the score: count misses from the stamps directly, without
+    # building the display strings of the SLA structs.
+    missed = None
+    for met_c, due_c, _ in pairs:
+        met, due = ltz(met_c), ltz(due_c)
+        miss = F.when(due.isNotNull() & met.isNotNull() & (met <= due), 0).otherwise(1)
+        missed = miss if missed is None else missed + miss
     age_days = F.floor((F.unix_micros(now) - F.unix_micros(ltz("createDate"))) / F.lit(86_400_000_000))
     weight = (lookup("priority", priority_weights, PRIORITY_DEFAULT_WEIGHT)
               + lookup("status", status_weights, STATUS_DEFAULT_WEIGHT)
               + missed * miss_penalty
               + F.coalesce(age_days * day_points, F.lit(0)))
-    return (with_sla.withColumn("sla_missed", missed.cast("bigint"))
+    return (df.withColumn("sla_missed", missed.cast("bigint"))
             .withColumn("weight", weight.cast("bigint")))
 
 

@@ -42,6 +42,28 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     return out.select(*cols).select(*[c for c in df.columns] + ([count_col] if count_col else []))
 
 
+def latest_rows(feed: DataFrame, keys: Sequence[str], order_by: Sequence[str], columns: Sequence[str],
+                where: Column | None = None) -> DataFrame:
+    """The current table a feed upserts into (last arrival per key), narrowed to ``columns`` and,
+    optionally, to the rows satisfying the row predicate ``where``.
+
+    With ``where``, only keys that have *some* feed row satisfying it are deduplicated (a
+    ``left_semi`` join against those keys): a key whose latest row satisfies ``where`` always has
+    such a row, so the result is exact while the wide aggregate only sees candidate keys. The
+    semi join is a broadcast only when AQE measures the key set small.
+    """
+    keys = list(keys)
+    cols = list(dict.fromkeys(keys + list(columns) + list(order_by)))
+    rows = feed.select(*cols)
+    if where is not None:
+        cand = rows.filter(where).select(*keys).distinct()
+        rows = rows.join(cand, keys, "left_semi")
+    out = dedupe_last(rows, keys, order_by)
+    if where is not None:
+        out = out.filter(where)
+    return out.select(*keys, *[c for c in columns if c not in keys])
+
+
 def split_null_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with every key set, rows with a null key)."""
     ok = None
@@ -51,6 +73,33 @@ def split_null_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Data
     return df.filter(ok), df.filter(~ok)
 
 
+def load_new(table: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str],
+             insert_cols: Sequence[str] | None = None, first_cols: Sequence[str] = (), stamp: Column | None = None,
+             stamp_col: str = "LastUpdated", stamp_when_repeated: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``upsert`` into an *empty* ``table`` (only its schema is used): one dedupe aggregate, no join.
+
+    Same result as ``upsert(empty, source, ...)``: columns the source lacks (or outside
+    ``insert_cols``) are null; ``stamp_col`` is set only by the repeated-rows rule.
+    """
+    keys = list(keys)
+    columns = table.columns
+    data_cols = [c for c in columns if c not in keys and c != stamp_col]
+    insert_cols = list(insert_cols if insert_cols is not None else data_cols)
+    src_ok, rejects = split_null_keys(source, keys)
+    src_cols = [c for c in source.columns if c in columns or c in order_by]
+    src = dedupe_last(src_ok.select(*src_cols), keys, order_by, first_cols, count_col="_n")
+    cols = []
+    for c in columns:
+        if c == stamp_col and stamp is not None:
+            v = F.when(F.col("_n") > 1, stamp) if stamp_when_repeated else F.lit(None)
+        elif c in keys or (c in insert_cols and c in src.columns):
+            v = F.col(c)
+        else:
+            v = F.lit(None)
+        cols.append(v.cast(table.schema[c].dataType).alias(c))
+    return src.select(*cols), rejects
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str],
            update_cols: Sequence[str] | None = None, insert_cols: Sequence[str] | None = None,
            first_cols: Sequence[str] = (), stamp: Column | None = None, stamp_col: str = "LastUpdated",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from deskline.operators import contracts as R
 from deskline.operators import ingest as I
-from deskline.operators.upsert import empty_like
+from deskline.operators.upsert import empty_like, latest_rows
 from deskline.plans.registry import register
 from deskline.plans.sqlbits import DESK
 from deskline.session import ensure_session
@@ -36,22 +36,35 @@ def unit_runs(spark, sf_dir):
     table = empty_like(rows.select(*CONTRACT_UNIT_COLS))
     old = rows.filter(F.col("startDate") < F.lit(FEED_CUTOFF).cast("timestamp_ntz"))
     new = rows.filter(~(F.col("startDate") < F.lit(FEED_CUTOFF).cast("timestamp_ntz")))
-    run1, _ = I.upsert_units(table, old, ARRIVAL_COLS)
+    run1, _ = I.upsert_units(table, old, ARRIVAL_COLS, target_empty=True)
     run2, _ = I.upsert_units(run1, new, ARRIVAL_COLS)
     return run1, run2
 
 
+def units_current(spark, sf_dir):
+    """ContractUnits holding the whole feed (same rows as both runs, one dedupe)."""
+    rows = I.normalize_units(_v(spark, sf_dir, "contract_unit_rows")["contract_unit_rows"])
+    return I.upsert_units(empty_like(rows.select(*CONTRACT_UNIT_COLS)), rows, ARRIVAL_COLS, target_empty=True)[0]
+
+
 def time_entries_table(spark, sf_dir, as_of=AS_OF_DESK):
     """TimeEntries after both runs of the time-entry feed."""
     rows = I.normalize_time_entries(_v(spark, sf_dir, "time_entry_rows")["time_entry_rows"], as_of)
     table = empty_like(rows.select(*TIME_ENTRY_COLS))
     old = rows.filter(F.col("dateWorked") < F.lit(FEED_CUTOFF).cast("timestamp_ntz"))
     new = rows.filter(~(F.col("dateWorked") < F.lit(FEED_CUTOFF).cast("timestamp_ntz")))
-    run1, _ = I.upsert_time_entries(table, old, ARRIVAL_COLS)
+    run1, _ = I.upsert_time_entries(table, old, ARRIVAL_COLS, target_empty=True)
     run2, _ = I.upsert_time_entries(run1, new, ARRIVAL_COLS)
     return run2
 
 
+def time_entries_current(spark, sf_dir, as_of=AS_OF_DESK, columns=TIME_ENTRY_COLS, where=None):
+    """TimeEntries holding the whole feed (same rows as both runs), narrowed to ``columns`` and
+    the rows matching ``where`` (see ``latest_rows``)."""
+    rows = I.normalize_time_entries(_v(spark, sf_dir, "time_entry_rows")["time_entry_rows"], as_of)
+    return latest_rows(rows, ["id"], ARRIVAL_COLS, columns, where)
+
+
 def summary_source(spark, sf_dir, units):
     v = _v(spark, sf_dir, "contracts", "clients", "contract_services")
     return R.contract_summary(v["contracts"], v["clients"], v["contract_services"], units)
@@ -59,9 +72,8 @@ def summary_source(spark, sf_dir, units):
 
 def summary_table(spark, sf_dir):
     """ContractSummary after one U4 run over the full ContractUnits table."""
-    _, units = unit_runs(spark, sf_dir)
-    src = summary_source(spark, sf_dir, units)
-    snap, _ = R.upsert_contract_summary(R.summary_table_schema(src), src, AS_OF_DESK)
+    src = summary_source(spark, sf_dir, units_current(spark, sf_dir))
+    snap, _ = R.upsert_contract_summary(R.summary_table_schema(src), src, AS_OF_DESK, target_empty=True)
     return snap
 
 
@@ -173,8 +185,7 @@ def upsert_time_entries(spark, sf_dir):
 @register("contract_summary", with_views(_CONTRACT_VIEWS, _CU + _src("cu", "src") + "SELECT * FROM src"))
 def contract_summary(spark, sf_dir):
     """R1 over the full ContractUnits table (every covering unit row, before the U4 dedupe)."""
-    _, units = unit_runs(spark, sf_dir)
-    return summary_source(spark, sf_dir, units)
+    return summary_source(spark, sf_dir, units_current(spark, sf_dir))
 
 
 @register("upsert_contract_summary", with_views(_CONTRACT_VIEWS, _CU + _CU_OLD + _src("cu", "src")
@@ -190,7 +201,7 @@ def upsert_contract_summary(spark, sf_dir):
     units1, units2 = unit_runs(spark, sf_dir)
     src1 = summary_source(spark, sf_dir, units1)
     src2 = summary_source(spark, sf_dir, units2)
-    snap1, _ = R.upsert_contract_summary(R.summary_table_schema(src1), src1, AS_OF_DESK)
+    snap1, _ = R.upsert_contract_summary(R.summary_table_schema(src1), src1, AS_OF_DESK, target_empty=True)
     snap2, _ = R.upsert_contract_summary(snap1, src2, AS_OF_DESK)
     return snap2
 
@@ -228,5 +239,5 @@ FROM rwt GROUP BY ClientID, ContractID, RevenueMonth
 def upsert_client_month(spark, sf_dir):
     """U5 into an empty ClientMonthlySummary (R9's store step)."""
     rows = revenue_rows(spark, sf_dir)
-    snap, _ = R.upsert_client_month(R.client_month_table(rows), rows, AS_OF_DESK)
+    snap, _ = R.upsert_client_month(R.client_month_table(rows), rows, AS_OF_DESK, target_empty=True)
     return snap

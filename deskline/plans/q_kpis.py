@@ -6,13 +6,19 @@ from pyspark.sql import functions as F
 
 from deskline import constants as K
 from deskline.operators import kpis as KP
-from deskline.plans.q_contracts import _ARR_DESC, time_entries_table
+from deskline.plans.q_contracts import _ARR_DESC, time_entries_current
 from deskline.plans.registry import register
 from deskline.plans.sqlbits import DESK, EVENTS, in_list
 from deskline.session import ensure_session
 from deskline.sources.fixtures import AS_OF_DESK, AS_OF_EVENTS, AS_OF_SUNDAY, views, with_views
 
 
+def _week_entries(spark, sf_dir, as_of=AS_OF_DESK):
+    """The TimeEntries rows K6 reads: the week's rows of the current table, three columns."""
+    return time_entries_current(spark, sf_dir, columns=["creatorUserID", "dateWorked", "hoursWorked"],
+                                where=KP.week_filter("dateWorked", as_of))
+
+
 def _v(spark, sf_dir, *names):
     ensure_session(spark)
     return views(spark, sf_dir, *names)
@@ -126,7 +132,7 @@ GROUP BY r.email, t.creatorUserID
 def weekly_utilization(spark, sf_dir):
     """K6 over the TimeEntries table (after the feed upserts)."""
     v = _v(spark, sf_dir, "resources")
-    return KP.weekly_utilization(time_entries_table(spark, sf_dir), v["resources"], AS_OF_DESK)
+    return KP.weekly_utilization(_week_entries(spark, sf_dir), v["resources"], AS_OF_DESK)
 
 
 @register("upsert_utilization", with_views(["time_entry_rows", "resources"], _TE
@@ -143,7 +149,7 @@ FROM old o FULL OUTER JOIN new n ON o.user_id = n.user_id AND o.weekStartDate =
 def upsert_utilization(spark, sf_dir):
     """The week's figures from the days before ``as_of`` are stored, then the full week is upserted."""
     v = _v(spark, sf_dir, "resources")
-    entries = time_entries_table(spark, sf_dir)
+    entries = _week_entries(spark, sf_dir)
     cut = F.lit(AS_OF_DESK).cast("timestamp_ntz").cast("date").cast("timestamp_ntz")
     old = KP.utilization_rows(KP.weekly_utilization(entries.filter(F.col("dateWorked") < cut), v["resources"], AS_OF_DESK))
     snap, _ = KP.upsert_utilization(old, KP.weekly_utilization(entries, v["resources"], AS_OF_DESK))
@@ -153,7 +159,7 @@ def upsert_utilization(spark, sf_dir):
 def _registry(spark, sf_dir):
     team = _team(spark, sf_dir)
     v = _v(spark, sf_dir, "tickets", "resources")
-    indiv = KP.individual_kpis(KP.weekly_utilization(time_entries_table(spark, sf_dir), v["resources"], AS_OF_DESK),
+    indiv = KP.individual_kpis(KP.weekly_utilization(_week_entries(spark, sf_dir), v["resources"], AS_OF_DESK),
                                KP.weekly_response_resolution(v["tickets"], v["resources"], AS_OF_DESK))
     rows = team.withColumn("resource_id", F.lit(None).cast("bigint")).unionByName(indiv)
     empty = spark.createDataFrame([], "id bigint, name string, description string, category string, type string")

@@ -21,8 +21,9 @@ def _tickets(spark, sf_dir):
     return view(spark, sf_dir, "tickets")
 
 
-def _weighted(spark, sf_dir):
-    return T.ticket_weight(T.exclude_queues(_tickets(spark, sf_dir)), AS_OF_DESK)
+def _weighted(spark, sf_dir, cols=("id", "companyID", "assignedResourceID", "title", "priority", "status")):
+    w = T.ticket_weight(T.exclude_queues(_tickets(spark, sf_dir)), AS_OF_DESK)
+    return w.select(*cols, "sla_missed", "weight")
 
 
 # --- T5-T7, T10, T14: the next-ticket job -------------------------------------------------------

@@ -202,26 +202,38 @@ def view_order(names: list[str]) -> list[str]:
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table (I10). Stamps arrive as zone-less ``timestamp_ntz``."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _cached(spark, sf_dir, name, lambda: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+# Built DataFrames (plans only, no data) per Spark application and data folder: reading Parquet
+# footers and analysing the view SQL once instead of on every query build.
+_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def _cached(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    cache = _CACHE.setdefault((spark.sparkContext.applicationId, sf_dir.rstrip("/")), {})
+    if name not in cache:
+        cache[name] = build()
+    return cache[name]
+
+
+def _bases(view_name: str) -> list[str]:
+    sql = VIEWS[view_name][1]
+    return [t for t in BASE_TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)]
 
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    """Register the base tables the views read, build the views, and return them by name."""
-    needed = view_order(list(names))
-    bases = {t for t in names if t in BASE_TABLES}
-    for v in needed:
-        bases |= {t for t in BASE_TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", VIEWS[v][1])}
-    for t in sorted(bases):
-        load_table(spark, sf_dir, t).createOrReplaceTempView(t)
-    out: dict[str, DataFrame] = {}
-    for v in needed:
-        df = spark.sql(VIEWS[v][1])
-        df.createOrReplaceTempView(v)
-        out[v] = df
-    for t in names:
-        if t in BASE_TABLES:
-            out[t] = spark.table(t)
-    return out
+    """The named views (and base tables), built from ``sf_dir`` with their dependencies."""
+    for v in view_order(list(names)):
+        def build(v=v):
+            for t in _bases(v):
+                load_table(spark, sf_dir, t).createOrReplaceTempView(t)
+            for dep in VIEWS[v][0]:
+                views(spark, sf_dir, dep)[dep].createOrReplaceTempView(dep)
+            return spark.sql(VIEWS[v][1])
+        _cached(spark, sf_dir, v, build)
+    return {n: (load_table(spark, sf_dir, n) if n in BASE_TABLES else _cached(spark, sf_dir, n, None))
+            for n in names}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -99,6 +99,7 @@ def session():
     return (SparkSession.builder.master("local[8]").appName("deskline-check")
             .config("spark.sql.shuffle.partitions", "8")
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "8g")
             .config("spark.sql.session.timeZone", "UTC")
             .getOrCreate())
