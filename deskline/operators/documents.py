@@ -45,9 +45,20 @@ def document_text(pages: DataFrame, doc: str = "doc_id", page: str = "page_no",
 
 
 # --- N2 -----------------------------------------------------------------------------------------
+RARE_BREAKS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+
+
 def split_lines(text) -> Column:
-    """``str.splitlines()``: split on line boundaries, no trailing empty line; '' -> []."""
-    parts = F.split(_c(text), LINE_BREAK, -1)
+    """``str.splitlines()``: split on line boundaries, no trailing empty line; '' -> [].
+
+    Texts holding only '\n' breaks take Java's literal single-character split; the full boundary
+    regex runs only on texts that contain one of the rarer breaks (byte searches decide).
+    """
+    t = _c(text)
+    rare = None
+    for ch in RARE_BREAKS:
+        rare = t.contains(ch) if rare is None else rare | t.contains(ch)
+    parts = F.when(rare, F.split(t, LINE_BREAK, -1)).otherwise(F.split(t, "\n", -1))
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 

@@ -23,23 +23,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _q(c: str) -> str:
+    return f"`{c}`"
+
+
+def _struct(cols: Sequence[str]) -> str:
+    return "struct(" + ", ".join(_q(c) for c in cols) + ")"
+
+
 def dedupe_last(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
                 first_cols: Sequence[str] = (), count_col: str | None = None) -> DataFrame:
-    """One row per key: the last row in ``order_by`` (first row for ``first_cols``)."""
+    """One row per key: the last row in ``order_by`` (first row for ``first_cols``).
+
+    Expressions are written as SQL text: one JVM call per column instead of one per operator.
+    """
     keys, order_by = list(keys), list(order_by)
     rest = [c for c in df.columns if c not in keys and c not in first_cols]
-    order = F.struct(*[F.col(c) for c in order_by])
-    aggs = [F.max_by(F.struct(*[F.col(c) for c in rest]), order).alias("_last")]
+    order = _struct(order_by)
+    aggs = [F.expr(f"max_by({_struct(rest)}, {order})").alias("_last")]
     if first_cols:
-        aggs.append(F.min_by(F.struct(*[F.col(c) for c in first_cols]), order).alias("_first"))
+        aggs.append(F.expr(f"min_by({_struct(first_cols)}, {order})").alias("_first"))
     if count_col:
         aggs.append(F.count(F.lit(1)).alias(count_col))
     out = df.groupBy(*keys).agg(*aggs)
-    cols = [F.col(k) for k in keys] + [F.col(f"_last.{c}").alias(c) for c in rest]
-    cols += [F.col(f"_first.{c}").alias(c) for c in first_cols]
+    picked = {c: f"_last.{_q(c)}" for c in rest}
+    picked.update({c: f"_first.{_q(c)}" for c in first_cols})
+    exprs = [f"{picked.get(c, _q(c))} AS {_q(c)}" for c in df.columns]
     if count_col:
-        cols.append(F.col(count_col))
-    return out.select(*cols).select(*[c for c in df.columns] + ([count_col] if count_col else []))
+        exprs.append(_q(count_col))
+    return out.selectExpr(*exprs)
 
 
 def latest_rows(feed: DataFrame, keys: Sequence[str], order_by: Sequence[str], columns: Sequence[str],
@@ -82,22 +94,31 @@ def load_new(table: DataFrame, source: DataFrame, keys: Sequence[str], order_by:
     ``insert_cols``) are null; ``stamp_col`` is set only by the repeated-rows rule.
     """
     keys = list(keys)
-    columns = table.columns
+    columns, schema = table.columns, table.schema
     data_cols = [c for c in columns if c not in keys and c != stamp_col]
     insert_cols = list(insert_cols if insert_cols is not None else data_cols)
     src_ok, rejects = split_null_keys(source, keys)
     src_cols = [c for c in source.columns if c in columns or c in order_by]
     src = dedupe_last(src_ok.select(*src_cols), keys, order_by, first_cols, count_col="_n")
-    cols = []
+    exprs = []
     for c in columns:
+        typ = schema[c].dataType.simpleString()
         if c == stamp_col and stamp is not None:
-            v = F.when(F.col("_n") > 1, stamp) if stamp_when_repeated else F.lit(None)
-        elif c in keys or (c in insert_cols and c in src.columns):
-            v = F.col(c)
-        else:
-            v = F.lit(None)
-        cols.append(v.cast(table.schema[c].dataType).alias(c))
-    return src.select(*cols), rejects
+            e = "_n > 1" if stamp_when_repeated else "false"
+            exprs.append(f"{e} AS `_stamp_hit`")
+            continue
+        e = _q(c) if c in keys or (c in insert_cols and c in src_cols) else "NULL"
+        exprs.append(f"CAST({e} AS {typ}) AS {_q(c)}")
+    out = src.selectExpr(*exprs)
+    return _apply_stamp(out, columns, schema, stamp, stamp_col, None), rejects
+
+
+def _apply_stamp(df: DataFrame, columns, schema, stamp, stamp_col, keep_col) -> DataFrame:
+    if stamp is None or stamp_col not in columns:
+        return df
+    other = F.col(keep_col) if keep_col else F.lit(None)
+    v = F.when(F.col("_stamp_hit"), stamp).otherwise(other).cast(schema[stamp_col].dataType).alias(stamp_col)
+    return df.select(*[v if c == stamp_col else F.col(c) for c in columns])
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str],
@@ -109,9 +130,10 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by:
     ``target`` columns define the output schema. ``stamp`` (a literal run time) is written to
     ``stamp_col`` for matched keys -- and, with ``stamp_when_repeated``, also for new keys that had
     more than one source row (a row-by-row MERGE inserts the first and updates with the rest).
+    The merge is one full outer join on the keys; its projection is SQL text.
     """
     keys = list(keys)
-    out_cols = target.columns
+    out_cols, schema = target.columns, target.schema
     data_cols = [c for c in out_cols if c not in keys and c != stamp_col]
     update_cols = list(update_cols if update_cols is not None else data_cols)
     insert_cols = list(insert_cols if insert_cols is not None else data_cols)
@@ -119,33 +141,34 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by:
     src_ok, rejects = split_null_keys(source, keys)
     src_cols = [c for c in source.columns if c in out_cols or c in order_by]
     src = dedupe_last(src_ok.select(*src_cols), keys, order_by, first_cols, count_col="_n")
+    s_cols = src_cols + ["_n"]
 
-    t = target.select(*[F.col(c).alias(f"t_{c}") for c in out_cols]).withColumn("_in_t", F.lit(True))
-    s = src.select(*[F.col(c).alias(f"s_{c}") for c in src.columns]).withColumn("_in_s", F.lit(True))
+    t = target.selectExpr(*[f"{_q(c)} AS `t_{c}`" for c in out_cols], "true AS `_in_t`")
+    s = src.selectExpr(*[f"{_q(c)} AS `s_{c}`" for c in s_cols], "true AS `_in_s`")
     cond = None
     for k in keys:
         c = F.col(f"t_{k}") == F.col(f"s_{k}")
         cond = c if cond is None else cond & c
     j = t.join(s, cond, "full_outer")
-    in_t, in_s = F.col("_in_t").isNotNull(), F.col("_in_s").isNotNull()
 
-    cols = []
+    both, only_s = "(_in_t AND _in_s)", "_in_s"
+    exprs = []
     for c in out_cols:
-        tc = F.col(f"t_{c}")
-        sc = F.col(f"s_{c}") if f"s_{c}" in s.columns else F.lit(None)
+        tc, typ = f"`t_{c}`", schema[c].dataType.simpleString()
+        sc = f"`s_{c}`" if c in s_cols else "NULL"
         if c in keys:
-            v = F.coalesce(tc, sc)
+            e = f"coalesce({tc}, {sc})"
         elif c == stamp_col and stamp is not None:
-            hit = in_t & in_s
-            if stamp_when_repeated:
-                hit = hit | (~in_t & (F.col("s__n") > 1))
-            v = F.when(hit, stamp).otherwise(tc)
+            hit = both + (" OR (_in_t IS NULL AND `s__n` > 1)" if stamp_when_repeated else "")
+            exprs += [f"coalesce({hit}, false) AS `_stamp_hit`", f"{tc} AS `_stamp_keep`"]
+            continue
         else:
             upd = sc if c in update_cols else tc
-            ins = sc if c in insert_cols else F.lit(None)
-            v = F.when(in_t & in_s, upd).when(in_s, ins).otherwise(tc)
-        cols.append(v.cast(target.schema[c].dataType).alias(c))
-    return j.select(*cols), rejects
+            ins = sc if c in insert_cols else "NULL"
+            e = f"CASE WHEN {both} THEN {upd} WHEN {only_s} THEN {ins} ELSE {tc} END"
+        exprs.append(f"CAST({e} AS {typ}) AS {_q(c)}")
+    out = j.selectExpr(*exprs)
+    return _apply_stamp(out, out_cols, schema, stamp, stamp_col, "_stamp_keep"), rejects
 
 
 def empty_like(df: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
