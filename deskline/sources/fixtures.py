@@ -221,8 +221,15 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
+def _session_key(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 -- no SparkContext (Spark Connect): key on the session
+        return f"session-{id(spark)}"
+
+
 def _cached(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    cache = _CACHE.setdefault((spark.sparkContext.applicationId, sf_dir.rstrip("/")), {})
+    cache = _CACHE.setdefault((_session_key(spark), sf_dir.rstrip("/")), {})
     if name not in cache:
         cache[name] = build()
     return cache[name]

@@ -61,6 +61,16 @@ def rows_key(rows, cols):
     return sorted(out, key=lambda t: tuple((x is None, str(type(x)), str(x)) for x in t))
 
 
+def col_types(rows, cols) -> dict:
+    """Python value types per column (non-null values only)."""
+    out = {c: set() for c in cols}
+    for r in rows[:2000]:
+        for c, v in zip(cols, r):
+            if v is not None:
+                out[c].add(type(v).__name__)
+    return {c: tuple(sorted(t)) for c, t in out.items()}
+
+
 def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> dict:
     import __spark_entry__ as E
     q = E.queries()[name]
@@ -83,8 +93,15 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> di
         res["status"] = f"COLUMNS {sorted(s_cols)} vs {sorted(d_cols)}"
         return res
     a, b = rows_key(s_rows, s_cols), rows_key(d_rows, d_cols)
-    if a == b:
+    s_types, d_types = col_types(s_rows, s_cols), col_types(d_rows, d_cols)
+    type_diff = {c: (s_types[c], d_types.get(c)) for c in s_types if s_types[c] != d_types.get(c)
+                 and s_types[c] and d_types.get(c)}
+    if type_diff:
+        res["type_diff"] = type_diff
+    if a == b and not type_diff:
         res["status"] = "match"
+    elif a == b:
+        res["status"] = "TYPES"
     else:
         res["status"] = "MISMATCH"
         sa, sb = set(a), set(b)
