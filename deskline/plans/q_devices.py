@@ -130,7 +130,25 @@ def parse_flags(spark, sf_dir):
     return V.parse_flags(view(spark, sf_dir, "device_flags_raw"))
 
 
-@register("device_report")
+_INTEG_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS integration, count(*) FILTER (WHERE {n}) AS device_count FROM devices" for n in K.INTEGRATIONS)
+
+
+@register("device_report", with_views(["devices"], _MATCH + f"""
+, tot AS (SELECT to_json({{'total_devices': count(*), 'inactive_devices': count(*) FILTER (WHERE Inactive_Computer),
+                          'no_antivirus': CAST(0 AS BIGINT), 'no_last_reboot': CAST(0 AS BIGINT)}}) :: VARCHAR AS j FROM devices)
+, man AS (SELECT to_json(map_from_entries(list({{'k': manufacturer_name, 'v': n}} ORDER BY manufacturer_name, n))) :: VARCHAR AS j
+          FROM (SELECT manufacturer_name, count(*) AS n FROM devices
+                WHERE manufacturer_name IS NOT NULL AND manufacturer_name <> '' AND manufacturer_name <> 'N/A'
+                GROUP BY manufacturer_name))
+, itg AS (SELECT to_json(map_from_entries(list({{'k': integration, 'v': device_count}} ORDER BY integration, device_count))) :: VARCHAR AS j
+          FROM ({_INTEG_SQL}))
+, sec AS (SELECT to_json(map_from_entries(list({{'k': match_class, 'v': n}} ORDER BY match_class, n))) :: VARCHAR AS j
+          FROM (SELECT match_class, count(*) AS n FROM m WHERE match_class IS NOT NULL GROUP BY match_class))
+SELECT '{{"counts":' || tot.j || ',"manufacturers":' || man.j || ',"integrations":' || itg.j
+       || ',"integration_matches":' || sec.j || '}}' AS payload
+FROM tot, man, itg, sec
+"""))
 def device_report(spark, sf_dir):
-    """The one-row analytics payload (JSON text; rows-only check)."""
+    """The one-row analytics payload (JSON text)."""
     return V.report_payload(_devices(spark, sf_dir))
