@@ -40,3 +40,25 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.replace("file:", "", 1), exist_ok=True)
     return path
+
+
+def scale_settings(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Submit-time settings for a run over ``input_bytes`` on ``cores`` executor cores.
+
+    Shuffle partitions: enough for ~``partition_bytes`` each (at least 2 waves of the cores); AQE
+    coalesces what turns out small and splits skewed partitions; broadcasts only happen below the
+    run-time measured threshold.
+    """
+    parts = max(2 * cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+        "spark.sql.session.timeZone": "UTC",
+    }
