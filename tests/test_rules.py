@@ -231,3 +231,56 @@ def test_uploads(spark):
                                 (3, f'{{"attachments":[{pdf},{pdf}]}}'), (4, "{}")], "event_id bigint, payload string")
     got = {r["event_id"]: r["ok"] for r in C.valid_uploads(df).collect()}
     assert got == {1: True, 2: True, 3: False, 4: False}
+
+
+# --- upsert column policies ---------------------------------------------------------------------
+def test_client_month_first_last_rule(spark):
+    cols = ("ClientID string, ClientName string, ContractID string, ContractName string, ServiceID bigint, "
+            "ServiceName string, RevenueMonth string, MonthlyRevenue double, TicketsCreated bigint")
+    target = spark.createDataFrame([("c1", "Old", "k1", "K", 1, "S1", "2024-01-01", 5.0, 1, None)],
+                                   cols + ", LastUpdated timestamp_ntz")
+    rows = spark.createDataFrame([
+        ("c1", "New", "k1", "K", 3, "S3", "2024-01-01", 30.0, 3),   # existing key: measures from the last row
+        ("c1", "New", "k1", "K", 2, "S2", "2024-01-01", 20.0, 2),
+        ("c2", "A", "k2", "K2", 7, "S7", "2024-01-01", 7.0, 0),      # new key, one row: no stamp
+        ("c3", "B", "k3", "K3", 9, "S9", "2024-01-01", 9.0, 9),      # new key, two rows: first names, last measures
+        ("c3", "B2", "k3", "K3", 8, "S8", "2024-01-01", 8.0, 8)], cols)
+    snap, _ = R.upsert_client_month(target, rows, AS_OF)
+    got = {r["ClientID"]: r for r in snap.collect()}
+    assert (got["c1"]["ClientName"], got["c1"]["ServiceID"], got["c1"]["MonthlyRevenue"]) == ("Old", 1, 30.0)
+    assert got["c1"]["LastUpdated"] == D(1998, 6, 17, 15, 30)
+    assert got["c2"]["LastUpdated"] is None and got["c2"]["MonthlyRevenue"] == 7.0
+    assert (got["c3"]["ClientName"], got["c3"]["ServiceID"], got["c3"]["MonthlyRevenue"]) == ("B2", 8, 9.0)
+    assert got["c3"]["LastUpdated"] == D(1998, 6, 17, 15, 30)
+    fresh, _ = R.upsert_client_month(target.limit(0), rows, AS_OF, target_empty=True)
+    assert {r["ClientID"]: tuple(r) for r in fresh.collect() if r["ClientID"] != "c1"} == \
+        {k: tuple(v) for k, v in got.items() if k != "c1"}
+
+
+def test_contract_summary_stamp_only_on_match(spark):
+    cols = ("ContractID bigint, ContractName string, CompanyID bigint, CompanyName string, ServiceID bigint, "
+            "ServiceName string, StartDate timestamp_ntz, EndDate timestamp_ntz, Units double, UnitPrice double, "
+            "Cost double, BillingPreference int, TotalRevenue double, TotalCost double")
+    row = (1, "C", 7, "Co", 10, "S", D(2024, 1, 1), None, 1.0, 2.0, 2.0, 0, 2.0, 2.0)
+    target = spark.createDataFrame([row + (None,)], cols + ", LastUpdated timestamp_ntz")
+    src = spark.createDataFrame([row + (100,), (1, "C", 7, "Co", 11, "S", D(2024, 2, 1), None, 1.0, 3.0, 3.0, 0, 3.0, 3.0, 101),
+                                 (1, "C", 7, "Co", 11, "S", D(2024, 3, 1), None, 1.0, 4.0, 4.0, 0, 4.0, 4.0, 99)],
+                                cols + ", UnitID bigint")
+    snap, _ = R.upsert_contract_summary(target, src, AS_OF)
+    got = {r["ServiceID"]: r for r in snap.collect()}
+    assert got[10]["LastUpdated"] == D(1998, 6, 17, 15, 30)
+    assert got[11]["LastUpdated"] is None and got[11]["TotalRevenue"] == 4.0   # latest StartDate wins (D12)
+
+
+def test_utilization_week_end_insert_only(spark):
+    tgt = spark.createDataFrame([(5, "a@x", dt.date(1998, 6, 14), dt.date(1998, 6, 19), 8.0, 20.0)],
+                                "resourceID bigint, emailAddress string, weekStartDate date, weekEndDate date, "
+                                "totalHoursWorked double, utilizationPercentage double")
+    weekly = spark.createDataFrame([("b@x", 5, 16.0, 40.0, dt.date(1998, 6, 14), dt.date(1998, 6, 20)),
+                                    ("c@x", 6, 4.0, 10.0, dt.date(1998, 6, 14), dt.date(1998, 6, 20))],
+                                   "emailAddress string, user_id bigint, total_hours double, "
+                                   "utilization_percentage double, weekStartDate date, weekEndDate date")
+    snap, _ = KP.upsert_utilization(tgt, weekly)
+    got = {r["resourceID"]: r for r in snap.collect()}
+    assert (got[5]["emailAddress"], got[5]["totalHoursWorked"], got[5]["weekEndDate"]) == ("b@x", 16.0, dt.date(1998, 6, 19))
+    assert got[6]["weekEndDate"] == dt.date(1998, 6, 20)
