@@ -24,10 +24,16 @@ def _v(spark, sf_dir, *names):
     return views(spark, sf_dir, *names)
 
 
+def r6(df, *cols):
+    """Averages and sums of doubles depend on summation order in their last bits; registered
+    queries show them rounded to 6 places (the oracle SQL rounds the same way)."""
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def _team(spark, sf_dir):
     v = _v(spark, sf_dir, "tickets", "call_logs", "csat_responses", "endpoints", "system_uptime")
-    return KP.team_kpis(v["tickets"], v["call_logs"], v["csat_responses"], v["endpoints"], v["system_uptime"],
-                        AS_OF_DESK, AS_OF_EVENTS)
+    return r6(KP.team_kpis(v["tickets"], v["call_logs"], v["csat_responses"], v["endpoints"], v["system_uptime"],
+                           AS_OF_DESK, AS_OF_EVENTS), "value")
 
 
 _Q = in_list(K.KPI_QUEUES)
@@ -50,13 +56,13 @@ _TEAM_SQL = f"""
 _TEAM_VIEWS = ["tickets", "call_logs", "csat_responses", "endpoints", "system_uptime"]
 
 
-@register("kpi_service_desk", with_views(_TEAM_VIEWS, _TEAM_SQL + "SELECT * FROM team WHERE category = 'Service Desk'"))
+@register("kpi_service_desk", with_views(_TEAM_VIEWS, _TEAM_SQL + "SELECT kpi_name, category, kpi_type, round(value, 6) AS value FROM team WHERE category = 'Service Desk'"))
 def kpi_service_desk(spark, sf_dir):
     """K1, K3, K4, K7, K8 (one scan of tickets for K1-K4)."""
     return _team(spark, sf_dir).filter(F.col("category") == "Service Desk")
 
 
-@register("kpi_field_team", with_views(_TEAM_VIEWS, _TEAM_SQL + "SELECT * FROM team WHERE category = 'Field Team'"))
+@register("kpi_field_team", with_views(_TEAM_VIEWS, _TEAM_SQL + "SELECT kpi_name, category, kpi_type, round(value, 6) AS value FROM team WHERE category = 'Field Team'"))
 def kpi_field_team(spark, sf_dir):
     """K9, K10, K11."""
     return _team(spark, sf_dir).filter(F.col("category") == "Field Team")
@@ -128,11 +134,13 @@ GROUP BY r.email, t.creatorUserID
 
 
 @register("weekly_utilization", with_views(["time_entry_rows", "resources"], _TE + ", u AS (" + _util_sql("te", AS_OF_DESK)
-                                           + ") SELECT * FROM u"))
+                                           + ") SELECT emailAddress, user_id, round(total_hours, 6) AS total_hours, "
+                                             "round(utilization_percentage, 6) AS utilization_percentage, weekStartDate, weekEndDate FROM u"))
 def weekly_utilization(spark, sf_dir):
     """K6 over the TimeEntries table (after the feed upserts)."""
     v = _v(spark, sf_dir, "resources")
-    return KP.weekly_utilization(_week_entries(spark, sf_dir), v["resources"], AS_OF_DESK)
+    return r6(KP.weekly_utilization(_week_entries(spark, sf_dir), v["resources"], AS_OF_DESK),
+              "total_hours", "utilization_percentage")
 
 
 @register("upsert_utilization", with_views(["time_entry_rows", "resources"], _TE
@@ -142,8 +150,8 @@ SELECT coalesce(n.user_id, o.user_id) AS resourceID,
        CASE WHEN n.user_id IS NOT NULL THEN n.emailAddress ELSE o.emailAddress END AS emailAddress,
        coalesce(o.weekStartDate, n.weekStartDate) AS weekStartDate,
        coalesce(o.weekEndDate, n.weekEndDate) AS weekEndDate,
-       CASE WHEN n.user_id IS NOT NULL THEN n.total_hours ELSE o.total_hours END AS totalHoursWorked,
-       CASE WHEN n.user_id IS NOT NULL THEN n.utilization_percentage ELSE o.utilization_percentage END AS utilizationPercentage
+       round(CASE WHEN n.user_id IS NOT NULL THEN n.total_hours ELSE o.total_hours END, 6) AS totalHoursWorked,
+       round(CASE WHEN n.user_id IS NOT NULL THEN n.utilization_percentage ELSE o.utilization_percentage END, 6) AS utilizationPercentage
 FROM old o FULL OUTER JOIN new n ON o.user_id = n.user_id AND o.weekStartDate = n.weekStartDate
 """))
 def upsert_utilization(spark, sf_dir):
@@ -153,7 +161,7 @@ def upsert_utilization(spark, sf_dir):
     cut = F.lit(AS_OF_DESK).cast("timestamp_ntz").cast("date").cast("timestamp_ntz")
     old = KP.utilization_rows(KP.weekly_utilization(entries.filter(F.col("dateWorked") < cut), v["resources"], AS_OF_DESK))
     snap, _ = KP.upsert_utilization(old, KP.weekly_utilization(entries, v["resources"], AS_OF_DESK))
-    return snap
+    return r6(snap, "totalHoursWorked", "utilizationPercentage")
 
 
 def _registry(spark, sf_dir):
@@ -188,10 +196,10 @@ def kpi_register(spark, sf_dir):
            UNION ALL SELECT 'Utilization', 'Resource', 'Individual', user_id, utilization_percentage FROM u
            UNION ALL SELECT 'Avg Response Time', 'Resource', 'Individual', user_id, avg_response_time FROM w
            UNION ALL SELECT 'Avg Resolution Time', 'Resource', 'Individual', user_id, avg_resolution_time FROM w)
-SELECT reg.id AS kpi_id, rows.kpi_name, rows.resource_id, rows.value, CAST({DESK} AS DATE) AS date_recorded
+SELECT reg.id AS kpi_id, rows.kpi_name, rows.resource_id, round(rows.value, 6) AS value, CAST({DESK} AS DATE) AS date_recorded
 FROM rows JOIN reg ON reg.name = rows.kpi_name AND reg.category = rows.category AND reg.type = rows.kpi_type
 """))
 def kpi_values(spark, sf_dir):
     """K13 + K15: team and individual KPI values with registry ids and the run date."""
     reg, rows = _registry(spark, sf_dir)
-    return KP.kpi_values(reg, rows, AS_OF_DESK)
+    return r6(KP.kpi_values(reg, rows, AS_OF_DESK), "value")

@@ -99,12 +99,13 @@ def priority_histogram(spark, sf_dir):
 @register("ticket_summary", with_views(["tickets"], """
 SELECT CAST(count(*) AS BIGINT) AS total_tickets,
        CAST(count(*) FILTER (WHERE serviceLevelAgreementHasBeenMet IS TRUE) AS BIGINT) AS sla_met_count,
-       coalesce(avg((epoch_us(resolvedDateTime) - epoch_us(createDate)) / 3.6e9), 0.0) AS average_resolution_time,
+       round(coalesce(avg((epoch_us(resolvedDateTime) - epoch_us(createDate)) / 3.6e9), 0.0), 6) AS average_resolution_time,
        CAST(count(*) FILTER (WHERE status IS NOT NULL AND status <> 5) AS BIGINT) AS open_tickets
 FROM tickets
 """))
 def ticket_summary(spark, sf_dir):
-    return T.ticket_summary(_tickets(spark, sf_dir))
+    out = T.ticket_summary(_tickets(spark, sf_dir))
+    return out.withColumn("average_resolution_time", F.round("average_resolution_time", 6))
 
 
 @register("open_tickets", with_views(["tickets"], """
