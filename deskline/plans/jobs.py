@@ -82,7 +82,11 @@ def run_kpis(spark: SparkSession, root: str, tickets: DataFrame, resources: Data
     rv = _next_version(spark, reg_t)
     sinks.write_snapshot(registry, reg_t, rv)
     registry = sinks.read_snapshot(spark, reg_t)
-    sinks.append(KP.kpi_values(registry, rows, as_of), val_t, partition_by=["date_recorded"])
+    # Values are appended per run; a replay of the same run (same as_of) replaces its own
+    # partition instead of adding the rows twice.
+    run_id = F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyyMMddHHmmss")
+    sinks.replace_partitions(KP.kpi_values(registry, rows, as_of).withColumn("run_id", run_id), val_t,
+                             ["date_recorded", "run_id"])
     prev_u = sinks.read_snapshot(spark, util_t)
     urows = KP.utilization_rows(util)
     snap = KP.upsert_utilization(prev_u, util)[0] if prev_u is not None else urows

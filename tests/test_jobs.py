@@ -50,10 +50,17 @@ def test_kpi_job_isolates_failures(spark, sf_dir):
     assert st == {"team": "failed", "individual": "ok"}
     vals = spark.read.parquet(f"{root}/kpi_values")
     assert vals.count() > 0 and vals.filter(F.col("resource_id").isNull()).count() == 0
+    n_first = vals.count()
     out2 = jobs.run_kpis(spark, root, v["tickets"], v["resources"], time_entries_current(spark, sf_dir),
                          v["call_logs"], v["csat_responses"], v["endpoints"], v["system_uptime"], AS_OF_DESK,
                          AS_OF_EVENTS)
     assert {s for _, s, _, _ in out2["status"]} == {"ok"}
+    # the same run replayed replaces its own partition (D28): only the second run's rows remain
+    vals2 = spark.read.parquet(f"{root}/kpi_values")
+    assert vals2.count() == n_first + 8
+    assert vals2.select("run_id").distinct().count() == 1
+    n_team = vals2.filter(F.col("resource_id").isNull()).count()
+    assert n_team == 8
     reg = sinks.read_snapshot(spark, f"{root}/kpis")
     assert reg.count() == reg.select("name", "category", "type").distinct().count() == 11
     assert spark.read.parquet(f"{root}/kpi_run_status").count() == 4
