@@ -86,14 +86,14 @@ def ticket_weight(df: DataFrame, as_of, priority_weights=PRIORITY_WEIGHTS, statu
 
 # --- T7 -----------------------------------------------------------------------------------------
 def next_ticket(df: DataFrame, per: Sequence[str] | None = None, n: int = 1, seq: str = "id",
-                weight: str = "weight") -> DataFrame:
+                weight: str = "weight", rank_col: str | None = None) -> DataFrame:
     """Highest weight first, ties keep input order (lowest ``seq``).
 
     * ``per`` is None: global top-n -> ``TakeOrderedAndProject``.
     * per group, n == 1: ``max_by`` aggregate; partial aggregation runs before the shuffle, so a
       group holding a third of all rows costs one row per map task, not a sort of that group.
     * per group, n > 1: ``row_number() <= n``; Spark inserts a partial ``WindowGroupLimit`` before the
-      shuffle, so each map task sends at most n rows per group.
+      shuffle, so each map task sends at most n rows per group; ``rank_col`` keeps the rank.
     """
     if not per:
         return df.orderBy(F.col(weight).desc(), F.col(seq).asc()).limit(n)
@@ -104,7 +104,8 @@ def next_ticket(df: DataFrame, per: Sequence[str] | None = None, n: int = 1, seq
                         F.struct(F.col(weight), -F.col(seq)))
         return df.groupBy(*per).agg(best.alias("_best")).select(*per, "_best.*")
     w = Window.partitionBy(*per).orderBy(F.col(weight).desc(), F.col(seq).asc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    ranked = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    return ranked.withColumnRenamed("_rn", rank_col) if rank_col else ranked.drop("_rn")
 
 
 # --- T14 ----------------------------------------------------------------------------------------

@@ -67,11 +67,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY assignedResourceID ORDER BY weig
 """))
 def top3_tickets_per_resource(spark, sf_dir):
     """T7 per user with n > 1 (row_number with a partial WindowGroupLimit before the shuffle)."""
-    from pyspark.sql import Window
-    top = T.next_ticket(_weighted(spark, sf_dir), per=["assignedResourceID"], n=3)
-    w = Window.partitionBy("assignedResourceID").orderBy(F.col("weight").desc(), F.col("id"))
+    top = T.next_ticket(_weighted(spark, sf_dir), per=["assignedResourceID"], n=3, rank_col="rank_no")
     return top.select("assignedResourceID", F.col("id").alias("ticket_id"), F.col("weight").alias("points"),
-                      F.row_number().over(w).cast("int").alias("rank_no"))
+                      F.col("rank_no").cast("int"))
 
 
 # --- T1-T4, T11, T12 ----------------------------------------------------------------------------
