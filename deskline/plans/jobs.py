@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from deskline.operators import contracts as R
 from deskline.operators import kpis as KP
+from deskline.session import ensure_checkpoint_dir
 from deskline.sources import sinks
 from deskline.streaming.ingest import run_isolated
 
@@ -87,13 +88,22 @@ def run_kpis(spark: SparkSession, root: str, tickets: DataFrame, resources: Data
     run_id = F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyyMMddHHmmss")
     sinks.replace_partitions(KP.kpi_values(registry, rows, as_of).withColumn("run_id", run_id), val_t,
                              ["date_recorded", "run_id"])
-    prev_u = sinks.read_snapshot(spark, util_t)
+    # The table is partitioned by week; a run reads and replaces only its own week's partition,
+    # so its cost follows one week of resources, not the whole history.
     urows = KP.utilization_rows(util)
+    week = KP.week_start(F.lit(as_of).cast("timestamp_ntz"))
+    prev_u = None
+    if sinks.exists(spark, util_t):
+        prev_u = (spark.read.schema(urows.schema).parquet(util_t).filter(F.col("weekStartDate") == week)
+                  .select(*urows.columns))
     snap = KP.upsert_utilization(prev_u, util)[0] if prev_u is not None else urows
-    uv = _next_version(spark, util_t)
-    sinks.write_snapshot(snap, util_t, uv)
+    if prev_u is not None:  # the partition read is the one replaced: cut the lineage first
+        ensure_checkpoint_dir(spark)
+        snap = snap.checkpoint()
+    sinks.replace_partitions(snap, util_t, ["weekStartDate"])
+    uv = None
     sinks.append(spark.createDataFrame(status, "job string, status string, error string, as_of string"), st_t)
-    return {"status": status, "kpis": rv, "ResourceUtilization": uv}
+    return {"status": status, "kpis": rv}
 
 
 def append_command_log(log: DataFrame, root: str, as_of: dt.datetime | str) -> None:

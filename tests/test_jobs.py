@@ -64,3 +64,5 @@ def test_kpi_job_isolates_failures(spark, sf_dir):
     reg = sinks.read_snapshot(spark, f"{root}/kpis")
     assert reg.count() == reg.select("name", "category", "type").distinct().count() == 11
     assert spark.read.parquet(f"{root}/kpi_run_status").count() == 4
+    util = spark.read.parquet(f"{root}/ResourceUtilization")
+    assert util.count() == util.select("resourceID", "weekStartDate").distinct().count() > 0
