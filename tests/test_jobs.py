@@ -66,3 +66,20 @@ def test_kpi_job_isolates_failures(spark, sf_dir):
     assert spark.read.parquet(f"{root}/kpi_run_status").count() == 4
     util = spark.read.parquet(f"{root}/ResourceUtilization")
     assert util.count() == util.select("resourceID", "weekStartDate").distinct().count() > 0
+
+
+def test_append_sinks(spark, sf_dir):
+    from deskline.operators import commands as C
+    from deskline.operators import documents as N
+    from deskline.sources.fixtures import load_table, view
+    root = scratch_dir(spark, "t-sinks")
+    log = C.command_log(C.route_commands(view(spark, sf_dir, "command_messages")))
+    jobs.append_command_log(log, root, AS_OF_DESK)
+    jobs.append_command_log(log, root, "1998-06-18 10:00:00")
+    stored = spark.read.parquet(f"{root}/CommandLogs")
+    assert stored.count() == 2 * log.count() and stored.select("logged_date").distinct().count() == 2
+    rows, _ = N.parse_requirements(view(spark, sf_dir, "policy_answers"))
+    policies = N.policy_counts(load_table(spark, sf_dir, "documents"), rows)
+    jobs.store_policies(policies, N.requirement_rows(rows, AS_OF_DESK), root)
+    assert spark.read.parquet(f"{root}/Policies").count() == policies.count()
+    assert spark.read.parquet(f"{root}/PolicyRequirements").count() == rows.count()
