@@ -24,6 +24,9 @@ def _run(spark, feed, base, files_per_batch):
     q = upsert_stream(spark, feed, SCHEMA, f"{base}/table", f"{base}/ckpt", ["id"], ARRIVAL_COLS,
                       I.normalize_units, files_per_batch=files_per_batch)
     run_until_done(q)
+    for p in q.recentProgress:
+        if p.get("numInputRows"):
+            assert p["observedMetrics"]["feed_quality"]["rows"] == p["numInputRows"]
     return sinks.read_snapshot(spark, f"{base}/table").select(*CONTRACT_UNIT_COLS)
 
 
