@@ -67,7 +67,8 @@ PLAN_QUERIES = sorted(set(E.queries()) - {"stream_units", "stream_time_entries"}
 @pytest.mark.parametrize("name", PLAN_QUERIES)
 def test_no_python_in_plans(spark, sf_dir, name):
     plan = E.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    for bad in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
+    for bad in ("PythonUDF", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
+                "BroadcastNestedLoopJoin", "CartesianProduct"):
         assert bad not in plan, (name, bad)
 
 
