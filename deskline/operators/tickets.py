@@ -16,7 +16,7 @@ from deskline.constants import (
     SLA_MISS_PENALTY, SLA_PAIRS, STATUS_DEFAULT_WEIGHT, STATUS_WEIGHTS,
 )
 from deskline.functions import (
-    display_time, hours_between, hours_text, list_desc, lookup, ltz, priority_color, priority_label,
+    display_time, hours_between, hours_text, list_desc, lookup, ltz, parse_iso, priority_color, priority_label,
     seconds_between, status_label, ticket_url, truncate_desc,
 )
 
@@ -27,6 +27,15 @@ def as_of_col(as_of) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
 
 
+def _stamp(df: DataFrame, c: str) -> tuple[Column, Column]:
+    """(instant, is_bad) for a stamp column. Text stamps are parsed with T9 (offset kept, 'Z' =
+    UTC); a non-empty text that does not parse is *bad*, which differs from missing."""
+    if dict(df.dtypes).get(c) == "string":
+        parsed = parse_iso(c)
+        return parsed, F.coalesce(F.col(c) != "", F.lit(False)) & parsed.isNull()
+    return ltz(c), F.lit(False)
+
+
 # --- T10 ----------------------------------------------------------------------------------------
 def exclude_queues(df: DataFrame, ids: Sequence[int] = EXCLUDED_QUEUES, col: str = "queueID") -> DataFrame:
     """Drop tickets in excluded queues; a null queue is kept (plain NOT IN would lose it)."""
@@ -37,13 +46,15 @@ def exclude_queues(df: DataFrame, ids: Sequence[int] = EXCLUDED_QUEUES, col: str
 def sla_results(df: DataFrame, as_of, pairs=SLA_PAIRS, out: str = "sla_results") -> DataFrame:
     """T5: one struct per SLA pair, in pair order.
 
-    met = met <= due; seconds = due - met, or due - as_of while open; no due date -> not met,
-    null seconds, 'N/A' and 'Not completed'.
+    met = met <= due; seconds = due - met, or due - as_of while open; no due date, or a bad stamp
+    on either side -> not met, null seconds, 'N/A' and 'Not completed'.
     """
     now = as_of_col(as_of)
     items = []
     for met_c, due_c, name in pairs:
-        met, due = ltz(met_c), ltz(due_c)
+        (met, met_bad), (due, due_bad) = _stamp(df, met_c), _stamp(df, due_c)
+        ok = ~(met_bad | due_bad)
+        met, due = F.when(ok, met), F.when(ok, due)
         has_due = due.isNotNull()
         items.append(F.struct(
             F.lit(name).alias("sla_name"),
@@ -72,10 +83,11 @@ def ticket_weight(df: DataFrame, as_of, priority_weights=PRIORITY_WEIGHTS, statu
     # building the display strings of the SLA structs.
     missed = None
     for met_c, due_c, _ in pairs:
-        met, due = ltz(met_c), ltz(due_c)
+        (met, _), (due, _) = _stamp(df, met_c), _stamp(df, due_c)  # a bad stamp parses to null: a miss
         miss = F.when(due.isNotNull() & met.isNotNull() & (met <= due), 0).otherwise(1)
         missed = miss if missed is None else missed + miss
-    age_days = F.floor((F.unix_micros(now) - F.unix_micros(ltz("createDate"))) / F.lit(86_400_000_000))
+    created, _ = _stamp(df, "createDate")
+    age_days = F.floor((F.unix_micros(now) - F.unix_micros(created)) / F.lit(86_400_000_000))
     weight = (lookup("priority", priority_weights, PRIORITY_DEFAULT_WEIGHT)
               + lookup("status", status_weights, STATUS_DEFAULT_WEIGHT)
               + missed * miss_penalty

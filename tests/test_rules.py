@@ -284,3 +284,21 @@ def test_utilization_week_end_insert_only(spark):
     got = {r["resourceID"]: r for r in snap.collect()}
     assert (got[5]["emailAddress"], got[5]["totalHoursWorked"], got[5]["weekEndDate"]) == ("b@x", 16.0, dt.date(1998, 6, 19))
     assert got[6]["weekEndDate"] == dt.date(1998, 6, 20)
+
+
+def test_text_stamps_bad_vs_missing(spark):
+    schema = ("id bigint, priority int, status int, createDate string, firstResponseDateTime string, "
+              "firstResponseDueDateTime string, resolutionPlanDateTime string, resolutionPlanDueDateTime string, "
+              "resolvedDateTime string, resolvedDueDateTime string")
+    df = spark.createDataFrame([(1, 1, 1, "bad", "oops", "1998-06-18T00:00:00Z", "", "1998-06-18T00:00:00Z",
+                                 "1998-06-17T10:00:00-05:00", "1998-06-17T16:00:00Z")], schema)
+    s = T.sla_results(df, AS_OF).collect()[0]["sla_results"]
+    # bad met stamp: not met, no seconds, 'N/A' / 'Not completed' even though the due date is valid
+    assert (s[0]["sla_met"], s[0]["time_left_seconds"], s[0]["due_date_formatted"], s[0]["met_date_formatted"]) == \
+        (False, None, "N/A", "Not completed")
+    # empty met text is *missing*: open, seconds counted to as_of, due shown
+    assert s[1]["sla_met"] is False and s[1]["time_left_seconds"] == 30600.0 and s[1]["due_date_formatted"] != "N/A"
+    # offset kept: 10:00-05:00 = 15:00 UTC <= 16:00 UTC
+    assert s[2]["sla_met"] is True and s[2]["time_left_seconds"] == 3600.0
+    w = T.ticket_weight(df, AS_OF).collect()[0]
+    assert (w["sla_missed"], w["weight"]) == (2, 5 + 50 + 200)   # bad create date adds no age points
