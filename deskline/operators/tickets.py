@@ -188,6 +188,7 @@ def my_tickets(df: DataFrame, url_template: str = DEFAULT_URL, user: str = "assi
         list_desc("description").alias("description"),
         F.coalesce(F.col("status").cast("string"), F.lit("Unknown")).alias("status"),
         ticket_url("id", url_template).alias("url"),
+        *keep,
     )
 
 
@@ -225,11 +226,12 @@ def sla_timeline(df: DataFrame, as_of, keep=("id",)) -> DataFrame:
 
 
 # --- T13 ----------------------------------------------------------------------------------------
-def ticket_detail(df: DataFrame, as_of, url_template: str = DEFAULT_URL) -> DataFrame:
+def ticket_detail(df: DataFrame, as_of, url_template: str = DEFAULT_URL, keep: Sequence = ()) -> DataFrame:
     """The detail record: labels, short description, SLA timeline text, link.
 
     The timeline is rendered inside the row (no explode + regroup): one line per SLA entry,
-    ``name: status | due | met | time``, joined with '; '.
+    ``name: status | due | met | time``, joined with '; '. ``keep`` columns (names or Columns) are
+    carried along.
     """
     now = as_of_col(as_of)
     with_sla = df if "sla_results" in df.columns else sla_results(df, now)
@@ -254,4 +256,5 @@ def ticket_detail(df: DataFrame, as_of, url_template: str = DEFAULT_URL) -> Data
         status_label("status").alias("status_text"),
         F.array_join(F.transform("sla_results", line), "; ").alias("timeline"),
         ticket_url("id", url_template).alias("url"),
+        *keep,
     )

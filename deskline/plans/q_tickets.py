@@ -183,3 +183,26 @@ FROM tickets t JOIN l ON l.id = t.id
 """))
 def ticket_detail(spark, sf_dir):
     return T.ticket_detail(_tickets(spark, sf_dir), AS_OF_DESK, URL)
+
+
+@register("next_ticket_card_per_user", with_views(["tickets"], f"""
+, w AS (SELECT *, {weight_expr()} AS weight FROM tickets WHERE {EXCLUDE_QUEUES} AND assignedResourceID IS NOT NULL)
+, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY assignedResourceID ORDER BY weight DESC, id) AS rn FROM w)
+           WHERE rn = 1)
+, s AS ({_sla_unnest_sql().replace("FROM tickets", "FROM best")})
+, l AS (SELECT id, string_agg(sla_name || ': ' || {_STATUS_TEXT} || ' | ' || due_date || ' | ' || met_date || ' | ' || {_TIME_STATUS}, '; ' ORDER BY pos) AS timeline
+        FROM s GROUP BY id)
+SELECT b.assignedResourceID, b.id, b.title,
+       CASE WHEN length(coalesce(description, '')) > 200 THEN substring(description, 1, 200) || '...' ELSE coalesce(description, '') END AS description,
+       {_PRIO_LABEL} AS priority_text, {_PRIO_COLOR} AS priority_color, {_STATUS_LABEL} AS status_text,
+       l.timeline, {_url_sql('b.id')} AS url, CAST(b.weight AS BIGINT) AS points,
+       '{{"tickets":[{{"ticket_id":' || CAST(b.id AS VARCHAR) || ',"title":"' || b.title || '","points":' || CAST(b.weight AS VARCHAR) || '}}]}}' AS result_data
+FROM best b JOIN l ON l.id = b.id
+"""))
+def next_ticket_card_per_user(spark, sf_dir):
+    """The next-ticket command for every user in one job: T10 -> T6 -> T7 per user -> T13 card data
+    (+ T14 digest for the command log)."""
+    t = T.exclude_queues(_tickets(spark, sf_dir)).filter(F.col("assignedResourceID").isNotNull())
+    best = T.next_ticket(T.ticket_weight(t, AS_OF_DESK), per=["assignedResourceID"], n=1)
+    return T.ticket_detail(best, AS_OF_DESK, URL, keep=[
+        "assignedResourceID", F.col("weight").alias("points"), T.ticket_digest(best).alias("result_data")])
