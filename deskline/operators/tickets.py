@@ -188,7 +188,6 @@ def my_tickets(df: DataFrame, url_template: str = DEFAULT_URL, user: str = "assi
         list_desc("description").alias("description"),
         F.coalesce(F.col("status").cast("string"), F.lit("Unknown")).alias("status"),
         ticket_url("id", url_template).alias("url"),
-        *keep,
     )
 
 
