@@ -218,7 +218,7 @@ def tickets_per_contract_month(spark, sf_dir):
                                         recursive=True))
 def monthly_revenue(spark, sf_dir):
     """R2 + R4 + R5: revenue rows per month with the drifting month walk."""
-    return R.monthly_revenue(R.contracts_frame(summary_table(spark, sf_dir)), AS_OF_DESK)
+    return R.monthly_revenue(R.contracts_frame(summary_table(spark, sf_dir)), AS_OF_DESK).select(*R.REVENUE_COLS)
 
 
 @register("revenue_with_tickets", with_views(_CONTRACT_VIEWS + ["tickets"], _CU + _src("cu", "src") + _SUMM + _SPINE
