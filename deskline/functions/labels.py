@@ -18,8 +18,25 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _sql_lit(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, float):
+        return f"{v!r}D"  # a bare 0.5 would be a DECIMAL literal
+    return repr(v)
+
+
 def lookup(c, mapping: Mapping, default) -> Column:
-    """``mapping.get(c, default)`` as a CASE chain; ``default`` may be a Column."""
+    """``mapping.get(c, default)`` as one CASE expression; ``default`` may be a Column.
+
+    With a column name and a literal default the CASE is built as SQL text (one JVM call instead
+    of one per entry).
+    """
+    if isinstance(c, str) and not isinstance(default, Column) and mapping:
+        whens = " ".join(f"WHEN {_sql_lit(k)} THEN {_sql_lit(v)}" for k, v in mapping.items())
+        return F.expr(f"CASE `{c}` {whens} ELSE {_sql_lit(default)} END")
     col = _c(c)
     out = None
     for k, v in mapping.items():
