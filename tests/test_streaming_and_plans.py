@@ -105,3 +105,27 @@ def test_bucketed_merge_idempotent_and_local(spark):
     files_after = {r[0] for r in spark.read.parquet(table).select(F.input_file_name()).distinct().collect()}
     untouched_kept = {f for f in files_before if not any(f"_bucket={b}/" in f for b in touched)}
     assert untouched_kept <= files_after   # buckets without changes were not rewritten
+
+
+def test_hot_key_is_pre_aggregated(spark):
+    """One company holds a third of all tickets: top-1 per company and last-row-per-key both
+    aggregate partially before the shuffle, and the answers equal a plain Python model."""
+    import datetime as dt
+    from deskline.operators import tickets as T
+    from deskline.operators.upsert import dedupe_last
+    rows = [(i, 1 if i % 3 == 0 else 2 + i % 50, (i * 7919) % 1000, dt.datetime(1998, 1, 1) + dt.timedelta(hours=i))
+            for i in range(6000)]
+    df = spark.createDataFrame(rows, "id bigint, companyID bigint, weight bigint, createDate timestamp_ntz")
+    best = T.next_ticket(df, per=["companyID"])
+    model = {}
+    for i, c, w, _ in rows:
+        if c not in model or (w, -i) > (model[c][1], -model[c][0]):
+            model[c] = (i, w)
+    assert {r["companyID"]: (r["id"], r["weight"]) for r in best.collect()} == model
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") + plan.count("HashAggregate") >= 2   # partial + final
+    last = dedupe_last(df, ["companyID"], ["createDate"])
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") + plan.count("HashAggregate") >= 2
+    got = {r["companyID"]: r["id"] for r in last.collect()}
+    assert got[1] == max(i for i, c, _, _ in rows if c == 1)
