@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -16,9 +15,10 @@ def spark():
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="deskline-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from deskline.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(s)  # the configured shared folder; a temporary one only if none is set
     yield s
 
 
