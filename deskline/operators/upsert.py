@@ -2,9 +2,9 @@
 
 ``upsert`` returns the new snapshot of ``target`` after applying ``source``:
 
-* the source is reduced to one row per key, the *last* in ``order_by`` (``max_by`` over a struct
-  of the order columns) -- a partial aggregate, so a key holding a third of the feed costs one row
-  per map task instead of a sort of that key in one task;
+* the source is reduced to one row per key, the *last* in ``order_by`` (``dedupe_last``: a top-1
+  per key that Spark pre-reduces on the map side), so a key holding a third of the feed costs one
+  row per map task instead of landing whole in one task;
 * ``first_cols`` come from the *first* row per key instead (``min_by``), for targets whose
   descriptive columns are fixed by the first insert (D11);
 * matched keys take ``update_cols`` from the source and keep every other column; new keys take
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,9 +35,17 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
                 first_cols: Sequence[str] = (), count_col: str | None = None) -> DataFrame:
     """One row per key: the last row in ``order_by`` (first row for ``first_cols``).
 
-    Expressions are written as SQL text: one JVM call per column instead of one per operator.
+    Plain case: ``row_number() = 1`` over the key, newest first. Spark plans it with a *partial*
+    ``WindowGroupLimit`` before the shuffle, so every map task forwards at most one row per key (a
+    key holding a third of the feed does not land whole in one task), and the rows themselves are
+    moved, not copied into aggregation buffers. With ``first_cols`` or a row count (U5) it is one
+    ``max_by``/``min_by`` aggregate instead (partial aggregation gives the same skew property).
+    Aggregate expressions are SQL text: one JVM call per column instead of one per operator.
     """
     keys, order_by = list(keys), list(order_by)
+    if not first_cols and not count_col:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order_by])
+        return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
     rest = [c for c in df.columns if c not in keys and c not in first_cols]
     order = _struct(order_by)
     aggs = [F.expr(f"max_by({_struct(rest)}, {order})").alias("_last")]
@@ -99,7 +107,8 @@ def load_new(table: DataFrame, source: DataFrame, keys: Sequence[str], order_by:
     insert_cols = list(insert_cols if insert_cols is not None else data_cols)
     src_ok, rejects = split_null_keys(source, keys)
     src_cols = [c for c in source.columns if c in columns or c in order_by]
-    src = dedupe_last(src_ok.select(*src_cols), keys, order_by, first_cols, count_col="_n")
+    src = dedupe_last(src_ok.select(*src_cols), keys, order_by, first_cols,
+                      count_col="_n" if stamp_when_repeated else None)
     exprs = []
     for c in columns:
         typ = schema[c].dataType.simpleString()
@@ -140,8 +149,9 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by:
 
     src_ok, rejects = split_null_keys(source, keys)
     src_cols = [c for c in source.columns if c in out_cols or c in order_by]
-    src = dedupe_last(src_ok.select(*src_cols), keys, order_by, first_cols, count_col="_n")
-    s_cols = src_cols + ["_n"]
+    src = dedupe_last(src_ok.select(*src_cols), keys, order_by, first_cols,
+                      count_col="_n" if stamp_when_repeated else None)
+    s_cols = src_cols + (["_n"] if stamp_when_repeated else [])
 
     t = target.selectExpr(*[f"{_q(c)} AS `t_{c}`" for c in out_cols], "true AS `_in_t`")
     s = src.selectExpr(*[f"{_q(c)} AS `s_{c}`" for c in s_cols], "true AS `_in_s`")

@@ -126,6 +126,8 @@ def test_hot_key_is_pre_aggregated(spark):
     assert plan.count("SortAggregate") + plan.count("HashAggregate") >= 2   # partial + final
     last = dedupe_last(df, ["companyID"], ["createDate"])
     plan = last._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("SortAggregate") + plan.count("HashAggregate") >= 2
+    # top-1 per key is limited per map task before the exchange, then again after it
+    assert "Partial" in plan and plan.count("WindowGroupLimit") == 2
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
     got = {r["companyID"]: r["id"] for r in last.collect()}
     assert got[1] == max(i for i, c, _, _ in rows if c == 1)
