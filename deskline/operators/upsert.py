@@ -96,7 +96,7 @@ def split_null_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Data
 def load_new(table: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str],
              insert_cols: Sequence[str] | None = None, first_cols: Sequence[str] = (), stamp: Column | None = None,
              stamp_col: str = "LastUpdated", stamp_when_repeated: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``upsert`` into an *empty* ``table`` (only its schema is used): one dedupe aggregate, no join.
+    """``upsert`` into an *empty* ``table`` (only its schema is used): one dedupe, no join.
 
     Same result as ``upsert(empty, source, ...)``: columns the source lacks (or outside
     ``insert_cols``) are null; ``stamp_col`` is set only by the repeated-rows rule.
