@@ -302,3 +302,19 @@ def test_text_stamps_bad_vs_missing(spark):
     assert s[2]["sla_met"] is True and s[2]["time_left_seconds"] == 3600.0
     w = T.ticket_weight(df, AS_OF).collect()[0]
     assert (w["sla_missed"], w["weight"]) == (2, 5 + 50 + 200)   # bad create date adds no age points
+
+
+def test_kpi_aging_drops_null_status_and_truncates_toward_zero(spark):
+    rows = [
+        # K2: old and open -> counted; null status -> dropped by NOT IN; excluded status -> dropped
+        ticket(1, status=1, create=D(1998, 6, 1), queue=8),
+        ticket(2, status=None, create=D(1998, 6, 1), queue=8),
+        ticket(3, status=7, create=D(1998, 6, 1), queue=8),
+        # K3: responses before creation: minute boundaries -1 and -2 -> avg -1.5 -> -1 (not floor -2)
+        ticket(4, status=1, create=D(1998, 6, 17, 0, 1, 30), queue=8, met=(D(1998, 6, 17, 0, 0, 0), None, None)),
+        ticket(5, status=1, create=D(1998, 6, 17, 0, 2, 0), queue=8, met=(D(1998, 6, 17, 0, 0, 0), None, None)),
+    ]
+    r = KP.desk_ticket_kpis(tdf(spark, rows), AS_OF).collect()[0]
+    assert r["aging_over_5"] == 1
+    assert r["avg_response_minutes"] == -1
+    assert sorted(one(KP.aging_tickets(tdf(spark, rows), AS_OF), "id")) == [1]
