@@ -81,3 +81,33 @@ def test_upsert_equals_dict_model(spark, old, new):
     src = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(new)], "k int, v int, seq int")
     snap, _ = upsert(tgt, src, ["k"], ["seq"])
     assert {r["k"]: r["v"] for r in snap.collect()} == model
+
+
+@SETTINGS
+@given(st.lists(st.datetimes(min_value=dt.datetime(1990, 1, 1), max_value=dt.datetime(2035, 12, 31)),
+                min_size=1, max_size=200))
+def test_display_time_equals_zoneinfo(spark, stamps):
+    """B12 against Python's own conversion: UTC instant -> America/Chicago, 'MM-dd-yy h:mm AM CDT'."""
+    from zoneinfo import ZoneInfo
+    from deskline.functions import display_time
+    stamps = stamps + [dt.datetime(2024, 3, 10, 7, 59), dt.datetime(2024, 3, 10, 8, 0),    # spring forward
+                       dt.datetime(2024, 11, 3, 6, 59), dt.datetime(2024, 11, 3, 7, 0)]   # fall back
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(stamps)], "i int, t timestamp_ntz")
+    got = {r["i"]: r["d"] for r in df.select("i", display_time("t").alias("d")).collect()}
+    chicago = ZoneInfo("America/Chicago")
+    for i, t in enumerate(stamps):
+        want = t.replace(tzinfo=dt.timezone.utc).astimezone(chicago).strftime("%m-%d-%y %-I:%M %p %Z")
+        assert got[i] == want, (t, got[i], want)
+
+
+@SETTINGS
+@given(st.lists(st.integers(min_value=-10**7, max_value=10**7), min_size=1, max_size=300))
+def test_hours_text_equals_decimal_half_up(spark, secs):
+    """T8 hours text: |seconds| / 3600 to two places, ties rounded up (decimal ROUND_HALF_UP)."""
+    from decimal import ROUND_HALF_UP, Decimal
+    from deskline.functions import hours_text
+    df = spark.createDataFrame([(i, float(s)) for i, s in enumerate(secs)], "i int, s double")
+    got = {r["i"]: r["h"] for r in df.select("i", hours_text("s").alias("h")).collect()}
+    for i, s in enumerate(secs):
+        want = str((Decimal(abs(s)) / Decimal(3600)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+        assert got[i] == want, (s, got[i], want)
