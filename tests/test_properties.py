@@ -111,3 +111,19 @@ def test_hours_text_equals_decimal_half_up(spark, secs):
     for i, s in enumerate(secs):
         want = str((Decimal(abs(s)) / Decimal(3600)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
         assert got[i] == want, (s, got[i], want)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(stamps, stamps), min_size=1, max_size=200))
+def test_boundary_diffs_and_week_bounds(spark, pairs):
+    """Boundaries crossed (minute, day); B11: Sunday..Saturday week of a, Sunday -> previous."""
+    from deskline.functions import day_diff, minute_diff, week_end, week_start
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a timestamp_ntz, b timestamp_ntz")
+    got = {r["i"]: r for r in df.select("i", minute_diff("a", "b").alias("m"), day_diff("a", "b").alias("d"),
+                                        week_start("a").alias("ws"), week_end("a").alias("we")).collect()}
+    epoch = dt.datetime(1970, 1, 1)
+    for i, (a, b) in enumerate(pairs):
+        mins = lambda t: int((t - epoch).total_seconds() // 60)
+        start = a.date() - dt.timedelta(days=a.weekday() + 1)
+        assert (got[i]["m"], got[i]["d"]) == (mins(b) - mins(a), (b.date() - a.date()).days)
+        assert (got[i]["ws"], got[i]["we"]) == (start, start + dt.timedelta(days=6))
