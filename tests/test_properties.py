@@ -127,3 +127,24 @@ def test_boundary_diffs_and_week_bounds(spark, pairs):
         start = a.date() - dt.timedelta(days=a.weekday() + 1)
         assert (got[i]["m"], got[i]["d"]) == (mins(b) - mins(a), (b.date() - a.date()).days)
         assert (got[i]["ws"], got[i]["we"]) == (start, start + dt.timedelta(days=6))
+
+
+replies = st.lists(st.sampled_from(["```", "```py\n", "```x1\n", "text", " ", "\n", "a b", "\t", "é", "`"]),
+                   max_size=15).map("".join)
+
+
+@SETTINGS
+@given(st.lists(replies, min_size=1, max_size=60))
+def test_fence_split_equals_python_split(spark, texts):
+    """Split on fences (three backticks + optional tag line), trim, re-fence odd parts."""
+    import re
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id int, turn int, reply string")
+    parts = {}
+    for r in N.split_fences(df).collect():
+        parts.setdefault(r["conv_id"], []).append((r["part_no"], r["text"]))
+    flat = {r["conv_id"]: r["response_text"] for r in N.flatten_reply(df).collect()}
+    for i, t in enumerate(texts):
+        want = [p.strip() if k % 2 == 0 else f"```\n{p.strip()}\n```"
+                for k, p in enumerate(re.split(r"```(?:\w+\n)?", t.strip()))]
+        assert [p for _, p in sorted(parts[i])] == want, repr(t)
+        assert flat[i] == " ".join(want)
