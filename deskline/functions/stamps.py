@@ -34,6 +34,8 @@ def parse_iso(c) -> Column:
     A stamp with an offset is converted to UTC; a plain one is read as UTC.
     """
     t = F.regexp_replace(_c(c), "Z+$", "")
+    # Spark's cast rejects minutes precision followed by an offset (HH:MM+hh:mm): add the seconds.
+    t = F.regexp_replace(t, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})([+-]\d{2}:\d{2})$", "$1:00$2")
     return F.when(t.rlike(ISO_GUARD), t.try_cast("timestamp"))
 
 

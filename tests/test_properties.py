@@ -148,3 +148,34 @@ def test_fence_split_equals_python_split(spark, texts):
                 for k, p in enumerate(re.split(r"```(?:\w+\n)?", t.strip()))]
         assert [p for _, p in sorted(parts[i])] == want, repr(t)
         assert flat[i] == " ".join(want)
+
+
+@st.composite
+def iso_texts(draw):
+    d = draw(st.datetimes(min_value=dt.datetime(1970, 1, 2), max_value=dt.datetime(2090, 12, 30)))
+    s = d.strftime("%Y-%m-%d")
+    if draw(st.booleans()):
+        s += draw(st.sampled_from(["T", " "])) + d.strftime("%H:%M")
+        if draw(st.booleans()):
+            s += d.strftime(":%S")
+            if draw(st.booleans()):
+                s += "." + str(d.microsecond).zfill(6)[:draw(st.integers(1, 6))]
+        if draw(st.booleans()):
+            s += draw(st.sampled_from(["+", "-"])) + f"{draw(st.integers(0, 13)):02d}:{draw(st.sampled_from([0, 30])):02d}"
+    if draw(st.booleans()):
+        s += "Z"
+    return s
+
+
+@SETTINGS
+@given(st.lists(iso_texts(), min_size=1, max_size=200))
+def test_parse_iso_equals_fromisoformat(spark, texts):
+    """B1/T9 on the accepted grammar: offsets are applied (result in UTC), plain stamps read as UTC."""
+    from deskline.functions import parse_iso
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["p"] for r in df.select("i", parse_iso("t").cast("timestamp_ntz").alias("p")).collect()}
+    for i, t in enumerate(texts):
+        v = dt.datetime.fromisoformat(t.rstrip("Z"))
+        if v.tzinfo is not None:
+            v = v.astimezone(dt.timezone.utc).replace(tzinfo=None)
+        assert got[i] == v, t
