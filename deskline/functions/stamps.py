@@ -15,7 +15,8 @@ from deskline.constants import DISPLAY_ZONE
 # B1 guard: date, optional time, optional fraction, optional offset ("Z" is stripped first).
 ISO_GUARD = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?([+-]\d{2}:\d{2})?)?$"
 # B2 guard: only ...T...:ss.fZ or ...T...:ssZ.
-STRICT_Z = r"^(\d{4})-(\d{1,2})-(\d{1,2})T(\d{1,2}):(\d{1,2}):(\d{1,2})(\.\d{1,6})?Z$"
+# (T and Z in either case, as strptime matches literals case-insensitively)
+STRICT_Z = r"^(\d{4})-(\d{1,2})-(\d{1,2})[Tt](\d{1,2}):(\d{1,2}):(\d{1,2})(\.\d{1,6})?[Zz]$"
 
 
 def _c(c) -> Column:
@@ -47,7 +48,8 @@ def parse_strict_z(c) -> Column:
     secs = (g[5].cast("int") + frac.cast("decimal(8,6)")).cast("decimal(16,6)")
     made = F.try_make_timestamp(g[0].cast("int"), g[1].cast("int"), g[2].cast("int"),
                                 g[3].cast("int"), g[4].cast("int"), secs)
-    return F.when(s.rlike(STRICT_Z), made)
+    # make_timestamp would roll second 60 into the next minute; the strict form rejects it
+    return F.when(s.rlike(STRICT_Z) & (g[5].cast("int") < 60), made)
 
 
 def hours_between(a, b) -> Column:

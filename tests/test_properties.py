@@ -179,3 +179,35 @@ def test_parse_iso_equals_fromisoformat(spark, texts):
         if v.tzinfo is not None:
             v = v.astimezone(dt.timezone.utc).replace(tzinfo=None)
         assert got[i] == v, t
+
+
+@st.composite
+def strict_texts(draw):
+    y, mo, d = draw(st.integers(1970, 2090)), draw(st.integers(0, 13)), draw(st.integers(0, 32))
+    h, mi, s = draw(st.integers(0, 25)), draw(st.integers(0, 61)), draw(st.integers(0, 61))
+    pad = draw(st.booleans())
+    f = (lambda v: f"{v:02d}") if pad else str
+    txt = f"{y}-{f(mo)}-{f(d)}T{f(h)}:{f(mi)}:{f(s)}"
+    if draw(st.booleans()):
+        txt += "." + "".join(draw(st.lists(st.sampled_from("0123456789"), min_size=1, max_size=7)))
+    return txt + draw(st.sampled_from(["Z", "", "z", "+00:00"]))
+
+
+@SETTINGS
+@given(st.lists(strict_texts(), min_size=1, max_size=300))
+def test_parse_strict_equals_strptime(spark, texts):
+    """B2: exactly what '%Y-%m-%dT%H:%M:%S.%fZ' or '%Y-%m-%dT%H:%M:%SZ' accept; anything else null."""
+    from deskline.functions import parse_strict_z
+
+    def model(t):
+        for fmt in ("%Y-%m-%dT%H:%M:%S.%fZ", "%Y-%m-%dT%H:%M:%SZ"):
+            try:
+                return dt.datetime.strptime(t, fmt)
+            except ValueError:
+                pass
+        return None
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["p"] for r in df.select("i", parse_strict_z("t").cast("timestamp_ntz").alias("p")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == model(t), t
