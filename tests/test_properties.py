@@ -211,3 +211,24 @@ def test_parse_strict_equals_strptime(spark, texts):
     got = {r["i"]: r["p"] for r in df.select("i", parse_strict_z("t").cast("timestamp_ntz").alias("p")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == model(t), t
+
+
+att = st.fixed_dictionaries({"contentType": st.sampled_from(["application/pdf", "image/png"]),
+                             "contentUrl": st.sampled_from(["u1", "u2"])})
+payloads = st.fixed_dictionaries({}, optional={
+    "attachments": st.lists(att, max_size=3),
+    "value": st.fixed_dictionaries({}, optional={"attachments": st.lists(att, max_size=3)})})
+
+
+@SETTINGS
+@given(st.lists(payloads, min_size=1, max_size=100))
+def test_valid_uploads_equals_rule(spark, items):
+    """Attachments at the root, or (when missing or empty) under 'value'; exactly one PDF."""
+    import json
+    from deskline.operators import commands as C
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(items)], "event_id int, payload string")
+    got = {r["event_id"]: (r["ok"], r["content_url"]) for r in C.valid_uploads(df).collect()}
+    for i, p in enumerate(items):
+        atts = p.get("attachments") or p.get("value", {}).get("attachments") or []
+        ok = len(atts) == 1 and atts[0].get("contentType") == "application/pdf"
+        assert got[i] == (ok, atts[0]["contentUrl"] if ok else None), p
