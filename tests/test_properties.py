@@ -232,3 +232,28 @@ def test_valid_uploads_equals_rule(spark, items):
         atts = p.get("attachments") or p.get("value", {}).get("attachments") or []
         ok = len(atts) == 1 and atts[0].get("contentType") == "application/pdf"
         assert got[i] == (ok, atts[0]["contentUrl"] if ok else None), p
+
+
+messages = st.lists(st.sampled_from(["AskBot", "askbot", "GetNextTicket", "mytickets", "ReviewInsurance", " ",
+                                     "\t", "x", "What?", "\n", "ask"]), max_size=5).map("".join)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), messages), st.sampled_from([None, "", "aad-1"])),
+                min_size=1, max_size=100))
+def test_route_commands_equals_rule(spark, items):
+    """Strip + lower, required fields, first matching prefix, argument after the ask prefix."""
+    from deskline import constants as K
+    from deskline.operators import commands as C
+    df = spark.createDataFrame([(i, m, u, "https://svc", "c") for i, (m, u) in enumerate(items)],
+                               "event_id int, message string, aad_object_id string, service_url string, "
+                               "conversation_id string")
+    got = {r["event_id"]: (r["command"], r["args"]) for r in C.route_commands(df).collect()}
+    for i, (m, u) in enumerate(items):
+        text = (m or "").strip().lower()
+        if not text or not u:
+            want = ("invalid", None)
+        else:
+            cmd = next((p for p in K.COMMAND_PREFIXES if text.startswith(p)), "unknown")
+            want = (cmd, text[len(cmd):].strip() if cmd == K.COMMAND_PREFIXES[0] else None)
+        assert got[i] == want, (m, u)
