@@ -257,3 +257,22 @@ def test_route_commands_equals_rule(spark, items):
             cmd = next((p for p in K.COMMAND_PREFIXES if text.startswith(p)), "unknown")
             want = (cmd, text[len(cmd):].strip() if cmd == K.COMMAND_PREFIXES[0] else None)
         assert got[i] == want, (m, u)
+
+
+json_values = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.text("ab", max_size=3),
+                           lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.text("ab", max_size=2), inner,
+                                                                                      max_size=3), max_leaves=6)
+
+
+@SETTINGS
+@given(st.lists(json_values, min_size=1, max_size=100))
+def test_count_payload_equals_rule(spark, values):
+    """A JSON list counts its items, an object counts 1, anything else is rejected (null)."""
+    import json
+    from deskline.operators import commands as C
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, p string")
+    got = {r["i"]: (r["k"], r["n"]) for r in df.select("i", C.payload_kind("p").alias("k"),
+                                                      C.count_payload("p").alias("n")).collect()}
+    for i, v in enumerate(values):
+        want = ("list", len(v)) if isinstance(v, list) else ("object", 1) if isinstance(v, dict) else ("invalid", None)
+        assert got[i] == want, v
