@@ -1,6 +1,6 @@
 """Importing this module registers every query of the package."""
 
-from deskline.llm import q_byte_bpe, q_sharding, q_url_filters  # noqa: F401
+from deskline.llm import q_byte_bpe, q_langid, q_sharding, q_url_filters  # noqa: F401
 from deskline.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
