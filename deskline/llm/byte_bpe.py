@@ -30,7 +30,7 @@ END = 0x110000  # stands between texts
 CACHE_ENTRIES = 400_000  # distinct slices kept per task
 CACHE_SLICE = 64  # longer slices are merged anew each time
 SHORT_SLICE = 48  # bytes up to which plain list merging is the faster way
-BLOCK_CHARS = 1 << 21  # code points scanned at once; a longer text is scanned alone
+BLOCK_CHARS = 1 << 19  # code points scanned at once; a longer text is scanned alone
 
 # Classes of the automaton.
 LETTER, NUMBER, OTHER, QUOTE2, QUOTE3, SPACE_RUN, SPACE_JOIN, SPACE_LONE, BREAK = range(9)

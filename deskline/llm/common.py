@@ -16,10 +16,17 @@ from deskline.session import ensure_checkpoint_dir
 _SHIPPED: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the package's code to the executors (as ``--py-files`` would), once an application.
+BATCH_ROWS = 256  # rows handed to Python at once: whole texts, so far fewer than Spark's 10,000
 
-    Tasks that run Python import it by name; an executor need not have the repository."""
+
+def prepare(spark: SparkSession) -> None:
+    """Settings and code that tasks running Python need.
+
+    Arrow batches hold ``BATCH_ROWS`` rows unless the session has its own number. The package's code
+    goes to the executors once an application, as ``--py-files`` would do it: tasks import it by name
+    and an executor need not have the repository."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -38,7 +45,7 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark (the folder may be in a store that only Spark opens)."""
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
