@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,9 +28,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 SHORT_TAILS, LONG_TAILS = "stmd", ["re", "ve", "ll"]
 
 END = 0x110000  # stands between texts
-CACHE_ENTRIES = 400_000  # distinct slices kept per task
+CACHE_ENTRIES = 200_000  # distinct slices of each generation that a worker keeps
 CACHE_SLICE = 64  # longer slices are merged anew each time
-SHORT_SLICE = 48  # bytes up to which plain list merging is the faster way
 BLOCK_CHARS = 1 << 19  # code points scanned at once; a longer text is scanned alone
 
 # Classes of the automaton.
@@ -138,28 +138,92 @@ def _token_bytes(path: str) -> list[bytes]:
     return out
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one slice: the pair of lowest rank is merged, leftmost first, until none is left."""
-    if piece in ranks:
-        return [ranks[piece]]
-    if len(piece) > SHORT_SLICE:
-        return _merge_long(piece, ranks)
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    get, never = ranks.get, len(ranks) + (1 << 40)
-    order = [get(a + b, never) for a, b in zip(parts, parts[1:])]
-    while order and (least := min(order)) != never:
-        i = order.index(least)
-        parts[i:i + 2] = [both := parts[i] + parts[i + 1]]
-        del order[i]
-        if i < len(order):
-            order[i] = get(both + parts[i + 1], never)
-        if i:
-            order[i - 1] = get(parts[i - 1] + both, never)
-    return [ranks[p] for p in parts]
-
-
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same for long slices: a heap of (rank, position) over a doubly linked list, n log n."""
+class Merger:
+    """Merges many short slices side by side: in every round each slice merges its pair of lowest
+    rank, the leftmost of equals. Pair ranks come from an open-addressed table of numpy arrays."""
+
+    WIDTHS = (8, 16, 32, 64)  # slices are padded to the next of these
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items()
+                 for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.bits = max(10, (len(pairs) * 4).bit_length())
+        self.keys = np.full((1 << self.bits) + 64, -1, np.int64)
+        self.values = np.full(len(self.keys), self.NONE, np.int32)
+        keys, values = (np.array(x, dtype=np.int64) for x in (zip(*pairs) if pairs else ((), ())))
+        at, self.probes = self._slot(keys), 0
+        while len(keys):  # all keys try their next place together; one wins each place
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[free]
+            won = self.keys[at] == keys
+            self.values[at[won]] = values[won]
+            keys, values, at = keys[~won], values[~won], at[~won] + 1
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the token that a and b make; NONE if there is none or either is negative."""
+        keys = a.astype(np.int64) << 32 | b
+        keys[(a < 0) | (b < 0)] = -2
+        at = self._slot(keys)
+        out = np.where(self.keys[at] == keys, self.values[at], self.NONE)
+        for k in range(1, self.probes):
+            more = self.keys[at + k] == keys
+            out[more] = self.values[at + k][more]
+        return out
+
+    def many(self, pieces: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(pieces)
+        by_width: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            if (r := self.ranks.get(p)) is not None:
+                out[i] = [r]
+            elif len(p) > self.WIDTHS[-1]:
+                out[i] = merge_long(p, self.ranks)
+            else:
+                by_width.setdefault(next(w for w in self.WIDTHS if len(p) <= w), []).append(i)
+        for width, places in by_width.items():
+            for i, ids in zip(places, self._side_by_side([pieces[i] for i in places], width)):
+                out[i] = ids
+        return out
+
+    def _side_by_side(self, pieces: list[bytes], width: int) -> list[list[int]]:
+        cols, out = np.arange(width), [None] * len(pieces)
+        size = np.array([len(p) for p in pieces])
+        data = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(-1, width)
+        ids = np.full((len(pieces), width + 1), -1, np.int32)  # one column more, to shift from
+        ids[:, :width] = np.where(cols < size[:, None], self.single[data], np.int32(-1))
+        order = self.pair(ids[:, :-1], ids[:, 1:])
+        names = np.arange(len(pieces))
+        while len(names):
+            j = order.argmin(1)
+            rows = np.arange(len(names))
+            rank = order[rows, j]
+            if (done := rank == self.NONE).any():
+                for name, n, row in zip(names[done].tolist(), (ids[done] >= 0).sum(1).tolist(), ids[done].tolist()):
+                    out[name] = row[:n]
+                live = ~done
+                names, ids, order, j, rank = names[live], ids[live], order[live], j[live], rank[live]
+                rows = rows[:len(names)]
+                if not len(names):
+                    break
+            take = np.minimum(cols + (cols > j[:, None]), width)
+            ids[:, :width] = np.take_along_axis(ids, take, 1)
+            ids[rows, j] = rank
+            order = np.take_along_axis(order, np.minimum(take, width - 1), 1)
+            order[rows, j] = self.pair(rank, ids[rows, j + 1])
+            left = np.flatnonzero(j > 0)
+            order[left, j[left] - 1] = self.pair(ids[left, j[left] - 1], rank[left])
+        return out
+
+
+def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one long slice: a heap of (rank, position) over a doubly linked list, n log n."""
     from heapq import heapify, heappop, heappush
 
     n = len(piece)
@@ -187,48 +251,49 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the slice cache of one task."""
+    """Encodes batches of texts; remembers the ids of slices within bounds.
+
+    Two generations of slices are kept: a full one becomes the old one, and what is used again moves
+    to the young one.
+    """
 
     def __init__(self, path: str):
         self.ranks, self.tokens = load_ranks(path), _token_bytes(path)
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
-        self.cache: dict[bytes, list[int]] = {}
-
-    def _ids(self, piece: bytes) -> list[int]:
-        got = self.cache.get(piece)
-        if got is None:
-            got = merge(piece, self.ranks)
-            if len(piece) <= CACHE_SLICE:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[piece] = got
+        self.merger = Merger(self.ranks)
+        self.young: dict[bytes, list[int]] = {b"": []}
+        self.old: dict[bytes, list[int]] = {}
+
+    def _look_up(self, pieces: list[bytes]) -> list[list[int]]:
+        got = list(map(self.young.get, pieces))
+        missing = {pieces[i] for i, ids in enumerate(got) if ids is None}
+        if missing:
+            found = {p: ids for p in missing if (ids := self.old.get(p)) is not None}
+            new = [p for p in missing if p not in found]
+            found |= zip(new, self.merger.many(new))
+            if len(self.young) >= CACHE_ENTRIES:
+                self.old, self.young = self.young, {b"": []}
+            self.young |= {p: ids for p, ids in found.items() if len(p) <= CACHE_SLICE}
+            got = [found[p] if ids is None else ids for p, ids in zip(pieces, got)]
         return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
         sep = np.array([END], dtype=np.uint32)
         parts = [p for t in texts for p in (np.frombuffer(t.encode("utf-32-le"), np.uint32), sep)]
-        points = np.concatenate(parts) if parts else sep[:0]
-        starts = np.flatnonzero(boundaries(points)) if len(points) else np.zeros(0, np.int64)
+        if not parts:
+            return []
+        points = np.concatenate(parts)
+        starts = np.flatnonzero(boundaries(points))
         # Byte positions: every text's UTF-8 is laid end to end, END takes no bytes.
-        size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        size = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
         size[points == END] = 0
-        at = np.cumsum(size) - size
         data = "".join(texts).encode()
-        is_end = points[starts] == END
-        cut = at[starts].tolist()
-        cut.append(len(data))
-        ends = np.flatnonzero(is_end).tolist()
-        out, first, get = [], 0, self.cache.get
-        for e in ends:
-            ids: list[int] = []
-            a = cut[first] if first < e else 0
-            for b in cut[first + 1:e + 1]:
-                ids += get(piece := data[a:b]) or self._ids(piece)
-                a = b
-            out.append(np.array(ids, dtype=np.int32))
-            first = e + 1
-        return out
+        cut = (np.cumsum(size) - size)[starts].tolist()
+        got = self._look_up([data[a:b] for a, b in zip(cut, [*cut[1:], len(data)])])
+        sizes = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+        flat = np.fromiter(chain.from_iterable(got), np.int32, int(sizes[-1]))
+        return np.split(flat, sizes[points[starts] == END][:-1])
 
     def batches(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """Ranges of texts of about BLOCK_CHARS code points."""
@@ -242,6 +307,12 @@ class Encoder:
             yield begin, len(texts)
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder: what one task has merged, the next need not."""
+    return Encoder(path)
+
+
 ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
                         T.StructField("starts", T.ArrayType(T.LongType(), False))])
 
@@ -254,7 +325,7 @@ def encode_column(text: Column, path: str, offsets: bool = True) -> Column:
 
     @F.pandas_udf(ENCODED)
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        enc = Encoder(path)
+        enc = _encoder(path)
         for batch in batches:
             texts = ["" if t is None else t for t in batch]
             ids = [x for a, b in enc.batches(texts) for x in enc.encode(texts[a:b])]
