@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,9 +36,8 @@ from deskline.llm.common import stored
 from deskline.llm.components import components
 
 FREQUENT = 1 << 17  # entries of the broadcast table of frequent tokens (2 MB)
-REPEATS = 4  # times a token must repeat in one counting batch to be told of
-COUNT_TOKENS = 1 << 20  # tokens of a counting batch
-WORDS_KEPT = 400_000  # distinct words whose fingerprints a task remembers
+COUNT_TOKENS = 1 << 22  # tokens of a counting batch (different texts only); what repeats in it is told of
+BROADCAST_ROWS = 1 << 20  # rows of (at most two) numbers that are broadcast; larger tables are shuffled
 PIVOTS = (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x3333333333333333)  # masks: each picks another member
 ORDER_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -50,30 +50,69 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sorted distinct token fingerprints of texts; remembers word fingerprints within bounds."""
-
-    def __init__(self, width: int):
-        self.width, self.known = width, {}
-
-    def _word(self, word: bytes) -> int:
-        if len(self.known) >= WORDS_KEPT:
-            self.known.clear()
-        h = self.known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-    def tokens(self, text: str | None) -> np.ndarray:
-        """Words are what stands between blanks (bytes 9-13 and 32) after lower-casing A-Z."""
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        get, new = self.known.get, self._word
-        h = np.array([get(w) or new(w) for w in words], dtype=np.uint64)
-        k = min(self.width, len(h))
-        out = np.full(len(h) - k + 1, k, np.uint64)
-        for i in range(k):
-            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - k + 1 + i])
-        return np.unique(out)
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
+BATCH_BYTES = 1 << 20  # text hashed at once; a longer text goes alone
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base & (1 << 64) - 1, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+@lru_cache(1)
+def _scales(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(n, _BASE), _powers(n, pow(_BASE, -1, 1 << 64))
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct fingerprints of every text's ``width``-word n-grams.
+
+    Words are what stands between blanks (bytes 9-13 and 32) after lower-casing A-Z. A word's
+    fingerprint is a polynomial over its bytes, found for all words at once from running sums."""
+    out: list[np.ndarray] = []
+    batch: list[bytes] = []
+    size = 0
+    for text in texts:
+        raw = (text or "").encode().lower()
+        if batch and size + len(raw) > BATCH_BYTES:
+            out += _shingles(batch, width)
+            batch, size = [], 0
+        batch.append(raw)
+        size += len(raw) + 1
+    return out + (_shingles(batch, width) if batch else [])
+
+
+def _shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    change = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        change = np.concatenate([[0], change])
+    begin, end = change[0::2], change[1::2]  # of words; the data ends with a blank
+    n = max(len(data), BATCH_BYTES + 1)
+    scale, inverse = _scales(n) if n == BATCH_BYTES + 1 else (_powers(n, _BASE), _powers(n, pow(_BASE, -1, 1 << 64)))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * scale[:len(data)])])
+    words = _mix((sums[end] - sums[begin]) * inverse[begin])
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    cut = np.searchsorted(begin, ends)  # words of each text end here
+    full = max(0, len(words) - width + 1)
+    h = np.full(full, width, np.uint64)
+    for i in range(width):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i:i + full])
+    out, first = [], 0
+    for last in cut.tolist():
+        k = last - first
+        if k >= width:
+            out.append(np.unique(h[first:last - width + 1]))
+        else:  # fewer words: the whole sequence is one n-gram; no words: none
+            one = np.full(min(k, 1), k, np.uint64)
+            for i in range(first, last):
+                one = _mix(one * np.uint64(0x9E3779B97F4A7C15) + words[i])
+            out.append(one)
+        first = last
+    return out
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -109,20 +148,21 @@ def frequent_tokens(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     """Fingerprints of the tokens that repeat most over all documents, least frequent first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, held, size = Shingler(width), [], 0
+        held: dict[int, np.ndarray] = {}
+        size = 0
 
         def flush() -> pd.DataFrame:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            many = n >= REPEATS
-            return pd.DataFrame({"token": tokens[many].view(np.int64), "n": n[many]})
+            tokens, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            return pd.DataFrame({"token": tokens[n > 1].view(np.int64), "n": n[n > 1]})
 
         for batch in batches:
-            for text in batch["text"]:
-                held.append(shingler.tokens(text))
-                size += len(held[-1])
-                if size >= COUNT_TOKENS:
-                    yield flush()
-                    held, size = [], 0
+            for tokens in shingle_sets(batch["text"].tolist(), width):
+                if len(tokens) and (node := _node(tokens)) not in held:
+                    held[node] = tokens
+                    size += len(tokens)
+            if size >= COUNT_TOKENS:
+                yield flush()
+                held, size = {}, 0
         if held:
             yield flush()
 
@@ -149,9 +189,8 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     orders = spark.sparkContext.broadcast(Orders(frequent_tokens(own, "text", width), percent))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(width)
         for batch in batches:
-            sets = [shingler.tokens(t) for t in batch["text"]]
+            sets = shingle_sets(batch["text"].tolist(), width)
             yield pd.DataFrame({
                 "id": batch["id"], "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets],
                 "first": [_as_long(orders.value.prefix(s, 0)) for s in sets]}).astype({"node": "Int64"})
@@ -167,21 +206,29 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it was counted to be within bounds."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _links(own: DataFrame, tab: DataFrame, orders, width: int, percent: int) -> DataFrame:
     """Links ``a``, ``b`` between nodes whose components are those of all links."""
     # Tokens in the prefixes of two nodes or more, each with its nodes.
     entries = tab.filter("n > 0").select("node", F.explode("first").alias("token"))
     several = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    shared = stored(entries.join(several.select("token"), "token", "left_semi").distinct(), "shared")
+    several = _small(stored(several.select("token"), "several"))
+    shared = stored(entries.join(several, "token", "left_semi").distinct(), "shared")
 
     # Whole sets, and prefixes under all orders, of the nodes that stand there: one text a node.
-    ids = tab.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("i"))
+    nodes = _small(stored(shared.select("node").distinct(), "nodes"))
+    ids = tab.select("node", "id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("i"))
+    ids = _small(stored(ids.select("i").distinct(), "ids"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, seen = Shingler(width), set()  # rows that repeat an id meet in one task
+        seen = set()  # of the task
         for batch in batches:
             all_sets = {}
-            for s in map(shingler.tokens, batch["text"]):
+            for s in shingle_sets(batch["text"].tolist(), width):
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)
                     all_sets[node] = s
@@ -192,7 +239,7 @@ def _links(own: DataFrame, tab: DataFrame, orders, width: int, percent: int) ->
                 out[name] = [_as_long(orders.value.prefix(s, k)) for s in all_sets]
             yield pd.DataFrame(out)
 
-    texts = own.join(ids.select("i").distinct(), F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text")
+    texts = own.join(ids, F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text")
     whole = stored(texts.mapInPandas(
         sets, "node long, n long, tokens array<long>, p0 array<long>, p1 array<long>, p2 array<long>"), "sets")
 
