@@ -7,6 +7,7 @@ are stored in the shared folder after every round; only two numbers a round reac
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +59,17 @@ def components(edges: DataFrame, src: str, dst: str, rounds: int = 60) -> DataFr
         raise RuntimeError("components did not converge")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inside one task: the smallest position reachable by links (i, j), for each of n positions."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[i], root[j])
+        new = root.copy()
+        for at in (i, j, root[i], root[j]):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

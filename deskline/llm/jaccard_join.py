@@ -13,9 +13,11 @@ own, so a passage that many documents share does not reach the prefixes.
 3. Stars: in each token's group every node is paired with a few pivots of the group, so a group of
    g nodes gives a multiple of g pairs. Pairs must also share prefix tokens under the second and
    third order (the filters are intersected) before the whole sets are compared.
-4. What is left are pairs of nodes in different components that share a prefix token; each such pair
-   is formed once, passes the same filters and is compared. Pairs inside a component can add
-   nothing to the components, so no link that matters is lost and no group's pairs are listed.
+4. What is left are pairs of nodes in different components that share a prefix token. In small token
+   groups each such pair is formed once, passes the same filters and is compared; large groups are
+   cut into tiles, and a task applies the filters and the comparison to two tiles at a time and
+   returns a spanning forest of the links it finds. Pairs inside a component can add nothing to the
+   components, so no link that matters is lost and no large group's pairs are listed.
 
 Nodes are 64-bit fingerprints of token sets and tokens 64-bit fingerprints of n-grams; unequal ones
 are taken to differ.
@@ -33,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deskline.llm.common import stored
-from deskline.llm.components import components
+from deskline.llm.components import components, smallest_reachable
 
 FREQUENT = 1 << 17  # entries of the broadcast table of frequent tokens (2 MB)
 COUNT_TOKENS = 1 << 22  # tokens of a counting batch (different texts only); what repeats in it is told of
+LARGE = 64  # nodes of a token's group that are compared pair by pair; larger groups go in tiles
+TILE_TOKENS = 1 << 18  # tokens of the sets of a tile
 BROADCAST_ROWS = 1 << 20  # rows of (at most two) numbers that are broadcast; larger tables are shuffled
 PIVOTS = (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x3333333333333333)  # masks: each picks another member
 ORDER_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -191,13 +195,16 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), width)
-            yield pd.DataFrame({
-                "id": batch["id"], "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets],
-                "first": [_as_long(orders.value.prefix(s, 0)) for s in sets]}).astype({"node": "Int64"})
+            out = {"id": batch["id"], "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets],
+                   "p0": [_as_long(orders.value.prefix(s, 0)) for s in sets]}
+            for k in (1, 2):  # 32 bits do for a filter that may let too much through
+                out[f"p{k}"] = [orders.value.prefix(s, k).astype(np.uint32).view(np.int32) for s in sets]
+            yield pd.DataFrame(out).astype({"node": "Int64"})
 
     id_type = own.schema["id"].dataType.simpleString()
-    tab = stored(own.mapInPandas(prefixes, f"id {id_type}, n long, node long, first array<long>"), "prefixes")
-    links = _links(own, tab, orders, width, percent)
+    tab = stored(own.mapInPandas(prefixes, f"id {id_type}, n long, node long, p0 array<long>, p1 array<int>, p2 array<int>"),
+                 "prefixes")
+    links = _links(own, tab, width, percent)
     found = components(links, "a", "b")
     rows = tab.select("id", "n", "node").join(found.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
     rows = rows.select("id", "n", F.coalesce("component", "node").alias("g"))
@@ -211,37 +218,19 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _links(own: DataFrame, tab: DataFrame, orders, width: int, percent: int) -> DataFrame:
+def _links(own: DataFrame, tab: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a``, ``b`` between nodes whose components are those of all links."""
-    # Tokens in the prefixes of two nodes or more, each with its nodes.
-    entries = tab.filter("n > 0").select("node", F.explode("first").alias("token"))
+    # Tokens in the first order's prefixes of two nodes or more, each with its nodes.
+    entries = tab.filter("n > 0").select("node", F.explode("p0").alias("token"))
     several = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     several = _small(stored(several.select("token"), "several"))
     shared = stored(entries.join(several, "token", "left_semi").distinct(), "shared")
-
-    # Whole sets, and prefixes under all orders, of the nodes that stand there: one text a node.
+    # One row of each node that stands there.
     nodes = _small(stored(shared.select("node").distinct(), "nodes"))
-    ids = tab.select("node", "id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("i"))
-    ids = _small(stored(ids.select("i").distinct(), "ids"))
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()  # of the task
-        for batch in batches:
-            all_sets = {}
-            for s in shingle_sets(batch["text"].tolist(), width):
-                if len(s) and (node := _node(s)) not in seen:
-                    seen.add(node)
-                    all_sets[node] = s
-            nodes, all_sets = list(all_sets), list(all_sets.values())
-            out = {"node": nodes, "n": [len(s) for s in all_sets],
-                   "tokens": [_as_long(s) for s in all_sets]}
-            for k, name in enumerate(("p0", "p1", "p2")):
-                out[name] = [_as_long(orders.value.prefix(s, k)) for s in all_sets]
-            yield pd.DataFrame(out)
-
-    texts = own.join(ids, F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text")
-    whole = stored(texts.mapInPandas(
-        sets, "node long, n long, tokens array<long>, p0 array<long>, p1 array<long>, p2 array<long>"), "sets")
+    one = tab.select("node", "id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("i"))
+    one = _small(stored(one.withColumnRenamed("node", "m"), "one"))
+    slim = stored(tab.join(one, (F.col("node") == F.col("m")) & F.col("id").eqNullSafe(F.col("i")))
+                  .select("node", "i", "n", "p1", "p2"), "slim")
 
     # Stars around a few pivots of every token's group.
     pivots = shared.groupBy("token").agg(*[F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"v{i}")
@@ -249,34 +238,117 @@ def _links(own: DataFrame, tab: DataFrame, orders, width: int, percent: int) ->
     stars = shared.join(pivots, "token").select("node", F.explode(F.array_distinct(F.array(
         *[f"v{i}" for i in range(len(PIVOTS))]))).alias("v")).filter("node <> v")
     stars = stars.select(F.least("node", "v").alias("a"), F.greatest("node", "v").alias("b")).distinct()
-    near = stored(_compare(stars, whole, percent, filters=True), "star_links")
+    near = _verified(stars, own, slim, width, percent)
 
-    # Pairs that still lie in different components.
+    # Pairs that still lie in different components, each at the smallest token the two share.
     comp = components(near, "a", "b")
     placed = shared.join(comp, "node", "left").select("token", "node", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-    placed = stored(placed.join(mixed, "token", "left_semi").join(whole.drop("tokens"), "node"), "mixed")
-    x, y = placed.alias("x"), placed.alias("y")
+    placed = placed.join(mixed, "token", "left_semi").join(slim.select("node", "n").distinct(), "node")
+    placed = stored(placed, "mixed")
+    sizes = placed.groupBy("token").agg(F.count(F.lit(1)).alias("g"))
+    few = placed.join(sizes.filter(F.col("g") <= LARGE).select("token"), "token", "left_semi")
+    held = few.groupBy("node").agg(F.collect_list("token").alias("held"))  # at most a prefix
+    few = stored(few.join(held, "node"), "few")
+    x, y = few.alias("x"), few.alias("y")
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr("x.c < y.c")
                    & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-                   & F.expr("array_min(array_intersect(x.p0, y.p0)) = x.token")  # each pair once
-                   & F.expr("arrays_overlap(x.p1, y.p1) AND arrays_overlap(x.p2, y.p2)"))
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    far = stored(_compare(cross, whole, percent, filters=False), "cross_links")
-    return near.unionByName(far)
-
-
-def _compare(pairs: DataFrame, whole: DataFrame, percent: int, filters: bool) -> DataFrame:
-    """The pairs that link. ``filters``: length and the orders' prefixes are checked first."""
-    left = whole.select(*[F.col(c).alias(f"a_{c}") for c in whole.columns])
-    right = whole.select(*[F.col(c).alias(f"b_{c}") for c in whole.columns])
-    if filters:
-        slim_l, slim_r = left.drop("a_tokens", "a_p0"), right.drop("b_tokens", "b_p0")
-        pairs = (pairs.join(slim_l, F.col("a") == F.col("a_node")).join(slim_r, (F.col("b") == F.col("b_node"))
-                 & F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-                 & F.expr("arrays_overlap(a_p1, b_p1) AND arrays_overlap(a_p2, b_p2)")).select("a", "b"))
-    both = (pairs.join(left.select("a_node", "a_n", "a_tokens"), F.col("a") == F.col("a_node"))
-            .join(right.select("b_node", "b_n", "b_tokens"), F.col("b") == F.col("b_node")))
-    both = both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("sum"),
-                       F.size(F.array_intersect("a_tokens", "b_tokens")).alias("common"))
-    return both.filter(f"100L * common >= {percent}L * (sum - common)").select("a", "b")
+                   & F.expr("array_min(array_intersect(x.held, y.held)) = x.token"))
+    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    many = placed.join(sizes.filter(F.col("g") > LARGE).select("token"), "token", "left_semi")
+    return near.unionByName(_verified(cross, own, slim, width, percent)).unionByName(
+        _tiled(stored(many, "many"), own, slim, width, percent))
+
+
+def _tiled(many: DataFrame, own: DataFrame, slim: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links inside large token groups, compared tile by tile; of each pair of tiles a spanning forest.
+
+    Nodes of a group's largest component need no comparison among themselves: the others' tiles meet
+    all tiles. A tile is bounded by the number of tokens of its sets, so no task holds a whole group."""
+    parts = many.groupBy("token", "c").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("size"))
+    groups = parts.groupBy("token").agg(F.max(F.struct("g", "c"))["c"].alias("big"), F.sum("size").alias("size"),
+                                        F.max(F.struct("g", "size"))["size"].alias("big_size"))
+    groups = groups.select("token", "big", F.ceil(F.col("size") / TILE_TOKENS).alias("right_tiles"),
+                           F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("big_size")) / TILE_TOKENS)).alias("left_tiles"))
+    rows = many.join(groups, "token")
+    left = rows.filter("c <> big").select("token", "node", F.lit(0).alias("side"), F.expr(
+        "pmod(xxhash64(node, 1), left_tiles)").alias("l"),
+        F.explode(F.expr("sequence(0L, right_tiles - 1)")).alias("r"))
+    right = rows.select("token", "node", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, left_tiles - 1)")).alias("l"),
+                        F.expr("pmod(xxhash64(node, 2), right_tiles)").alias("r"))
+    dealt = left.unionByName(right)
+    whole = _sets(own, slim, many.select(F.col("node").alias("m")).distinct(), width)
+    dealt = dealt.join(whole.join(slim.select("node", "p1", "p2").dropDuplicates(["node"]), "node"), "node")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group[group["side"] == 0], group[group["side"] == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []})
+        may = (_overlap(a["p1"], b["p1"]) > 0) & (_overlap(a["p2"], b["p2"]) > 0)
+        if not may.any():
+            return pd.DataFrame({"a": [], "b": []})
+        both = _overlap(a["tokens"], b["tokens"])
+        total = np.array([len(t) for t in a["tokens"]])[:, None] + np.array([len(t) for t in b["tokens"]])[None, :]
+        an, bn = a["node"].to_numpy(), b["node"].to_numpy()
+        i, j = np.nonzero(may & (100 * both >= percent * (total - both)) & (an[:, None] != bn[None, :]))
+        names, place = np.unique(np.concatenate([an[i], bn[j]]), return_inverse=True)
+        root = smallest_reachable(len(names), place[:len(i)], place[len(i):])
+        tied = root != np.arange(len(names))
+        return pd.DataFrame({"a": names[root[tied]], "b": names[tied]})
+
+    return stored(dealt.groupBy("token", "l", "r").applyInPandas(compare, "a long, b long"), "tile_links")
+
+
+def _overlap(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``, exact up to 2**24.
+
+    Sets become rows of 0 and 1 over the tokens that both sides hold, a slice of the tokens at a time."""
+    rows = [np.repeat(np.arange(len(x)), [len(t) for t in x]) for x in (a, b)]
+    tokens = [np.concatenate(x.to_list()) for x in (a, b)]
+    common = np.intersect1d(tokens[0], tokens[1])
+    out = np.zeros((len(a), len(b)), np.float32)
+    step = max(1, (8 << 20) // (len(a) + len(b)))
+    for s in range(0, len(common), step):
+        part = common[s:s + step]
+        grid = []
+        for r, t, n in zip(rows, tokens, (len(a), len(b))):
+            at = np.minimum(np.searchsorted(part, t), len(part) - 1)
+            ok = part[at] == t
+            m = np.zeros((n, len(part)), np.float32)
+            m[r[ok], at[ok]] = 1
+            grid.append(m)
+        out += grid[0] @ grid[1].T
+    return out.astype(np.int64)
+
+
+def _verified(pairs: DataFrame, own: DataFrame, slim: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that link: length and the other orders' prefixes are checked, then the whole sets."""
+    left = slim.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
+    right = slim.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
+    pairs = pairs.join(left, "a").join(right, "b").filter(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
+    pairs = stored(pairs.filter("arrays_overlap(a1, b1) AND arrays_overlap(a2, b2)").select("a", "b"), "pairs")
+    whole = _sets(own, slim, pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), width)
+    left = whole.select(F.col("node").alias("a"), F.col("tokens").alias("at"))
+    right = whole.select(F.col("node").alias("b"), F.col("tokens").alias("bt"))
+    both = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", (F.size("at") + F.size("bt")).alias("sum"), F.size(F.array_intersect("at", "bt")).alias("common"))
+    return stored(both.filter(f"100L * common >= {percent}L * (sum - common)").select("a", "b"), "links")
+
+
+def _sets(own: DataFrame, slim: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``node`` and ``tokens`` of the nodes in ``nodes.m``, from one text each."""
+    ids = slim.select("node", "i").join(nodes, F.col("node") == F.col("m"), "left_semi").select("i").distinct()
+    ids = _small(stored(ids, "ids"))
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()  # of the task
+        for batch in batches:
+            new = {}
+            for s in shingle_sets(batch["text"].tolist(), width):
+                if len(s) and (node := _node(s)) not in seen:
+                    seen.add(node)
+                    new[node] = s
+            yield pd.DataFrame({"node": list(new), "tokens": [_as_long(s) for s in new.values()]})
+
+    texts = own.join(ids, F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text")
+    return stored(texts.mapInPandas(sets, "node long, tokens array<long>"), "sets")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskline.llm.common import stored
-from deskline.llm.components import components
+from deskline.llm.components import components, smallest_reachable
 
 TILE = 1024  # vectors of a tile
 STEPS = (4, 8, 16, 32, 64, 128, 256, 512)  # leading dimensions after which pairs are given up
@@ -111,22 +111,6 @@ def compare_tiles(a: np.ndarray, b: np.ndarray, threshold: float, axes: np.ndarr
     return i[exact >= threshold], j[exact >= threshold]
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest position reachable by links, for every position."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        np.minimum.at(new, root[i], least)
-        np.minimum.at(new, root[j], least)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def link_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id",
                  vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id`` (smallest id reachable), ``kept``.
@@ -190,11 +174,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
         wa, wb = left["weight"].to_numpy(), right["weight"].to_numpy()
         if same:
             links = np.bincount(i, wa[j], len(a)) + np.bincount(j, wa[i], len(a))
-            keys, root = left["key"].to_numpy(), _forest(len(a), i, j)
+            keys, root = left["key"].to_numpy(), smallest_reachable(len(a), i, j)
         else:
             links = np.concatenate([np.bincount(i, wb[j], len(a)), np.bincount(j, wa[i], len(b))])
             keys = np.concatenate([left["key"].to_numpy(), right["key"].to_numpy()])
-            root = _forest(len(keys), i, j + len(a))
+            root = smallest_reachable(len(keys), i, j + len(a))
         some = links > 0
         return pd.DataFrame({"key": keys[some], "links": links[some].astype(np.int64), "root": keys[root[some]]})
 
