@@ -13,13 +13,11 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The code points of the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
@@ -30,7 +28,7 @@ SHORT_TAILS, LONG_TAILS = "stmd", ["re", "ve", "ll"]
 END = 0x110000  # stands between texts
 CACHE_ENTRIES = 200_000  # distinct slices of each generation that a worker keeps
 CACHE_SLICE = 64  # longer slices are merged anew each time
-BLOCK_CHARS = 1 << 19  # code points scanned at once; a longer text is scanned alone
+BLOCK_CHARS = 1 << 20  # code points scanned at once; a longer text is scanned alone
 
 # Classes of the automaton.
 LETTER, NUMBER, OTHER, QUOTE2, QUOTE3, SPACE_RUN, SPACE_JOIN, SPACE_LONE, BREAK = range(9)
@@ -171,20 +169,26 @@ class Merger:
         keys = a.astype(np.int64) << 32 | b
         keys[(a < 0) | (b < 0)] = -2
         at = self._slot(keys)
-        out = np.where(self.keys[at] == keys, self.values[at], self.NONE)
-        for k in range(1, self.probes):
-            more = self.keys[at + k] == keys
-            out[more] = self.values[at + k][more]
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], self.NONE)
+        todo = np.flatnonzero((there != keys) & (there != -1))
+        while len(todo):
+            at[todo] += 1
+            there = self.keys[at[todo]]
+            same = there == keys[todo]
+            out[todo[same]] = self.values[at[todo[same]]]
+            todo = todo[~same & (there != -1)]
         return out
 
-    def many(self, pieces: list[bytes]) -> list[list[int]]:
+    def many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each slice, as the bytes of 32-bit numbers."""
         out: list = [None] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if (r := self.ranks.get(p)) is not None:
-                out[i] = [r]
+                out[i] = np.int32(r).tobytes()
             elif len(p) > self.WIDTHS[-1]:
-                out[i] = merge_long(p, self.ranks)
+                out[i] = np.array(merge_long(p, self.ranks), np.int32).tobytes()
             else:
                 by_width.setdefault(next(w for w in self.WIDTHS if len(p) <= w), []).append(i)
         for width, places in by_width.items():
@@ -192,34 +196,35 @@ class Merger:
                 out[i] = ids
         return out
 
-    def _side_by_side(self, pieces: list[bytes], width: int) -> list[list[int]]:
-        cols, out = np.arange(width), [None] * len(pieces)
+    def _side_by_side(self, pieces: list[bytes], width: int) -> list[bytes]:
+        cols = np.arange(width)
         size = np.array([len(p) for p in pieces])
         data = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(-1, width)
         ids = np.full((len(pieces), width + 1), -1, np.int32)  # one column more, to shift from
         ids[:, :width] = np.where(cols < size[:, None], self.single[data], np.int32(-1))
-        order = self.pair(ids[:, :-1], ids[:, 1:])
-        names = np.arange(len(pieces))
-        while len(names):
-            j = order.argmin(1)
-            rows = np.arange(len(names))
+        order = np.full(ids.shape, self.NONE, np.int32)
+        order[:, :-1] = self.pair(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(-1, width)
+        # Merging j with the next live place takes that place away; places know their neighbours.
+        after = np.tile(np.arange(1, width + 2, dtype=np.int8), (len(pieces), 1))
+        before = np.tile(np.arange(-1, width, dtype=np.int8), (len(pieces), 1))
+        rows = np.arange(len(pieces))
+        while len(rows):
+            j = order[rows].argmin(1) if len(rows) < len(order) else order.argmin(1)
             rank = order[rows, j]
-            if (done := rank == self.NONE).any():
-                for name, n, row in zip(names[done].tolist(), (ids[done] >= 0).sum(1).tolist(), ids[done].tolist()):
-                    out[name] = row[:n]
-                live = ~done
-                names, ids, order, j, rank = names[live], ids[live], order[live], j[live], rank[live]
-                rows = rows[:len(names)]
-                if not len(names):
-                    break
-            take = np.minimum(cols + (cols > j[:, None]), width)
-            ids[:, :width] = np.take_along_axis(ids, take, 1)
-            ids[rows, j] = rank
-            order = np.take_along_axis(order, np.minimum(take, width - 1), 1)
-            order[rows, j] = self.pair(rank, ids[rows, j + 1])
+            if not (more := rank != self.NONE).all():
+                rows, j, rank = rows[more], j[more], rank[more]
+            k = after[rows, j]
+            nxt = after[rows, k]
+            ids[rows, j], ids[rows, k] = rank, -1
+            after[rows, j], before[rows, np.minimum(nxt, width)] = nxt, j
+            order[rows, k] = self.NONE
+            order[rows, j] = self.pair(rank, ids[rows, np.minimum(nxt, width)])
             left = np.flatnonzero(j > 0)
-            order[left, j[left] - 1] = self.pair(ids[left, j[left] - 1], rank[left])
-        return out
+            lr, lj = rows[left], before[rows[left], j[left]]
+            order[lr, lj] = self.pair(ids[lr, lj], rank[left])
+        kept = ids >= 0
+        raw, cut = ids[kept].tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
+        return [raw[a:b] for a, b in zip([0, *cut], cut)]
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -261,20 +266,20 @@ class Encoder:
         self.ranks, self.tokens = load_ranks(path), _token_bytes(path)
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.merger = Merger(self.ranks)
-        self.young: dict[bytes, list[int]] = {b"": []}
-        self.old: dict[bytes, list[int]] = {}
+        self.young: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
 
-    def _look_up(self, pieces: list[bytes]) -> list[list[int]]:
+    def _look_up(self, pieces: list[bytes]) -> list[bytes]:
         got = list(map(self.young.get, pieces))
-        missing = {pieces[i] for i, ids in enumerate(got) if ids is None}
-        if missing:
-            found = {p: ids for p in missing if (ids := self.old.get(p)) is not None}
-            new = [p for p in missing if p not in found]
+        if missing := [i for i, ids in enumerate(got) if ids is None]:
+            found = {p: self.old.get(p) for p in map(pieces.__getitem__, missing)}
+            new = [p for p, ids in found.items() if ids is None]
             found |= zip(new, self.merger.many(new))
             if len(self.young) >= CACHE_ENTRIES:
-                self.old, self.young = self.young, {b"": []}
+                self.old, self.young = self.young, {b"": b""}
             self.young |= {p: ids for p, ids in found.items() if len(p) <= CACHE_SLICE}
-            got = [found[p] if ids is None else ids for p, ids in zip(pieces, got)]
+            for i in missing:
+                got[i] = found[pieces[i]]
         return got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -286,14 +291,13 @@ class Encoder:
         points = np.concatenate(parts)
         starts = np.flatnonzero(boundaries(points))
         # Byte positions: every text's UTF-8 is laid end to end, END takes no bytes.
-        size = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        size = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
         size[points == END] = 0
         data = "".join(texts).encode()
-        cut = (np.cumsum(size) - size)[starts].tolist()
+        cut = (np.cumsum(size, dtype=np.int64) - size)[starts].tolist()
         got = self._look_up([data[a:b] for a, b in zip(cut, [*cut[1:], len(data)])])
-        sizes = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
-        flat = np.fromiter(chain.from_iterable(got), np.int32, int(sizes[-1]))
-        return np.split(flat, sizes[points[starts] == END][:-1])
+        ends = np.flatnonzero(points[starts] == END).tolist()
+        return [np.frombuffer(b"".join(got[a:b]), np.int32) for a, b in zip([0, *ends], ends)]
 
     def batches(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """Ranges of texts of about BLOCK_CHARS code points."""
@@ -313,48 +317,49 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-ENCODED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
-                        T.StructField("starts", T.ArrayType(T.LongType(), False))])
-
-
-def encode_column(text: Column, path: str, offsets: bool = True) -> Column:
-    """Struct of ``ids`` and ``starts`` (each token's first byte in the text's UTF-8) of a text column.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+                     offsets: bool = True) -> DataFrame:
+    """One row per document: ``id_col``, ``ids``, ``starts`` (each token's first byte in the text's UTF-8).
 
-    Null and empty texts give empty arrays. ``offsets=False`` leaves ``starts`` null.
-    """
+    Null and empty texts give empty arrays; ``offsets=False`` leaves ``starts`` null. Rows that repeat
+    an id or a text are rows of their own; extra columns are ignored. Nothing is shuffled."""
 
-    @F.pandas_udf(ENCODED)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch]
-            ids = [x for a, b in enc.batches(texts) for x in enc.encode(texts[a:b])]
-            starts = [np.cumsum(n := enc.lengths[x]) - n for x in ids] if offsets else [None] * len(ids)
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "starts": pd.Series(starts, dtype=object)})
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in enc.batches(texts):
+                ids = enc.encode(texts[a:b])
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.concatenate(ids)
+                starts = pa.nulls(b - a, pa.list_(pa.int64()))
+                if offsets:
+                    size = enc.lengths[flat]
+                    at = np.cumsum(size) - size
+                    first = np.repeat(at[np.minimum(ends[:-1], max(0, len(at) - 1))] if len(at) else ends[:-1], np.diff(ends))
+                    starts = pa.ListArray.from_arrays(pa.array(ends), pa.array(at - first))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), starts],
+                    names=[id_col, "ids", "starts"])
+
+    own = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+    kind = own.schema[0].dataType.simpleString()
+    return own.mapInArrow(encode, f"`{id_col}` {kind}, ids array<int>, starts array<bigint>")
 
-    return encode(text)
 
+def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """One row per encoded document: ``id_col``, ``ids``, ``decoded`` (binary; null for null ids).
 
-def decode_column(ids: Column, path: str) -> Column:
-    """Bytes of an array of ids; null ids give null. An id outside the rank file raises."""
+    An id outside the rank file raises."""
 
-    @F.pandas_udf(T.BinaryType())
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = _token_bytes(path)
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _encoder(path).tokens
         for batch in batches:
-            yield pd.Series([None if x is None else b"".join([tokens[i] for i in x.tolist()])
-                             for x in batch], dtype=object)
-
-    return decode(ids)
-
-
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                     offsets: bool = True) -> DataFrame:
-    """One row per document: ``id_col``, ``ids``, ``starts``. Nothing is shuffled."""
-    return docs.select(F.col(id_col), encode_column(F.col(text_col), path, offsets).alias("e")).select(
-        id_col, "e.ids", "e.starts")
-
-
-def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """One row per encoded document: ``id_col``, ``ids``, ``decoded`` (binary)."""
-    return encoded.select(F.col(id_col), "ids", decode_column(F.col("ids"), path).alias("decoded"))
+            ids = batch.column(1)
+            rows = [None if x is None else b"".join(map(tokens.__getitem__, x.values.to_numpy().tolist()))
+                    for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(rows, pa.binary())],
+                                             names=[id_col, "ids", "decoded"])
+
+    kind = encoded.schema[id_col].dataType.simpleString()
+    return encoded.select(id_col, "ids").mapInArrow(decode, f"`{id_col}` {kind}, ids array<int>, decoded binary")
