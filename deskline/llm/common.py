@@ -62,6 +62,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1 << 20  # rows of one or two narrow columns that are broadcast; larger tables are shuffled
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if it was counted to be within bounds."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

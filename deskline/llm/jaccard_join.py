@@ -34,14 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskline.llm.common import stored
+from deskline.llm.common import small, stored
 from deskline.llm.components import components, smallest_reachable
 
 FREQUENT = 1 << 17  # entries of the broadcast table of frequent tokens (2 MB)
 COUNT_TOKENS = 1 << 22  # tokens of a counting batch (different texts only); what repeats in it is told of
 LARGE = 64  # nodes of a token's group that are compared pair by pair; larger groups go in tiles
 TILE_TOKENS = 1 << 18  # tokens of the sets of a tile
-BROADCAST_ROWS = 1 << 20  # rows of (at most two) numbers that are broadcast; larger tables are shuffled
 PIVOTS = (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x3333333333333333)  # masks: each picks another member
 ORDER_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -213,22 +212,17 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast if it was counted to be within bounds."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _links(own: DataFrame, tab: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a``, ``b`` between nodes whose components are those of all links."""
     # Tokens in the first order's prefixes of two nodes or more, each with its nodes.
     entries = tab.filter("n > 0").select("node", F.explode("p0").alias("token"))
     several = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    several = _small(stored(several.select("token"), "several"))
+    several = small(stored(several.select("token"), "several"))
     shared = stored(entries.join(several, "token", "left_semi").distinct(), "shared")
     # One row of each node that stands there.
-    nodes = _small(stored(shared.select("node").distinct(), "nodes"))
+    nodes = small(stored(shared.select("node").distinct(), "nodes"))
     one = tab.select("node", "id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("i"))
-    one = _small(stored(one.withColumnRenamed("node", "m"), "one"))
+    one = small(stored(one.withColumnRenamed("node", "m"), "one"))
     slim = stored(tab.join(one, (F.col("node") == F.col("m")) & F.col("id").eqNullSafe(F.col("i")))
                   .select("node", "i", "n", "p1", "p2"), "slim")
 
@@ -338,7 +332,7 @@ def _verified(pairs: DataFrame, own: DataFrame, slim: DataFrame, width: int, per
 def _sets(own: DataFrame, slim: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """``node`` and ``tokens`` of the nodes in ``nodes.m``, from one text each."""
     ids = slim.select("node", "i").join(nodes, F.col("node") == F.col("m"), "left_semi").select("i").distinct()
-    ids = _small(stored(ids, "ids"))
+    ids = small(stored(ids, "ids"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()  # of the task
