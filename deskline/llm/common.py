@@ -62,7 +62,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 1 << 20  # rows of one or two narrow columns that are broadcast; larger tables are shuffled
+BROADCAST_ROWS = 1 << 21  # rows of one or two narrow columns that are broadcast; larger tables are shuffled
 
 
 def small(df: DataFrame) -> DataFrame:

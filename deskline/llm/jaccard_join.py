@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from deskline.llm.common import small, stored
 from deskline.llm.components import components, smallest_reachable
 
-FREQUENT = 1 << 17  # entries of the broadcast table of frequent tokens (2 MB)
+FREQUENT = 1 << 20  # entries of the broadcast table of frequent tokens (12 MB)
 COUNT_TOKENS = 1 << 22  # tokens of a counting batch (different texts only); what repeats in it is told of
 LARGE = 64  # nodes of a token's group that are compared pair by pair; larger groups go in tiles
 TILE_TOKENS = 1 << 18  # tokens of the sets of a tile
@@ -128,23 +128,19 @@ class Orders:
     def __init__(self, frequent: np.ndarray, percent: int):
         # frequent: token fingerprints, least frequent first
         at = np.argsort(frequent)
-        self.tokens, self.rank, self.percent = frequent[at], at, percent
+        self.tokens, self.rank, self.percent = frequent[at], at.astype(np.int32), percent
 
-    def prefix(self, tokens: np.ndarray, order: int) -> np.ndarray:
+    def prefixes(self, tokens: np.ndarray) -> list[np.ndarray]:
+        """The prefix under each order."""
         size = len(tokens) - -(-self.percent * len(tokens) // 100) + 1 if len(tokens) else 0
+        late = late_rank = tokens[:0]
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
             hit = self.tokens[at] == tokens
             late, late_rank, tokens = tokens[hit], self.rank[at[hit]], tokens[~hit]
-        else:
-            late = late_rank = tokens[:0]
-        if size > len(tokens):
-            more = late[np.argsort(late_rank)[:size - len(tokens)]]
-            return np.concatenate([tokens, more])
-        if size == len(tokens):
-            return tokens
-        key = _mix(tokens ^ np.uint64(ORDER_SALTS[order]))
-        return tokens[np.argpartition(key, size - 1)[:size]]
+        if size >= len(tokens):  # the frequent ones stand in the same sequence under all orders
+            return [np.concatenate([tokens, late[np.argsort(late_rank)[:size - len(tokens)]]])] * len(ORDER_SALTS)
+        return [tokens[np.argpartition(_mix(tokens ^ np.uint64(salt)), size - 1)[:size]] for salt in ORDER_SALTS]
 
 
 def frequent_tokens(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
@@ -194,10 +190,11 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), width)
+            first, *others = zip(*map(orders.value.prefixes, sets)) if sets else ((), (), ())
             out = {"id": batch["id"], "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets],
-                   "p0": [_as_long(orders.value.prefix(s, 0)) for s in sets]}
-            for k in (1, 2):  # 32 bits do for a filter that may let too much through
-                out[f"p{k}"] = [orders.value.prefix(s, k).astype(np.uint32).view(np.int32) for s in sets]
+                   "p0": [_as_long(p) for p in first]}
+            for k, p in enumerate(others, 1):  # 32 bits do for a filter that may let too much through
+                out[f"p{k}"] = [x.astype(np.uint32).view(np.int32) for x in p]
             yield pd.DataFrame(out).astype({"node": "Int64"})
 
     id_type = own.schema["id"].dataType.simpleString()
@@ -215,7 +212,7 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _links(own: DataFrame, tab: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a``, ``b`` between nodes whose components are those of all links."""
     # Tokens in the first order's prefixes of two nodes or more, each with its nodes.
-    entries = tab.filter("n > 0").select("node", F.explode("p0").alias("token"))
+    entries = tab.filter("n > 0").select("node", "n", F.explode("p0").alias("token"))
     several = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     several = small(stored(several.select("token"), "several"))
     shared = stored(entries.join(several, "token", "left_semi").distinct(), "shared")
@@ -234,21 +231,19 @@ def _links(own: DataFrame, tab: DataFrame, width: int, percent: int) -> DataFram
     stars = stars.select(F.least("node", "v").alias("a"), F.greatest("node", "v").alias("b")).distinct()
     near = _verified(stars, own, slim, width, percent)
 
-    # Pairs that still lie in different components, each at the smallest token the two share.
+    # Pairs that still lie in different components.
     comp = components(near, "a", "b")
-    placed = shared.join(comp, "node", "left").select("token", "node", F.coalesce("component", "node").alias("c"))
+    comp = small(stored(comp, "near_components"))
+    placed = shared.join(comp, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-    placed = placed.join(mixed, "token", "left_semi").join(slim.select("node", "n").distinct(), "node")
-    placed = stored(placed, "mixed")
+    placed = stored(placed.join(small(stored(mixed, "mixed_tokens")), "token", "left_semi"), "mixed")
     sizes = placed.groupBy("token").agg(F.count(F.lit(1)).alias("g"))
     few = placed.join(sizes.filter(F.col("g") <= LARGE).select("token"), "token", "left_semi")
-    held = few.groupBy("node").agg(F.collect_list("token").alias("held"))  # at most a prefix
-    few = stored(few.join(held, "node"), "few")
     x, y = few.alias("x"), few.alias("y")
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr("x.c < y.c")
-                   & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-                   & F.expr("array_min(array_intersect(x.held, y.held)) = x.token"))
+                   & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
     cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    cross = cross.distinct()
     many = placed.join(sizes.filter(F.col("g") > LARGE).select("token"), "token", "left_semi")
     return near.unionByName(_verified(cross, own, slim, width, percent)).unionByName(
         _tiled(stored(many, "many"), own, slim, width, percent))
