@@ -109,3 +109,4 @@ DEFAULT_REQUIREMENT_CATEGORY = "general"
 # --- commands ---------------------------------------------------------------------------------
 COMMAND_PREFIXES = ["askbot", "getnextticket", "mytickets", "reviewinsurance"]
 PDF_CONTENT_TYPE = "application/pdf"
+NO_RESPONSE = "No response received."

@@ -103,3 +103,20 @@ WS = " \t\n\r\x0b\x0c"
 def strip_ws(c) -> Column:
     """Python ``str.strip()`` for ASCII whitespace."""
     return F.btrim(_c(c), F.lit(WS))
+
+
+def strip_json_ws(c) -> Column:
+    """Without the white space JSON allows around a value."""
+    return F.regexp_replace(_c(c), "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")
+
+
+def json_valid(c) -> Column:
+    """True when the whole text is one JSON value (nothing cut off, nothing after it).
+
+    The text is put once into a list and once into an object: only a single whole value leaves the
+    list with one item and the object with one key.
+    """
+    t = _c(c)
+    one_item = F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1
+    one_key = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), t, F.lit("}")))) == 1
+    return F.coalesce(one_item & one_key, F.lit(False))

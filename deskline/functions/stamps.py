@@ -100,6 +100,14 @@ def display_time(c, zone: str = DISPLAY_ZONE, std_label: str = "CST", dst_label:
         F.concat(F.date_format(local, "MM-dd-yy h:mm a"), F.lit(" "), label))
 
 
+def display_text(c, **zone) -> Column:
+    """B12 on a stamp's text: null and empty -> 'N/A', not a stamp -> 'Invalid Date', else its display."""
+    t = _c(c)
+    stamp = parse_iso(t)
+    return (F.when(F.coalesce(t, F.lit("")) == "", F.lit("N/A")).when(stamp.isNull(), F.lit("Invalid Date"))
+            .otherwise(display_time(stamp, **zone)))
+
+
 def hours_text(seconds) -> Column:
     """Hours with two decimals, half-up: hundredths = floor((|s|*100 + 1800) / 3600)."""
     h100 = F.floor((F.abs(_c(seconds)) * 100 + 1800) / 3600).cast("bigint")

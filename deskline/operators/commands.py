@@ -10,11 +10,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from deskline.constants import COMMAND_PREFIXES, PDF_CONTENT_TYPE
-from deskline.functions import strip_ws
+from deskline.constants import COMMAND_PREFIXES, NO_RESPONSE, PDF_CONTENT_TYPE
+from deskline.functions import json_valid, parse_iso, strip_json_ws, strip_ws
+from deskline.sources.schemas import TICKET_FEED, TICKET_STAMPS
 
-ENVELOPE_TICKET = "array<struct<id:bigint,queueID:bigint,title:string,status:int,priority:int>>"
+ENVELOPE_TICKET = T.ArrayType(TICKET_FEED).simpleString()  # the whole ticket, stamps as text
 ATTACHMENTS = "array<struct<contentType:string,contentUrl:string>>"
 UPLOAD_SCHEMA = f"struct<attachments:{ATTACHMENTS},value:struct<attachments:{ATTACHMENTS}>>"
 
@@ -22,25 +24,30 @@ UPLOAD_SCHEMA = f"struct<attachments:{ATTACHMENTS},value:struct<attachments:{ATT
 def unwrap_envelope(df: DataFrame, body: str = "body", field: str = "my_ticket", keys: Sequence[str] = ("event_id",),
                     item_schema: str = ENVELOPE_TICKET) -> tuple[DataFrame, DataFrame]:
     """``{"my_ticket": [...]}`` -> one row per ticket; a missing key or a non-list value is
-    malformed and goes to the second frame (an empty list is fine and yields no rows)."""
+    malformed and goes to the second frame (an empty list is fine and yields no rows). Tickets come with
+    all fields of the ticket feed, stamps parsed by B1."""
     parsed = F.from_json(F.col(body), f"struct<{field}:{item_schema}>")[field]
     x = df.select(*keys, body, parsed.alias("_items"))
     bad = x.filter(F.col("_items").isNull()).select(*keys, body)
     ok = (x.filter(F.col("_items").isNotNull()).select(*keys, F.posexplode("_items").alias("pos", "t"))
           .select(*keys, F.col("pos").cast("int"), "t.*"))
+    ok = ok.withColumns({c: parse_iso(c).cast("timestamp_ntz") for c in TICKET_STAMPS if c in ok.columns})
     return ok, bad
 
 
 def count_payload(payload) -> Column:
     """A JSON list counts its items, a single object counts 1, anything else is null (reject)."""
-    p = F.ltrim(payload if isinstance(payload, Column) else F.col(payload))
-    return (F.when(p.startswith("["), F.json_array_length(p).cast("bigint"))
-            .when(p.startswith("{"), F.lit(1).cast("bigint")))
+    kind = payload_kind(payload)
+    return (F.when(kind == "list", F.json_array_length(strip_json_ws(payload)).cast("bigint"))
+            .when(kind == "object", F.lit(1).cast("bigint")))
 
 
 def payload_kind(payload) -> Column:
-    p = F.ltrim(payload if isinstance(payload, Column) else F.col(payload))
-    return F.when(p.startswith("["), F.lit("list")).when(p.startswith("{"), F.lit("object")).otherwise(F.lit("invalid"))
+    """``list``, ``object`` or ``invalid``; a text that is not one whole JSON value is invalid."""
+    p = strip_json_ws(payload)
+    ok = json_valid(payload)
+    return (F.when(ok & p.startswith("["), F.lit("list")).when(ok & p.startswith("{"), F.lit("object"))
+            .otherwise(F.lit("invalid")))
 
 
 def route_commands(df: DataFrame, text: str = "message", user: str = "aad_object_id", service_url: str = "service_url",
@@ -62,22 +69,30 @@ def route_commands(df: DataFrame, text: str = "message", user: str = "aad_object
     for p in reversed(list(prefixes)):
         route = F.when(cmd.startswith(p), F.lit(p)).otherwise(route)
     for p in arg_prefixes:
-        args = F.when(route == p, strip_ws(F.substring(cmd, len(p) + 1, 1 << 30))).otherwise(args)
+        args = F.when(route == p, strip_ws(F.substr(cmd, F.lit(len(p) + 1)))).otherwise(args)
     return df.select("*", cmd.alias("command_text"),
                      F.when(missing, F.lit("invalid")).otherwise(route).alias("command"),
                      F.when(missing, F.lit(None)).otherwise(args).alias("args"))
 
 
-def command_log(routed: DataFrame, user: str = "aad_object_id", result: Column | None = None) -> DataFrame:
-    """I8: audit rows (aadObjectId, command, command_data JSON, result_data JSON) for valid commands.
+def command_log(routed: DataFrame, user: str = "aad_object_id", response: str = "response", tickets: str = "tickets",
+                question: str = COMMAND_PREFIXES[0], next_ticket: str = COMMAND_PREFIXES[1],
+                no_response: str = NO_RESPONSE) -> DataFrame:
+    """I8: audit rows (aadObjectId, command, command_data JSON, result_data JSON) for the two logged
+    commands, the free-text question and the next ticket; no other command is logged.
 
-    ``command_data`` is ``{"message": args}`` for a question and ``{"command": name}`` otherwise.
+    ``command_data`` is ``{"message": args}`` for the question, ``{"command": name}`` for the next ticket.
+    ``result_data`` holds what was answered: ``{"response": text}`` from the column ``response`` (null:
+    ``no_response``), or ``{"tickets": [...]}`` from the JSON list in the column ``tickets`` (null: empty).
     """
+    asked = F.col("command") == question
+    result = (F.when(asked, F.to_json(F.struct(F.coalesce(F.col(response), F.lit(no_response)).alias("response"))))
+              .otherwise(F.concat(F.lit('{"tickets":'), F.coalesce(F.col(tickets), F.lit("[]")), F.lit("}"))))
     data = F.when(F.col("args").isNotNull(), F.to_json(F.struct(F.col("args").alias("message")))) \
             .otherwise(F.to_json(F.struct(F.col("command").alias("command"))))
-    return (routed.filter(~F.col("command").isin("invalid", "unknown"))
+    return (routed.filter(F.col("command").isin(question, next_ticket))
             .select(F.col(user).alias("aadObjectId"), "command", data.alias("command_data"),
-                    (result if result is not None else F.lit(None).cast("string")).alias("result_data")))
+                    result.alias("result_data")))
 
 
 def valid_uploads(df: DataFrame, payload: str = "payload", keys: Sequence[str] = ("event_id",),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from deskline.constants import (
     ANSWER_MAX_TOKENS, CHUNK_MAX_CHARS, DEFAULT_REQUIREMENT_CATEGORY, REQUIREMENT_CATEGORIES,
 )
-from deskline.functions import strip_ws
+from deskline.functions import json_valid, strip_json_ws, strip_ws
 
 # Python's str.splitlines() boundaries.
 LINE_BREAK = "\\r\\n|[\\n\\r\\u000B\\u000C\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]"
@@ -117,9 +117,11 @@ def parse_requirements(answers: DataFrame, key: str = "doc_id", col: str = "answ
     """N3 + N4: a model answer must be a JSON list of {requirement, category}.
 
     Returns (requirement rows, rejected answers). A bare object is rejected (Spark would wrap it
-    into a one-element list); a missing or null category becomes ``default_category``.
+    into a one-element list), and so is a text that is not one whole JSON value; white space around
+    the list is fine; a missing or null category becomes ``default_category``.
     """
-    parsed = F.when(F.ltrim(F.col(col)).startswith("["), F.from_json(F.col(col), REQUIREMENT_SCHEMA))
+    whole = json_valid(col) & strip_json_ws(col).startswith("[")
+    parsed = F.when(whole, F.from_json(F.col(col), REQUIREMENT_SCHEMA))
     x = answers.select(key, col, parsed.alias("_reqs"))
     bad = x.filter(F.col("_reqs").isNull()).select(key, col)
     rows = (x.filter(F.col("_reqs").isNotNull())

@@ -111,8 +111,10 @@ def weekly_response_resolution(tickets: DataFrame, resources: DataFrame, as_of)
         F.coalesce(F.col("email"), F.lit("")).alias("emailAddress"),
         F.coalesce(F.col("assignedResourceID"), F.lit(0).cast("bigint")).alias("user_id"),
         "total_response_time", "total_resolution_time", "ticket_count",
-        (F.col("total_response_time") / F.col("ticket_count")).alias("avg_response_time"),
-        (F.col("total_resolution_time") / F.col("ticket_count")).alias("avg_resolution_time"),
+        F.when(F.col("ticket_count") > 0, F.col("total_response_time") / F.col("ticket_count")).otherwise(F.lit(0.0))
+         .alias("avg_response_time"),
+        F.when(F.col("ticket_count") > 0, F.col("total_resolution_time") / F.col("ticket_count")).otherwise(F.lit(0.0))
+         .alias("avg_resolution_time"),
         start.alias("weekStartDate"), end.alias("weekEndDate"))
 
 
@@ -180,7 +182,7 @@ def kpi_values(registry: DataFrame, kpi_rows: DataFrame, as_of) -> DataFrame:
     cols = ["kpi_id", "kpi_name", "resource_id", "value", "date_recorded"]
     rows = kpi_rows if "resource_id" in kpi_rows.columns else kpi_rows.withColumn(
         "resource_id", F.lit(None).cast("bigint"))
-    return (rows.join(F.broadcast(r), ["kpi_name", "category", "kpi_type"])
+    return (rows.join(r, ["kpi_name", "category", "kpi_type"])
             .withColumn("date_recorded", _ts(as_of).cast("date")).select(*cols))
 
 

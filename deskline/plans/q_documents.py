@@ -75,7 +75,7 @@ def policy_chunks(spark, sf_dir):
 
 _PARSED = """
 , p AS (SELECT doc_id, answer,
-               CASE WHEN ltrim(answer) LIKE '[%' AND json_valid(answer)
+               CASE WHEN json_valid(answer) AND json_type(answer) = 'ARRAY'
                     THEN from_json(answer, '[{"requirement":"VARCHAR","category":"VARCHAR"}]') END AS reqs
         FROM policy_answers)
 , req AS (SELECT doc_id, CAST(i - 1 AS INT) AS req_no, r.requirement AS requirement, coalesce(r.category, 'general') AS category

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deskline import constants as K
-from deskline.functions import parse_iso, parse_strict_z
+from deskline.functions import display_text, parse_iso, parse_strict_z
 from deskline.functions.stamps import ISO_GUARD, STRICT_Z
 from deskline.operators import commands as C
 from deskline.operators.tickets import exclude_queues
 from deskline.plans.registry import register
-from deskline.plans.sqlbits import EXCLUDE_QUEUES
+from deskline.plans.sqlbits import EXCLUDE_QUEUES, display
 from deskline.session import ensure_session
 from deskline.sources.fixtures import view, with_views
 
@@ -40,22 +40,33 @@ def parse_stamps(spark, sf_dir):
                     parse_strict_z("txt").cast("timestamp_ntz").alias("strict_ts"))
 
 
+@register("display_stamps", with_views(["stamps"], f"""
+, p AS (SELECT event_id, txt, CASE WHEN txt ~ '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}' THEN TRY_CAST(regexp_replace(txt, 'Z+$', '') AS TIMESTAMP) END AS t FROM stamps)
+SELECT event_id, CASE WHEN coalesce(txt, '') = '' THEN 'N/A' WHEN t IS NULL THEN 'Invalid Date' ELSE {display('t')} END AS shown FROM p
+"""))
+def display_stamps(spark, sf_dir):
+    """B12 on stamp texts: 'N/A' without one, 'Invalid Date' for what is none."""
+    return _view(spark, sf_dir, "stamps").select("event_id", display_text("txt").alias("shown"))
+
+
 _ENV = """
 , env AS (SELECT event_id, body, json_extract(body, '$.my_ticket') AS mt FROM ticket_envelopes)
 """
 
 
 @register("unwrap_tickets", with_views(["ticket_envelopes"], _ENV + f"""
-, items AS (SELECT event_id, from_json(mt, '[{{"id":"BIGINT","queueID":"BIGINT","title":"VARCHAR","status":"INTEGER","priority":"INTEGER"}}]') AS a
+, items AS (SELECT event_id, from_json(mt, '[{{"id":"BIGINT","queueID":"BIGINT","title":"VARCHAR","description":"VARCHAR","companyID":"BIGINT","status":"INTEGER","priority":"INTEGER","createDate":"VARCHAR","resolvedDueDateTime":"VARCHAR"}}]') AS a
             FROM env WHERE json_type(mt) = 'ARRAY')
-SELECT event_id, CAST(i - 1 AS INT) AS pos, t.id AS id, t.queueID AS queueID, t.title AS title, t.status AS status, t.priority AS priority
+SELECT event_id, CAST(i - 1 AS INT) AS pos, t.id AS id, t.queueID AS queueID, t.title AS title, t.description AS description, t.companyID AS companyID, t.status AS status, t.priority AS priority,
+       TRY_CAST(rtrim(t.createDate, 'Z') AS TIMESTAMP) AS createDate, TRY_CAST(rtrim(t.resolvedDueDateTime, 'Z') AS TIMESTAMP) AS resolvedDueDateTime
 FROM (SELECT event_id, unnest(a) AS t, generate_subscripts(a, 1) AS i FROM items)
 WHERE {EXCLUDE_QUEUES.replace('queueID', 't.queueID')}
 """))
 def unwrap_tickets(spark, sf_dir):
     """I6 + T10: tickets from the envelopes, excluded queues dropped."""
     ok, _ = C.unwrap_envelope(_view(spark, sf_dir, "ticket_envelopes"))
-    return exclude_queues(ok)
+    return exclude_queues(ok).select("event_id", "pos", "id", "queueID", "title", "description", "companyID", "status",
+                                     "priority", "createDate", "resolvedDueDateTime")
 
 
 @register("envelope_rejects", with_views(["ticket_envelopes"], _ENV + """
@@ -66,16 +77,17 @@ def envelope_rejects(spark, sf_dir):
     return C.unwrap_envelope(_view(spark, sf_dir, "ticket_envelopes"))[1]
 
 
-@register("count_payload", with_views(["ticket_envelopes"], _ENV + """
-SELECT event_id, CASE json_type(mt) WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'invalid' END AS payload_kind,
-       CAST(CASE json_type(mt) WHEN 'ARRAY' THEN json_array_length(mt) WHEN 'OBJECT' THEN 1 END AS BIGINT) AS ticket_count
-FROM env
+@register("count_payload", with_views(["payload_texts"], """
+, j AS (SELECT event_id, CASE WHEN json_valid(payload) THEN payload END AS p FROM payload_texts)
+SELECT event_id, CASE json_type(p) WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'invalid' END AS payload_kind,
+       CAST(CASE json_type(p) WHEN 'ARRAY' THEN json_array_length(p) WHEN 'OBJECT' THEN 1 END AS BIGINT) AS ticket_count
+FROM j
 """))
 def count_payload(spark, sf_dir):
-    """I14 on the envelope payloads: list -> length, object -> 1, other -> null (reject)."""
-    e = _view(spark, sf_dir, "ticket_envelopes")
-    p = F.get_json_object("body", "$.my_ticket")
-    return e.select("event_id", C.payload_kind(p).alias("payload_kind"), C.count_payload(p).alias("ticket_count"))
+    """List -> length, object -> 1, anything else (broken JSON too) -> null (reject)."""
+    e = _view(spark, sf_dir, "payload_texts")
+    return e.select("event_id", C.payload_kind("payload").alias("payload_kind"),
+                    C.count_payload("payload").alias("ticket_count"))
 
 
 def _route_sql() -> str:
@@ -98,15 +110,17 @@ def route_commands(spark, sf_dir):
     return C.route_commands(_view(spark, sf_dir, "command_messages"))
 
 
-@register("command_log", with_views(["command_messages"], _route_sql() + """
+@register("command_log", with_views(["command_messages", "command_results"], _route_sql() + """
 SELECT aad_object_id AS aadObjectId, command,
-       CASE WHEN args IS NOT NULL THEN to_json({'message': args}) ELSE to_json({'command': command}) END :: VARCHAR AS command_data,
-       CAST(NULL AS VARCHAR) AS result_data
-FROM routed2 WHERE command NOT IN ('invalid', 'unknown')
+       CASE command WHEN 'askbot' THEN to_json({'message': args}) ELSE to_json({'command': 'getnextticket'}) END :: VARCHAR AS command_data,
+       CASE command WHEN 'askbot' THEN to_json({'response': coalesce(response, 'No response received.')}) :: VARCHAR
+            ELSE '{"tickets":' || coalesce(tickets, '[]') || '}' END AS result_data
+FROM routed2 JOIN command_results USING (event_id) WHERE command IN ('askbot', 'getnextticket')
 """))
 def command_log(spark, sf_dir):
-    """I8: audit rows for the routed commands."""
-    return C.command_log(C.route_commands(_view(spark, sf_dir, "command_messages")))
+    """I8: audit rows of the questions and next-ticket commands with what was answered."""
+    routed = C.route_commands(_view(spark, sf_dir, "command_messages"))
+    return C.command_log(routed.join(_view(spark, sf_dir, "command_results"), "event_id"))
 
 
 @register("valid_uploads", with_views(["uploads"], """

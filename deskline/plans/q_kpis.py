@@ -94,8 +94,8 @@ SELECT coalesce(r.email, '') AS emailAddress, coalesce(t.assignedResourceID, 0)
        CAST(coalesce(sum(date_diff('minute', t.createDate, t.firstResponseDateTime)), 0) AS BIGINT) AS total_response_time,
        CAST(coalesce(sum(date_diff('minute', t.createDate, t.resolvedDateTime)), 0) AS BIGINT) AS total_resolution_time,
        CAST(count(t.id) AS BIGINT) AS ticket_count,
-       coalesce(sum(date_diff('minute', t.createDate, t.firstResponseDateTime)), 0) / count(t.id) AS avg_response_time,
-       coalesce(sum(date_diff('minute', t.createDate, t.resolvedDateTime)), 0) / count(t.id) AS avg_resolution_time,
+       coalesce(sum(date_diff('minute', t.createDate, t.firstResponseDateTime)) / nullif(count(t.id), 0), 0) AS avg_response_time,
+       coalesce(sum(date_diff('minute', t.createDate, t.resolvedDateTime)) / nullif(count(t.id), 0), 0) AS avg_resolution_time,
        {s} AS weekStartDate, {e} AS weekEndDate
 FROM tickets t LEFT JOIN resources r ON t.assignedResourceID = r.id
 WHERE t.createDate BETWEEN CAST({s} AS TIMESTAMP) AND CAST({e} AS TIMESTAMP)

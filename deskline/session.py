@@ -24,13 +24,17 @@ def ensure_session(spark: SparkSession) -> SparkSession:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder (``spark.checkpoint.dir``), registered with the context so
-    ``DataFrame.checkpoint()`` writes there; a temporary folder only when none is configured."""
+    ``DataFrame.checkpoint()`` writes there. Unset, it is an error on a cluster; a session whose tasks run
+    in this very process (master ``local``) gets a temporary folder."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 -- Spark Connect: no SparkContext, the conf is all there is
         sc = None
     base = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
-    if not base:
+    master = spark.conf.get("spark.master", "")
+    if not base and master.partition("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not base:  # one machine: driver and tasks share its folders
         base = tempfile.mkdtemp(prefix="deskline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     if sc is not None and not sc.getCheckpointDir():
@@ -41,9 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory under the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only when
-    neither is set -- local tests -- a temporary folder is created and registered as the
-    checkpoint dir, so later calls and ``DataFrame.checkpoint()`` share it.
+    The folder comes from ``spark.checkpoint.dir`` (or the context's checkpoint dir); see
+    ``ensure_checkpoint_dir`` for sessions that set neither.
     """
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

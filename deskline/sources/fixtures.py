@@ -74,12 +74,12 @@ SELECT c_custkey AS id, c_name AS companyName FROM customer
     "contracts": ([], """
 SELECT o_orderkey AS id, concat('Contract ', CAST(o_orderkey AS STRING)) AS contractName, o_custkey AS companyID,
        CAST(o_orderkey % 3 AS INT) AS billingPreference
-FROM orders WHERE o_orderkey % 10 = 0
+FROM orders
 """),
     "contract_services": ([], """
 SELECT o_orderkey * 4 + v.k AS id, o_orderkey AS contractID,
        CASE WHEN (o_orderkey + v.k) % 7 = 0 THEN NULL ELSE concat('Service ', CAST(v.k AS STRING)) END AS internalDescription
-FROM orders CROSS JOIN (VALUES (0),(1),(2)) AS v(k) WHERE o_orderkey % 10 = 0
+FROM orders CROSS JOIN (VALUES (0),(1),(2)) AS v(k)
 """),
     "contract_unit_rows": ([], f"""
 SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS contractID, l_orderkey * 4 + l_linenumber % 4 AS serviceID,
@@ -90,11 +90,11 @@ SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS contractID, l_orderke
        CASE WHEN l_partkey % 15 = 0 THEN NULL ELSE l_extendedprice * 0.01 END AS internalCurrencyPrice,
        concat('invoice ', CAST(l_linenumber AS STRING)) AS invoiceDescription,
        {_ARRIVAL_SELECT}
-FROM lineitem WHERE l_orderkey % 10 = 0
+FROM lineitem
 """),
     "time_entry_rows": ([], f"""
 SELECT l_orderkey * 10 + l_linenumber AS id,
-       CASE WHEN l_partkey % 8 = 0 THEN NULL ELSE l_orderkey - l_orderkey % 10 END AS contractID,
+       CASE WHEN l_partkey % 8 = 0 THEN NULL ELSE l_orderkey END AS contractID,
        l_suppkey + CASE WHEN l_linenumber = 7 THEN 1000 ELSE 0 END AS creatorUserID,
        l_suppkey AS resourceID, l_shipdate AS dateWorked,
        l_quantity / 10 AS hoursWorked, l_quantity * (1 - l_discount) / 10 AS hoursToBill,
@@ -152,6 +152,7 @@ SELECT event_id, CAST(event_id % 5 + 1 AS INT) AS score, ts AS response_date FRO
 """),
     "ticket_envelopes": ([], """
 SELECT event_id, CASE event_id % 9 WHEN 0 THEN '{"other":1}' WHEN 1 THEN '{"my_ticket":5}' WHEN 2 THEN '{"my_ticket":[]}'
+       WHEN 3 THEN concat('{"my_ticket":[{"id":', CAST(event_id AS STRING), ',"queueID":29683537,"title":"T ', event_type, '","status":', CAST(event_id % 30 AS STRING), ',"priority":', CAST(user_id % 4 + 1 AS STRING), ',"companyID":', CAST(user_id AS STRING), ',"description":"from ', CAST(user_id AS STRING), '","createDate":"2024-01-0', CAST(event_id % 9 + 1 AS STRING), 'T0', CAST(user_id % 9 AS STRING), ':15:00Z","resolvedDueDateTime":"soon"}]}')
        ELSE concat('{"my_ticket":[{"id":', CAST(event_id AS STRING), ',"queueID":8},{"id":', CAST(event_id + 100000 AS STRING), ',"queueID":29683506}]}') END AS body
 FROM events
 """),
@@ -161,6 +162,20 @@ SELECT event_id, CASE event_type WHEN 'click' THEN concat('  AskBot what is ', C
        CASE WHEN event_id % 20 = 0 THEN NULL ELSE concat('aad-', CAST(user_id AS STRING)) END AS aad_object_id,
        'https://svc.example' AS service_url, concat('conv-', CAST(event_id % 50 AS STRING)) AS conversation_id
 FROM events
+"""),
+    "command_results": ([], """
+SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN concat('Answer to "', event_type, '" no. ', CAST(user_id AS STRING)) END AS response,
+       CASE WHEN event_id % 5 <> 0 THEN concat('[{"ticket_id":', CAST(event_id AS STRING), ',"title":"Ticket ', CAST(event_id AS STRING), '","points":', CAST(user_id % 90 AS STRING), '}]') END AS tickets
+FROM events
+"""),
+    "payload_texts": ([], """
+SELECT event_id, CASE event_id % 12
+       WHEN 0 THEN concat('{"id":', CAST(event_id AS STRING), '}') WHEN 1 THEN concat('[', CAST(user_id AS STRING), ',{"a":[1,2]},null]')
+       WHEN 2 THEN concat('{bad ', CAST(event_id AS STRING)) WHEN 3 THEN concat('{"a":', CAST(user_id AS STRING), '} x')
+       WHEN 4 THEN concat('[1,', CAST(event_id AS STRING)) WHEN 5 THEN concat(chr(10), chr(9), '[', CAST(event_id AS STRING), ']', chr(10))
+       WHEN 6 THEN CAST(event_id AS STRING) WHEN 7 THEN concat('"', event_type, '"') WHEN 8 THEN '' WHEN 9 THEN NULL
+       WHEN 10 THEN concat('{"a":1},{"b":', CAST(event_id AS STRING), '}') ELSE concat('[1],[', CAST(event_id AS STRING), ']') END AS payload
+FROM events
 """),
     "stamps": ([], """
 SELECT event_id, CASE event_id % 8 WHEN 0 THEN '2024-01-05T01:02:03Z' WHEN 1 THEN '2024-01-05T01:02:03.250Z' WHEN 2 THEN '2024-01-05' WHEN 3 THEN '2024'
@@ -176,7 +191,9 @@ SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN concat('Before ', CAST(conv_id
 FROM conversations
 """),
     "policy_answers": ([], """
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'not json' WHEN 1 THEN '[]' WHEN 2 THEN '{"requirement":"bare object"}'
+SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN concat('not json ', CAST(doc_id AS STRING)) WHEN 1 THEN '[]' WHEN 2 THEN '{"requirement":"bare object"}'
+       WHEN 5 THEN concat(chr(10), chr(9), '[{"requirement":"keep ', CAST(n_chars AS STRING), ' days","category":"', source, '"}]', chr(10))
+       WHEN 6 THEN concat('[{"requirement":"r', CAST(doc_id AS STRING), '"}] trailing') WHEN 7 THEN concat('[{"requirement":"cut ', CAST(doc_id AS STRING))
        WHEN 3 THEN concat('[{"requirement":"notify within ', CAST(doc_id % 72 AS STRING), ' hours","category":"coverage_condition"},{"requirement":"keep MFA"}]')
        ELSE '[{"requirement":"isolate hosts","category":"permitted"},{"requirement":"pay ransom","category":"prohibited"}]' END AS answer
 FROM documents
@@ -190,7 +207,7 @@ SPARK_VIEWS: dict[str, str] = {
     "contract_services": """
 SELECT o_orderkey * 4 + k AS id, o_orderkey AS contractID,
        CASE WHEN (o_orderkey + k) % 7 = 0 THEN NULL ELSE concat('Service ', CAST(k AS STRING)) END AS internalDescription
-FROM orders LATERAL VIEW explode(array(0, 1, 2)) v AS k WHERE o_orderkey % 10 = 0
+FROM orders LATERAL VIEW explode(array(0, 1, 2)) v AS k
 """,
 }
 
@@ -213,26 +230,7 @@ def view_order(names: list[str]) -> list[str]:
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table (I10). Stamps arrive as zone-less ``timestamp_ntz``."""
-    return _cached(spark, sf_dir, name, lambda: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-# Built DataFrames (plans only, no data) per Spark application and data folder: reading Parquet
-# footers and analysing the view SQL once instead of on every query build.
-_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
-
-
-def _session_key(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 -- no SparkContext (Spark Connect): key on the session
-        return f"session-{id(spark)}"
-
-
-def _cached(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    cache = _CACHE.setdefault((_session_key(spark), sf_dir.rstrip("/")), {})
-    if name not in cache:
-        cache[name] = build()
-    return cache[name]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _bases(view_name: str) -> list[str]:
@@ -242,16 +240,16 @@ def _bases(view_name: str) -> list[str]:
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     """The named views (and base tables), built from ``sf_dir`` with their dependencies."""
+    built = {n: load_table(spark, sf_dir, n) for n in names if n in BASE_TABLES}
     for v in view_order(list(names)):
-        def build(v=v):
-            for t in _bases(v):
-                load_table(spark, sf_dir, t).createOrReplaceTempView(t)
-            for dep in VIEWS[v][0]:
-                views(spark, sf_dir, dep)[dep].createOrReplaceTempView(dep)
-            return spark.sql(SPARK_VIEWS.get(v, VIEWS[v][1]))
-        _cached(spark, sf_dir, v, build)
-    return {n: (load_table(spark, sf_dir, n) if n in BASE_TABLES else _cached(spark, sf_dir, n, None))
-            for n in names}
+        for t in _bases(v):
+            if t not in built:
+                built[t] = load_table(spark, sf_dir, t)
+            built[t].createOrReplaceTempView(t)
+        for dep in VIEWS[v][0]:
+            built[dep].createOrReplaceTempView(dep)
+        built[v] = spark.sql(SPARK_VIEWS.get(v, VIEWS[v][1]))
+    return {n: built[n] for n in names}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

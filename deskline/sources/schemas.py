@@ -64,24 +64,21 @@ TIME_ENTRY_FEED = T.StructType(
        T.StructField("userDefinedFields", T.ArrayType(UDF_ITEM))]
 )
 
-CONTRACT_COLS = ["id", "status", "startDate", "endDate", "lastModifiedDateTime", "companyID", "contactID", "contractName",
-                 "contractNumber", "contractType", "contractCategory", "contractPeriodType", "billingPreference",
-                 "isCompliant", "isDefaultContract", "setupFee", "estimatedCost", "estimatedHours", "estimatedRevenue",
-                 "overageBillingRate", "description", "purchaseOrderNumber", "opportunityID", "billToCompanyID",
-                 "billToCompanyContactID", "renewedContractID", "exclusionContractID", "setupFeeBillingCodeID",
-                 "contractExclusionSetID", "serviceLevelAgreementID", "internalCurrencySetupFee",
-                 "organizationalLevelAssociationID", "internalCurrencyOverageBillingRate", "contactName",
-                 "timeReportingRequiresStartAndStopTimes", "userDefinedFields"]
-_CONTRACT_TYPES = {
-    "id": T.LongType(), "status": T.IntegerType(), "startDate": T.StringType(), "endDate": T.StringType(),
-    "lastModifiedDateTime": T.StringType(), "companyID": T.LongType(), "contactID": T.LongType(),
-    "contractName": T.StringType(), "contractNumber": T.StringType(), "contractType": T.IntegerType(),
-    "contractCategory": T.IntegerType(), "contractPeriodType": T.IntegerType(), "billingPreference": T.IntegerType(),
-    "isCompliant": T.BooleanType(), "isDefaultContract": T.BooleanType(), "description": T.StringType(),
-    "purchaseOrderNumber": T.StringType(), "contactName": T.StringType(),
-    "timeReportingRequiresStartAndStopTimes": T.IntegerType(), "userDefinedFields": T.ArrayType(UDF_ITEM),
-}
-CONTRACT_FEED = T.StructType([
-    T.StructField(c, _CONTRACT_TYPES.get(c, T.DoubleType() if c.startswith(("setup", "estimated", "overage", "internal"))
-                                         else T.LongType()))
-    for c in CONTRACT_COLS])
+# Contracts: all 36 fields with their types.
+_CONTRACT_FIELDS = [
+    ("id", T.LongType()), ("status", T.IntegerType()), ("startDate", T.StringType()), ("endDate", T.StringType()),
+    ("lastModifiedDateTime", T.StringType()), ("companyID", T.LongType()), ("contactID", T.LongType()),
+    ("contractName", T.StringType()), ("contractNumber", T.StringType()), ("contractType", T.IntegerType()),
+    ("contractCategory", T.IntegerType()), ("contractPeriodType", T.IntegerType()), ("billingPreference", T.IntegerType()),
+    ("isCompliant", T.BooleanType()), ("isDefaultContract", T.BooleanType()), ("setupFee", T.DoubleType()),
+    ("estimatedCost", T.DoubleType()), ("estimatedHours", T.DoubleType()), ("estimatedRevenue", T.DoubleType()),
+    ("overageBillingRate", T.DoubleType()), ("description", T.StringType()), ("purchaseOrderNumber", T.StringType()),
+    ("opportunityID", T.LongType()), ("billToCompanyID", T.LongType()), ("billToCompanyContactID", T.LongType()),
+    ("renewedContractID", T.LongType()), ("exclusionContractID", T.LongType()), ("setupFeeBillingCodeID", T.LongType()),
+    ("contractExclusionSetID", T.LongType()), ("serviceLevelAgreementID", T.LongType()),
+    ("internalCurrencySetupFee", T.DoubleType()), ("organizationalLevelAssociationID", T.LongType()),
+    ("internalCurrencyOverageBillingRate", T.DoubleType()), ("contactName", T.StringType()),
+    ("timeReportingRequiresStartAndStopTimes", T.IntegerType()), ("userDefinedFields", T.ArrayType(UDF_ITEM)),
+]
+CONTRACT_FEED = T.StructType([T.StructField(n, t) for n, t in _CONTRACT_FIELDS])
+CONTRACT_COLS = [n for n, _ in _CONTRACT_FIELDS]

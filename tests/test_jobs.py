@@ -73,7 +73,8 @@ def test_append_sinks(spark, sf_dir):
     from deskline.operators import documents as N
     from deskline.sources.fixtures import load_table, view
     root = scratch_dir(spark, "t-sinks")
-    log = C.command_log(C.route_commands(view(spark, sf_dir, "command_messages")))
+    log = C.command_log(C.route_commands(view(spark, sf_dir, "command_messages"))
+                        .join(view(spark, sf_dir, "command_results"), "event_id"))
     jobs.append_command_log(log, root, AS_OF_DESK)
     jobs.append_command_log(log, root, "1998-06-18 10:00:00")
     stored = spark.read.parquet(f"{root}/CommandLogs")
