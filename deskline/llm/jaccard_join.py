@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskline.llm.common import small, stored
+from deskline.llm.common import most_frequent, small, stored
 from deskline.llm.components import components, smallest_reachable
 
 FREQUENT = 1 << 20  # entries of the broadcast table of frequent tokens (12 MB)
@@ -165,9 +165,10 @@ def frequent_tokens(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
         if held:
             yield flush()
 
-    top = (docs.select(F.col(text_col).alias("text")).mapInPandas(count, "token long, n long")
-           .groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas())
-    return np.ascontiguousarray(top["token"].to_numpy(dtype=np.int64)[::-1]).view(np.uint64)
+    sums = stored(docs.select(F.col(text_col).alias("text")).mapInPandas(count, "token long, n long")
+                  .groupBy("token").agg(F.sum("n").alias("n")), "frequent")
+    top = most_frequent(sums, "n", FREQUENT).toPandas().sort_values(["n", "token"])
+    return np.ascontiguousarray(top["token"].to_numpy(dtype=np.int64)).view(np.uint64)
 
 
 def _as_long(x: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskline.llm import gru
-from deskline.llm.common import stored
+from deskline.llm.common import most_frequent, stored
 
 HOT = 1 << 18  # tokens whose counts every task holds
 ENDINGS = 64  # symbols for tokens that are not symbols themselves
@@ -105,8 +105,9 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """HOT rows and ENDINGS totals reach the driver."""
-    hot = [(bytes(r["token"]), r["c"]) for r in counts.select("token", "c").orderBy(F.desc("c"), "token").limit(HOT).collect()]
-    if hot and not any(t == END for t, _ in hot):  # an end is a symbol whatever its rank
+    hot = [(bytes(r["token"]), r["c"]) for r in most_frequent(counts.select("token", "c"), "c", HOT).collect()]
+    hot.sort(key=lambda x: (-x[1], x[0]))
+    if not any(t == END for t, _ in hot):  # an end is a symbol whatever its rank
         hot += [(END, r["c"]) for r in counts.filter(F.col("token") == F.lit(END)).collect()]
     totals = {r["ending"]: (r["c"], r["d"]) for r in counts.groupBy("ending").agg(
         F.sum("c").alias("c"), F.count(F.lit(1)).alias("d")).collect()}
