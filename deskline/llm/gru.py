@@ -14,8 +14,9 @@ import numpy as np
 HIDDEN, CLASSES, WIDTH = 12, 24, 24
 SYMBOLS = CLASSES * WIDTH
 WINDOW = 16  # steps that gradients run back
-TRAIN_LANES, SCORE_LANES = 256, 512
-RATE = 4e-3
+TRAIN_LANES, SCORE_LANES = 512, 512  # at most
+LANE_STEPS = 1024  # symbols a training lane should have, so that small inputs are learned in as many steps
+RATE = 6e-3
 CLIP = 1.0
 BATCH_TOKENS = 1 << 19  # symbols laid into lanes at once; a longer text goes alone
 
@@ -87,6 +88,7 @@ class Lanes:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -30, 30, x)
     np.negative(x, x)
     np.exp(x, x)
     x += 1
@@ -94,52 +96,61 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _step(p, h, x, first):
-    """One step: the state after it and what the backward step needs."""
-    h = h * ~first[:, None]
-    a = p["G"][x]
-    u = h @ p["U"]
-    gates = a[:, :2 * H] + u[:, :2 * H]
-    np.clip(gates, -30, 30, gates)
-    gates = _sigmoid(gates)
-    z, r = gates[:, :H], gates[:, H:]
-    n = np.tanh(a[:, 2 * H:] + r * u[:, 2 * H:])
-    return n + z * (h - n), (h, z, r, n, u[:, 2 * H:])
+    """One step of all lanes (states are features x lanes): the state after it and what the backward
+    step needs."""
+    h = np.where(first, h.dtype.type(0), h)
+    a = p["G"].take(x, 0).T
+    u = p["U"].T @ h
+    gates = _sigmoid(a[:2 * H] + u[:2 * H])
+    z, r = gates[:H], gates[H:]
+    n = r * u[2 * H:]
+    n += a[2 * H:]
+    np.tanh(n, n)
+    return n + z * (h - n), (h, z, r, n, u[2 * H:])
 
 
 def _softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of the targets, and the probabilities."""
+    """Log-probability of the targets, and the probabilities; ``logits`` are choices x positions."""
     np.clip(logits, -60, 60, logits)  # no symbol is ever impossible, and exp cannot overflow
-    rows = np.arange(len(target))
-    own = logits[rows, target]
+    own = logits[target, np.arange(len(target))]
     np.exp(logits, logits)
-    total = logits @ np.ones(logits.shape[1], logits.dtype)
-    logits /= total[:, None]
+    total = logits.sum(axis=0)
+    logits /= total
     return own - np.log(total), logits
 
 
 def _output(p, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
-    """Natural-log probability of symbols ``y`` after states ``h``; with ``grads``, also d loss / d h."""
+    """Natural-log probability of symbols ``y`` after states ``h`` (features x positions); with
+    ``grads``, also d loss / d h. Positions are put in order of class, so each class is one slice."""
+    cls = (y // WIDTH).astype(np.int8)
+    order = np.argsort(cls, kind="stable")
+    h, y = h.take(order, 1), y[order]
     cls, word = y // WIDTH, y % WIDTH
-    logp, prob = _softmax(h @ p["Wc"] + p["bc"], cls)
+    logp, prob = _softmax(p["Wc"].T @ h + p["bc"][:, None], cls)
     dh = None
     if grads is not None:
-        prob[np.arange(len(y)), cls] -= 1
-        grads["Wc"], grads["bc"] = h.T @ prob, prob.sum(0)
-        dh = prob @ p["Wc"].T
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        prob[cls, np.arange(len(y))] -= 1
+        grads["Wc"], grads["bc"] = h @ prob.T, prob.sum(1)
+        dh = p["Wc"] @ prob
+    cut = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
     for c in range(CLASSES):
-        at = order[cut[c]:cut[c + 1]]
-        if not len(at):
+        at = slice(cut[c], cut[c + 1])
+        if at.start == at.stop:
             continue
-        hc = h[at]
-        lw, pw = _softmax(hc @ p["Ww"][c] + p["bw"][c], word[at])
+        hc = h[:, at]
+        lw, pw = _softmax(p["Ww"][c].T @ hc + p["bw"][c][:, None], word[at])
         logp[at] += lw
         if grads is not None:
-            pw[np.arange(len(at)), word[at]] -= 1
-            grads["Ww"][c], grads["bw"][c] = hc.T @ pw, pw.sum(0)
-            dh[at] += pw @ p["Ww"][c].T
-    return logp, dh
+            pw[word[at], np.arange(at.stop - at.start)] -= 1
+            grads["Ww"][c], grads["bw"][c] = hc @ pw.T, pw.sum(1)
+            dh[:, at] += p["Ww"][c] @ pw
+    back = np.empty_like(logp)
+    back[order] = logp
+    if dh is not None:
+        out = np.empty_like(dh)
+        out[:, order] = dh
+        dh = out
+    return back, dh
 
 
 def score(p: dict[str, np.ndarray], texts: list[np.ndarray], end: int) -> np.ndarray:
@@ -148,21 +159,26 @@ def score(p: dict[str, np.ndarray], texts: list[np.ndarray], end: int) -> np.nda
     if not texts:
         return out
     lanes = Lanes(texts, SCORE_LANES, end)
-    h = np.zeros((lanes.lanes, H), np.float32)
-    span = 64
+    h = np.zeros((H, lanes.lanes), p["U"].dtype)
+    span = 32
     for t0 in range(0, lanes.steps, span):
-        states, ys, names = [], [], []
-        for t in range(t0, min(t0 + span, lanes.steps)):
+        stop = min(t0 + span, lanes.steps)
+        states = []
+        for t in range(t0, stop):
             k = lanes.live[t]
-            h, _ = _step(p, h[:k], lanes.x[t, :k], lanes.first[t, :k])
+            h, _ = _step(p, h[:, :k], lanes.x[t, :k], lanes.first[t, :k])
             states.append(h)
-            ys.append(lanes.y[t, :k])
-            names.append(lanes.text[t, :k])
-        logp, _ = _output(p, np.concatenate(states), np.concatenate(ys))
-        out += np.bincount(np.concatenate(names), logp, len(texts))
+        live = lanes.live[t0:stop]
+        logp, _ = _output(p, np.concatenate(states, axis=1), _span(lanes.y, t0, live))
+        out += np.bincount(_span(lanes.text, t0, live), logp, len(texts))
     return out
 
 
+def _span(grid: np.ndarray, t0: int, live: np.ndarray) -> np.ndarray:
+    """The live lanes of the steps from ``t0`` on, one after another."""
+    return np.concatenate([grid[t0 + i, :k] for i, k in enumerate(live)])
+
+
 class Trainer:
     """Truncated backpropagation through time with Adam."""
 
@@ -172,46 +188,46 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
     def learn(self, texts: list[np.ndarray], end: int) -> None:
-        lanes = Lanes(texts, TRAIN_LANES, end)
-        h = np.zeros((lanes.lanes, H), np.float32)
+        wanted = max(8, sum(map(len, texts)) // LANE_STEPS)
+        lanes = Lanes(texts, min(TRAIN_LANES, wanted), end)
+        h = np.zeros((H, lanes.lanes), self.p["U"].dtype)
         for t0 in range(0, lanes.steps, WINDOW):
             h = self._window(lanes, t0, min(t0 + WINDOW, lanes.steps), h)
 
     def _window(self, lanes: Lanes, t0: int, t1: int, h: np.ndarray) -> np.ndarray:
-        p, saved, states = self.p, [], []
-        for t in range(t0, t1):
-            k = lanes.live[t]
-            h, cache = _step(p, h[:k], lanes.x[t, :k], lanes.first[t, :k])
+        p, saved, states, live = self.p, [], [], lanes.live[t0:t1]
+        for t, k in zip(range(t0, t1), live):
+            h, cache = _step(p, h[:, :k], lanes.x[t, :k], lanes.first[t, :k])
             saved.append(cache)
             states.append(h)
-        live = lanes.live[t0:t1]
-        ys = np.concatenate([lanes.y[t, :k] for t, k in zip(range(t0, t1), live)])
         grads = {"Ww": np.zeros_like(p["Ww"]), "bw": np.zeros_like(p["bw"])}
-        _, dout = _output(p, np.concatenate(states), ys, grads)
-        cut = np.cumsum(live)[:-1]
-        dout = np.split(dout, cut)
-        dU, das = np.zeros_like(p["U"]), [None] * (t1 - t0)
-        dnext, UT = None, np.ascontiguousarray(p["U"].T)
+        _, dout = _output(p, np.concatenate(states, axis=1), _span(lanes.y, t0, live), grads)
+        cut = np.cumsum([0, *live])
+        da, dU, dnext = np.empty((3 * H, int(cut[-1])), dout.dtype), np.zeros_like(p["U"]), None
         for s in range(t1 - t0 - 1, -1, -1):
             before, z, r, n, un = saved[s]
-            dh = dout[s]
+            dh = dout[:, cut[s]:cut[s + 1]]
             if dnext is not None:
-                dh[:len(dnext)] += dnext
-            dz = dh * (before - n) * z * (1 - z)
-            dn = dh * (1 - z) * (1 - n * n)
-            dr = dn * un * r * (1 - r)
-            das[s] = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            dU += before.T @ du
-            dnext = (dh * z + du @ UT) * ~lanes.first[t0 + s, :len(dh), None]
+                dh[:, :dnext.shape[1]] += dnext
+            d = da[:, cut[s]:cut[s + 1]]
+            d[:H] = dh * (before - n) * z * (1 - z)
+            dn = dh * (1 - z)
+            dn *= 1 - n * n
+            d[H:2 * H] = dn * un * r * (1 - r)
+            d[2 * H:] = dn
+            du = d.copy()
+            du[2 * H:] *= r
+            dU += before @ du.T
+            dnext = dh * z
+            dnext += p["U"] @ du
+            dnext = np.where(lanes.first[t0 + s, :dnext.shape[1]], dnext.dtype.type(0), dnext)
         grads["U"] = dU
-        xs = np.concatenate([lanes.x[t, :k] for t, k in zip(range(t0, t1), live)])
-        da = np.concatenate(das)
-        order = np.argsort(xs, kind="stable")
-        names, starts = np.unique(xs[order], return_index=True)
+        x = _span(lanes.x, t0, live)
+        order = np.argsort(x.astype(np.int16), kind="stable")
+        names, starts = np.unique(x[order], return_index=True)
         grads["G"] = np.zeros_like(p["G"])
-        grads["G"][names] = np.add.reduceat(da[order], starts, axis=0)
-        self._update(grads, len(xs))
+        grads["G"][names] = np.add.reduceat(da.take(order, 1), starts, axis=1).T
+        self._update(grads, len(x))
         return h
 
     def _update(self, grads: dict[str, np.ndarray], tokens: int) -> None:
