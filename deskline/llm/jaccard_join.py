@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from deskline.llm.common import most_frequent, small, stored
 from deskline.llm.components import components, smallest_reachable
 
-FREQUENT = 1 << 20  # entries of the broadcast table of frequent tokens (12 MB)
+FREQUENT = 1 << 19  # entries of the broadcast table of frequent tokens (6 MB)
 COUNT_TOKENS = 1 << 22  # tokens of a counting batch (different texts only); what repeats in it is told of
 LARGE = 64  # nodes of a token's group that are compared pair by pair; larger groups go in tiles
 TILE_TOKENS = 1 << 18  # tokens of the sets of a tile
@@ -167,8 +167,9 @@ def frequent_tokens(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
 
     sums = stored(docs.select(F.col(text_col).alias("text")).mapInPandas(count, "token long, n long")
                   .groupBy("token").agg(F.sum("n").alias("n")), "frequent")
-    top = most_frequent(sums, "n", FREQUENT).toPandas().sort_values(["n", "token"])
-    return np.ascontiguousarray(top["token"].to_numpy(dtype=np.int64)).view(np.uint64)
+    top = most_frequent(sums, "n", FREQUENT).toArrow()
+    token, n = (top.column(c).to_numpy() for c in ("token", "n"))
+    return token[np.lexsort((token, n))].view(np.uint64)
 
 
 def _as_long(x: np.ndarray) -> np.ndarray:

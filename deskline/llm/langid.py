@@ -139,7 +139,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     rows = (docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL")
             .mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     # (MAX_LANGS + 1) x (BUCKETS + 1) rows reach the driver at most, however large the input
-    got = rows.limit((MAX_LANGS + 1) * (BUCKETS + 1)).toPandas()
+    got = rows.limit((MAX_LANGS + 1) * (BUCKETS + 1)).toArrow().to_pandas()
     langs = sorted(got["lang"].unique())
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")

@@ -105,7 +105,8 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """HOT rows and ENDINGS totals reach the driver."""
-    hot = [(bytes(r["token"]), r["c"]) for r in most_frequent(counts.select("token", "c"), "c", HOT).collect()]
+    top = most_frequent(counts.select("token", "c"), "c", HOT).toArrow()
+    hot = list(zip(top.column("token").to_pylist(), top.column("c").to_pylist()))
     hot.sort(key=lambda x: (-x[1], x[0]))
     if not any(t == END for t, _ in hot):  # an end is a symbol whatever its rank
         hot += [(END, r["c"]) for r in counts.filter(F.col("token") == F.lit(END)).collect()]
@@ -193,9 +194,9 @@ def train(symbols: DataFrame, frequency: np.ndarray, end: int) -> dict[str, np.n
 
         rows = (symbols.filter((F.col("round") == number) & ~F.col("held_out")).select("symbols")
                 .mapInPandas(learn, "at int, v double, w long").groupBy("at")
-                .agg((F.sum("v") / F.sum("w")).alias("v")).toPandas())
+                .agg((F.sum("v") / F.sum("w")).alias("v")).toArrow())
         if len(rows):
-            params = gru.unflat(rows.sort_values("at")["v"].to_numpy())
+            params = gru.unflat(rows.column("v").to_numpy()[np.argsort(rows.column("at").to_numpy())])
     return params
 
 
