@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deskline.llm.common import prepare
+
 #: The code points of the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
                0x202F, 0x205F, 0x3000]
@@ -323,6 +325,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     Null and empty texts give empty arrays; ``offsets=False`` leaves ``starts`` null. Rows that repeat
     an id or a text are rows of their own; extra columns are ignored. Nothing is shuffled."""
+    prepare(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
@@ -351,6 +354,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id") -> D
     """One row per encoded document: ``id_col``, ``ids``, ``decoded`` (binary; null for null ids).
 
     An id outside the rank file raises."""
+    prepare(encoded.sparkSession)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _encoder(path).tokens

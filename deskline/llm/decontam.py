@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskline.llm.common import stored
+from deskline.llm.common import prepare, stored
 
 SHINGLE = 3  # words of a shingle (fewer in windows of fewer words)
 BLOCK_WORDS = 1 << 20  # benchmark words held at once
@@ -166,6 +166,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     nothing. Rows that repeat an id are separate rows if their occurrences differ and are otherwise
     one; null ids stay apart from others. Extra columns of either table are ignored.
     """
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     found = None
     for block in _blocks(items, item_id, item_text):

@@ -34,13 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskline.llm.common import most_frequent, small, stored
+from deskline.llm.common import most_frequent, prepare, small, stored
 from deskline.llm.components import components, smallest_reachable
 
 FREQUENT = 1 << 19  # entries of the broadcast table of frequent tokens (6 MB)
 COUNT_TOKENS = 1 << 22  # tokens of a counting batch (different texts only); what repeats in it is told of
 LARGE = 64  # nodes of a token's group that are compared pair by pair; larger groups go in tiles
-TILE_TOKENS = 1 << 18  # tokens of the sets of a tile
+TILE_NODES, TILE_TOKENS = 1024, 1 << 18  # expected nodes, and tokens of their sets, of a tile
 PIVOTS = (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x3333333333333333)  # masks: each picks another member
 ORDER_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -185,6 +185,7 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links. Null, empty and blank texts have no n-grams and are their own component. Rows that repeat
     an id or a text are rows of their own; null ids take part but never name a component.
     """
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     orders = spark.sparkContext.broadcast(Orders(frequent_tokens(own, "text", width), percent))
@@ -255,12 +256,16 @@ def _tiled(many: DataFrame, own: DataFrame, slim: DataFrame, width: int, percent
     """Links inside large token groups, compared tile by tile; of each pair of tiles a spanning forest.
 
     Nodes of a group's largest component need no comparison among themselves: the others' tiles meet
-    all tiles. A tile is bounded by the number of tokens of its sets, so no task holds a whole group."""
+    all tiles. A tile is bounded by its nodes and by the tokens of their sets, so no task holds a whole group."""
     parts = many.groupBy("token", "c").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("size"))
-    groups = parts.groupBy("token").agg(F.max(F.struct("g", "c"))["c"].alias("big"), F.sum("size").alias("size"),
-                                        F.max(F.struct("g", "size"))["size"].alias("big_size"))
-    groups = groups.select("token", "big", F.ceil(F.col("size") / TILE_TOKENS).alias("right_tiles"),
-                           F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("big_size")) / TILE_TOKENS)).alias("left_tiles"))
+    groups = parts.groupBy("token").agg(F.max(F.struct("g", "c", "size")).alias("big"), F.sum("g").alias("g"),
+                                        F.sum("size").alias("size"))
+
+    def tiles(nodes, size):
+        return F.greatest(F.lit(1), F.ceil(nodes / TILE_NODES), F.ceil(size / TILE_TOKENS))
+
+    groups = groups.select("token", F.col("big.c").alias("big"), tiles(F.col("g"), F.col("size")).alias("right_tiles"),
+                           tiles(F.col("g") - F.col("big.g"), F.col("size") - F.col("big.size")).alias("left_tiles"))
     rows = many.join(groups, "token")
     left = rows.filter("c <> big").select("token", "node", F.lit(0).alias("side"), F.expr(
         "pmod(xxhash64(node, 1), left_tiles)").alias("l"),

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskline.llm.common import prepare
+
 BITS = 15
 BUCKETS = 1 << BITS  # hashed n-grams
 ORDERS = (2, 3)  # n-gram lengths
@@ -115,6 +117,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
     Without labelled rows the model knows no language and calls every text ``und``. More than
     ``MAX_LANGS`` languages raise ValueError: the matrix must stay of a bounded size."""
+    prepare(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskline.llm import gru
-from deskline.llm.common import most_frequent, stored
+from deskline.llm.common import most_frequent, prepare, stored
 
 HOT = 1 << 18  # tokens whose counts every task holds
 ENDINGS = 64  # symbols for tokens that are not symbols themselves
@@ -208,6 +208,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     text; a token that was never learned from counts as unseen in both. With nothing to learn from,
     every token is unseen and the model is its first state. Rows that repeat an id are rows of their own.
     """
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     counts = token_counts(docs.filter(~held_out), text_col)
     vocab = vocabulary(counts)

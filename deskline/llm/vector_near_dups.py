@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskline.llm.common import stored
+from deskline.llm.common import prepare, stored
 from deskline.llm.components import components, smallest_reachable
 
 TILE = 1024  # vectors of a tile
@@ -120,6 +120,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     or infinite components link with nothing. Rows with equal label and vector link with one another;
     rows that repeat an id are vectors of their own. Null ids take part but name no component.
     """
+    prepare(vectors.sparkSession)
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"),
                          F.col(vector_col).alias("vector"), usable(f"`{vector_col}`").alias("ok"))

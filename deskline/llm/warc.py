@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskline.llm.common import scratch_path, stored
+from deskline.llm.common import prepare, scratch_path, stored
 
 CHUNK = 64 << 10  # payload bytes of a chunk row
 READ = 256 << 10  # compressed bytes read at once
@@ -41,6 +41,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     response and the others revisit it. A null payload is empty. Rows that repeat the largest id are
     all responses; a row with a null id revisits unless its payload's ids are all null.
     """
+    prepare(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     own = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
     own = own.select("*", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"))
@@ -197,6 +198,7 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ``payload_bytes`` and ``payload_digest`` are what the headers say of the full payload (of a
     revisit too); ``running_digest`` is the SHA-1 of what was read of the record so far, and ``last``
     marks its final chunk (an empty payload has one empty chunk). A damaged archive raises."""
+    prepare(manifest.sparkSession)
 
     names = CHUNKS.replace(",", "").split()[::2]
 
