@@ -72,9 +72,10 @@ SUPPORT_CALL_CATEGORY = "Support"
 REACTIVE_TICKET_CATEGORY = "Support Desk"
 ROLLING_DAYS = 30
 
-# (name, category, type) of every team KPI
+# (name, category, type) of every KPI
 KPI_DEFINITIONS = [
     ("SLA Met", "Service Desk", "Team"),
+    ("Aging Tickets", "Service Desk", "Team"),
     ("Avg Response Time", "Service Desk", "Team"),
     ("Avg Resolution Time", "Service Desk", "Team"),
     ("# of Support Calls", "Service Desk", "Team"),
@@ -82,6 +83,9 @@ KPI_DEFINITIONS = [
     ("Endpoints Patched", "Field Team", "Team"),
     ("Uptime Rolling 30 Days", "Field Team", "Team"),
     ("Reactive Ticket per Endpoint", "Field Team", "Team"),
+    ("Utilization", "Resource", "Individual"),
+    ("Avg Response Time", "Resource", "Individual"),
+    ("Avg Resolution Time", "Resource", "Individual"),
 ]
 
 # --- devices ----------------------------------------------------------------------------------

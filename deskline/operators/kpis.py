@@ -7,13 +7,14 @@ scalars from different tables are combined without joins.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskline.constants import (
-    AGING_DAYS, AGING_EXCLUDED_STATUS, KPI_QUEUES, REACTIVE_TICKET_CATEGORY, ROLLING_DAYS, SUPPORT_CALL_CATEGORY,
+    AGING_DAYS, AGING_EXCLUDED_STATUS, KPI_DEFINITIONS, KPI_QUEUES, REACTIVE_TICKET_CATEGORY, ROLLING_DAYS, SUPPORT_CALL_CATEGORY,
     SUPPORT_CALL_DIRECTION, UTILIZATION_BASE_HOURS,
 )
 from deskline.functions import day_diff, minute_diff, week_end, week_start
@@ -61,34 +62,47 @@ def aging_tickets(tickets: DataFrame, as_of, days: int = AGING_DAYS,
             .select("id", "companyID", "status", day_diff("createDate", _ts(as_of)).cast("int").alias("age_days")))
 
 
+def kpi_sources(tickets: DataFrame, calls: DataFrame, csat: DataFrame, endpoints: DataFrame, uptime: DataFrame,
+                desk_as_of, events_as_of, queues: Sequence[int] = KPI_QUEUES) -> dict[str, Callable[[], DataFrame]]:
+    """The team KPIs by source, each as a builder of long rows (kpi_name, category, kpi_type, value), so
+    that one source's fault cannot touch another's KPIs. Every source is scanned once."""
+    since = _ts(events_as_of) - F.expr(f"INTERVAL {ROLLING_DAYS} DAYS")
+
+    def desk() -> DataFrame:  # K1-K4
+        named = [("SLA Met", "sla_met"), ("Aging Tickets", "aging_over_5"), ("Avg Response Time", "avg_response_minutes"),
+                 ("Avg Resolution Time", "avg_resolution_minutes")]
+        return desk_ticket_kpis(tickets, desk_as_of, queues).select(F.explode(F.array(*[
+            F.struct(F.lit(n).alias("kpi_name"), F.col(c).cast("double").alias("value")) for n, c in named])).alias("k")).select(
+            "k.kpi_name", F.lit("Service Desk").alias("category"), F.lit("Team").alias("kpi_type"), "k.value")
+
+    def reactive() -> DataFrame:
+        # Tickets in the reactive category / endpoints (null when there are none), one aggregate
+        # over the union of both inputs instead of a join of two scalars.
+        both = (tickets.select((F.col("category") == REACTIVE_TICKET_CATEGORY).cast("int").alias("a"), F.lit(0).alias("b"))
+                .unionByName(endpoints.select(F.lit(0).alias("a"), F.lit(1).alias("b"))))
+        return _kpi_row(both, "Reactive Ticket per Endpoint", "Field Team",
+                        F.sum("a").cast("double") / F.nullif(F.sum("b"), F.lit(0)))
+
+    return {
+        "service_desk": desk,
+        "calls": lambda: _kpi_row(calls, "# of Support Calls", "Service Desk", F.count_if(
+            (F.col("direction") == SUPPORT_CALL_DIRECTION) & (F.col("category") == SUPPORT_CALL_CATEGORY))),
+        "csat": lambda: _kpi_row(csat, "CSAT Rolling 30", "Service Desk",
+                                 F.avg(F.when(F.col("response_date") >= since, F.col("score")))),
+        "endpoints": lambda: _kpi_row(endpoints, "Endpoints Patched", "Field Team",
+                                      F.count_if(F.col("patches_missing") == 0)),
+        "uptime": lambda: _kpi_row(uptime, "Uptime Rolling 30 Days", "Field Team",
+                                   F.avg(F.when(F.col("recorded_date") >= since, F.col("uptime_percentage")))),
+        "reactive": reactive,
+    }
+
+
 def team_kpis(tickets: DataFrame, calls: DataFrame, csat: DataFrame, endpoints: DataFrame, uptime: DataFrame,
               desk_as_of, events_as_of, queues: Sequence[int] = KPI_QUEUES) -> DataFrame:
-    """K1, K3, K4, K7-K11 as long rows (kpi_name, category, kpi_type, value)."""
-    d = desk_ticket_kpis(tickets, desk_as_of, queues)
-    desk = d.select(F.explode(F.array(
-        F.struct(F.lit("SLA Met").alias("kpi_name"), F.col("sla_met").cast("double").alias("value")),
-        F.struct(F.lit("Avg Response Time").alias("kpi_name"), F.col("avg_response_minutes").cast("double").alias("value")),
-        F.struct(F.lit("Avg Resolution Time").alias("kpi_name"), F.col("avg_resolution_minutes").cast("double").alias("value")),
-    )).alias("k")).select(F.col("k.kpi_name"), F.lit("Service Desk").alias("category"),
-                          F.lit("Team").alias("kpi_type"), F.col("k.value"))
-    ev = _ts(events_as_of)
-    since = ev - F.expr(f"INTERVAL {ROLLING_DAYS} DAYS")
-    calls_k = _kpi_row(calls, "# of Support Calls", "Service Desk",
-                       F.count_if((F.col("direction") == SUPPORT_CALL_DIRECTION)
-                                  & (F.col("category") == SUPPORT_CALL_CATEGORY)))
-    csat_k = _kpi_row(csat, "CSAT Rolling 30", "Service Desk",
-                      F.avg(F.when(F.col("response_date") >= since, F.col("score"))))
-    patched = _kpi_row(endpoints, "Endpoints Patched", "Field Team", F.count_if(F.col("patches_missing") == 0))
-    up = _kpi_row(uptime, "Uptime Rolling 30 Days", "Field Team",
-                  F.avg(F.when(F.col("recorded_date") >= since, F.col("uptime_percentage"))))
-    # Tickets in the reactive category / endpoints (null when there are none), one aggregate
-    # over the union of both inputs instead of a join of two scalars.
-    both = (tickets.select((F.col("category") == REACTIVE_TICKET_CATEGORY).cast("int").alias("a"),
-                           F.lit(0).alias("b"))
-            .unionByName(endpoints.select(F.lit(0).alias("a"), F.lit(1).alias("b"))))
-    ratio = _kpi_row(both, "Reactive Ticket per Endpoint", "Field Team",
-                     F.sum("a").cast("double") / F.nullif(F.sum("b"), F.lit(0)))
-    return desk.unionByName(calls_k).unionByName(csat_k).unionByName(patched).unionByName(up).unionByName(ratio)
+    """K1-K4, K7-K11 as long rows (kpi_name, category, kpi_type, value)."""
+    parts = [build() for build in kpi_sources(tickets, calls, csat, endpoints, uptime, desk_as_of, events_as_of,
+                                              queues).values()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def weekly_response_resolution(tickets: DataFrame, resources: DataFrame, as_of) -> DataFrame:
@@ -158,20 +172,18 @@ def upsert_utilization(target: DataFrame, weekly: DataFrame) -> tuple[DataFrame,
                   update_cols=["totalHoursWorked", "utilizationPercentage", "emailAddress"])
 
 
-def kpi_register(existing: DataFrame, kpi_rows: DataFrame) -> DataFrame:
-    """Registry (id, name, description, category, type); names not yet present get new ids
-    ``max(id) + row_number()`` in name order, description ''.
-
-    The window without a partition runs only over the *new* distinct KPI definitions (a handful of
-    rows after the distinct), never over data rows.
-    """
-    wanted = kpi_rows.select(F.col("kpi_name").alias("name"), "category", F.col("kpi_type").alias("type")).distinct()
-    new = wanted.join(existing.select("name", "category", "type"), ["name", "category", "type"], "left_anti")
-    base = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
-    w = Window.orderBy("category", "name", "type")
-    added = (new.withColumn("_rn", F.row_number().over(w))
-             .select((base + F.col("_rn")).cast("bigint").alias("id"), "name",
-                     F.lit("").alias("description"), "category", "type"))
+def kpi_register(existing: DataFrame, definitions: Sequence[tuple[str, str, str]] = KPI_DEFINITIONS) -> DataFrame:
+    """Registry (id, name, description, category, type); definitions not yet present get new ids
+    ``max(id) + number`` in (category, name, type) order, description ''. No KPI is computed for it, and
+    the definitions are literals, so nothing but the stored registry is read."""
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("category"), F.lit(t).alias("type"))
+                       for n, c, t in sorted(set(definitions), key=lambda d: (d[1], d[0], d[2]))])
+    held = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"),
+                        F.collect_set(F.concat_ws("\n", "name", "category", "type")).alias("known"))
+    missing = F.filter(wanted, lambda d: ~F.array_contains("known", F.concat_ws("\n", d["name"], d["category"], d["type"])))
+    added = held.select("base", F.posexplode(missing).alias("i", "d")).select(
+        (F.col("base") + F.col("i") + 1).cast("bigint").alias("id"), "d.name", F.lit("").alias("description"),
+        "d.category", "d.type")
     return existing.select("id", "name", "description", "category", "type").unionByName(added)
 
 
@@ -186,15 +198,22 @@ def kpi_values(registry: DataFrame, kpi_rows: DataFrame, as_of) -> DataFrame:
             .withColumn("date_recorded", _ts(as_of).cast("date")).select(*cols))
 
 
+def utilization_kpis(util: DataFrame) -> DataFrame:
+    """K15 rows of K6: utilisation % per resource."""
+    return util.select(F.lit("Utilization").alias("kpi_name"), F.lit("Resource").alias("category"),
+                       F.lit("Individual").alias("kpi_type"), F.col("user_id").cast("bigint").alias("resource_id"),
+                       F.col("utilization_percentage").alias("value"))
+
+
+def response_kpis(resp: DataFrame) -> DataFrame:
+    """K15 rows of K5: average response and resolution per resource."""
+    named = F.array(F.struct(F.lit("Avg Response Time").alias("n"), F.col("avg_response_time").alias("v")),
+                    F.struct(F.lit("Avg Resolution Time").alias("n"), F.col("avg_resolution_time").alias("v")))
+    return resp.select(F.explode(named).alias("k"), F.col("user_id").cast("bigint").alias("resource_id")).select(
+        F.col("k.n").alias("kpi_name"), F.lit("Resource").alias("category"), F.lit("Individual").alias("kpi_type"),
+        "resource_id", F.col("k.v").alias("value"))
+
+
 def individual_kpis(util: DataFrame, resp: DataFrame) -> DataFrame:
     """K15 individual rows: weekly utilisation % (K6) and average response / resolution (K5)."""
-    u = util.select(F.lit("Utilization").alias("kpi_name"), F.lit("Resource").alias("category"),
-                    F.lit("Individual").alias("kpi_type"), F.col("user_id").cast("bigint").alias("resource_id"),
-                    F.col("utilization_percentage").alias("value"))
-    r = resp.select(F.explode(F.array(
-        F.struct(F.lit("Avg Response Time").alias("n"), F.col("avg_response_time").alias("v")),
-        F.struct(F.lit("Avg Resolution Time").alias("n"), F.col("avg_resolution_time").alias("v")))).alias("k"),
-        F.col("user_id").cast("bigint").alias("resource_id")) \
-        .select(F.col("k.n").alias("kpi_name"), F.lit("Resource").alias("category"),
-                F.lit("Individual").alias("kpi_type"), "resource_id", F.col("k.v").alias("value"))
-    return u.unionByName(r)
+    return utilization_kpis(util).unionByName(response_kpis(resp))

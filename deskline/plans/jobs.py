@@ -8,6 +8,7 @@ append-only tables (KPI values, command log, policies) are appended and partitio
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,7 @@ def run_revenue(spark: SparkSession, root: str, contracts: DataFrame, clients: D
                 units: DataFrame, tickets: DataFrame, as_of) -> dict:
     """R1 -> U4 -> R2 -> R4 + R3 -> R6 -> R7 -> U5, one snapshot per stored table.
 
-    R8: when the contract summary or the ticket counts are empty the run is skipped (one short
-    probe each, no count).
+    R8: when the stored contract summary or ticket counts are empty the run is skipped.
     """
     summary_t, month_t = f"{root}/ContractSummary", f"{root}/ClientMonthlySummary"
     src = R.contract_summary(contracts, clients, services, units)
@@ -41,7 +41,10 @@ def run_revenue(spark: SparkSession, root: str, contracts: DataFrame, clients: D
     sv = _next_version(spark, summary_t)
     sinks.write_snapshot(summary, summary_t, sv)
     summary = sinks.read_snapshot(spark, summary_t)  # lineage cut: later steps read the stored table
-    counts = R.tickets_per_contract_month(tickets, summary)
+    # Stored first, then tested, so that the join runs once.
+    count_t = f"{root}/TicketCounts"
+    sinks.write_snapshot(R.tickets_per_contract_month(tickets, summary), count_t, sv)
+    counts = sinks.read_snapshot(spark, count_t)
     if not R.has_rows(summary) or not R.has_rows(counts):
         return {"skipped": True, "ContractSummary": sv}
     rows = R.revenue_with_tickets(R.monthly_revenue(R.contracts_frame(summary), as_of), counts)
@@ -59,50 +62,47 @@ def run_revenue(spark: SparkSession, root: str, contracts: DataFrame, clients: D
 def run_kpis(spark: SparkSession, root: str, tickets: DataFrame, resources: DataFrame, entries: DataFrame,
              calls: DataFrame, csat: DataFrame, endpoints: DataFrame, uptime: DataFrame, as_of,
              events_as_of=None) -> dict:
-    """K14 (+ S4, K12, K13, U6): compute every KPI, isolate failures, register new KPI names,
-    append the values partitioned by ``date_recorded``, upsert the week's utilisation."""
+    """K14 (+ S4, K12, K13, U6): register the KPI names, then run one guarded job for each source: it
+    computes and writes its own rows, so an error in a source's plan *or data* costs its KPIs alone. The
+    outcome of every source is stored in ``kpi_run_status``."""
     events_as_of = events_as_of or as_of
-    util = KP.weekly_utilization(entries, resources, as_of)
-    jobs = {
-        "team": lambda: KP.team_kpis(tickets, calls, csat, endpoints, uptime, as_of, events_as_of)
-                          .withColumn("resource_id", F.lit(None).cast("bigint")),
-        "individual": lambda: KP.individual_kpis(util, KP.weekly_response_resolution(tickets, resources, as_of)),
-    }
-    frames, status = run_isolated(jobs, as_of)
-    if not frames:
-        raise RuntimeError(f"every KPI job failed: {status}")
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f)
     reg_t, val_t, util_t, st_t = (f"{root}/kpis", f"{root}/kpi_values", f"{root}/ResourceUtilization",
                                   f"{root}/kpi_run_status")
     existing = sinks.read_snapshot(spark, reg_t)
     if existing is None:
         existing = spark.createDataFrame([], "id bigint, name string, description string, category string, type string")
-    registry = KP.kpi_register(existing, rows)
     rv = _next_version(spark, reg_t)
-    sinks.write_snapshot(registry, reg_t, rv)
+    sinks.write_snapshot(KP.kpi_register(existing), reg_t, rv)
     registry = sinks.read_snapshot(spark, reg_t)
-    # Values are appended per run; a replay of the same run (same as_of) replaces its own
-    # partition instead of adding the rows twice.
+    # A run owns the partitions (date, run, source) it writes, so a replay replaces its own rows.
     run_id = F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyyMMddHHmmss")
-    sinks.replace_partitions(KP.kpi_values(registry, rows, as_of).withColumn("run_id", run_id), val_t,
-                             ["date_recorded", "run_id"])
-    # The table is partitioned by week; a run reads and replaces only its own week's partition,
-    # so its cost follows one week of resources, not the whole history.
-    urows = KP.utilization_rows(util)
-    week = KP.week_start(F.lit(as_of).cast("timestamp_ntz"))
-    prev_u = None
-    if sinks.exists(spark, util_t):
-        prev_u = (spark.read.schema(urows.schema).parquet(util_t).filter(F.col("weekStartDate") == week)
-                  .select(*urows.columns))
-    snap = KP.upsert_utilization(prev_u, util)[0] if prev_u is not None else urows
-    if prev_u is not None:  # the partition read is the one replaced: cut the lineage first
-        ensure_checkpoint_dir(spark)
-        snap = snap.checkpoint()
-    sinks.replace_partitions(snap, util_t, ["weekStartDate"])
-    uv = None
-    sinks.append(spark.createDataFrame(status, "job string, status string, error string, as_of string"), st_t)
+
+    def store(source: str, rows: DataFrame) -> None:
+        values = KP.kpi_values(registry, rows, as_of).withColumn("run_id", run_id).withColumn("source", F.lit(source))
+        sinks.replace_partitions(values, val_t, ["date_recorded", "run_id", "source"])
+
+    def utilization() -> None:
+        # Stored first, by week; a run reads and replaces its own week only, and the KPI rows come from it.
+        urows = KP.utilization_rows(KP.weekly_utilization(entries, resources, as_of))
+        week = KP.week_start(F.lit(as_of).cast("timestamp_ntz"))
+        if sinks.exists(spark, util_t):
+            prev = (spark.read.schema(urows.schema).parquet(util_t).filter(F.col("weekStartDate") == week)
+                    .select(*urows.columns))
+            ensure_checkpoint_dir(spark)  # the partition read is the one replaced: cut the lineage first
+            urows = KP.upsert_utilization(prev, KP.weekly_utilization(entries, resources, as_of))[0].checkpoint()
+        sinks.replace_partitions(urows, util_t, ["weekStartDate"])
+        now = spark.read.schema(urows.schema).parquet(util_t).filter(F.col("weekStartDate") == week)
+        store("utilization", KP.utilization_kpis(now.select(
+            F.col("resourceID").alias("user_id"), F.col("utilizationPercentage").alias("utilization_percentage"))))
+
+    jobs: dict[str, Callable[[], None]] = {
+        name: lambda name=name, build=build: store(name, build().withColumn("resource_id", F.lit(None).cast("bigint")))
+        for name, build in KP.kpi_sources(tickets, calls, csat, endpoints, uptime, as_of, events_as_of).items()}
+    jobs["utilization"] = utilization
+    jobs["response"] = lambda: store("response", KP.response_kpis(KP.weekly_response_resolution(tickets, resources, as_of)))
+    status = run_isolated(jobs, as_of)
+    rows = spark.createDataFrame(status, "source string, status string, error string, as_of string")
+    sinks.replace_partitions(rows.withColumn("run_id", run_id), st_t, ["run_id"])
     return {"status": status, "kpis": rv}
 
 

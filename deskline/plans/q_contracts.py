@@ -14,7 +14,7 @@ from deskline.operators import ingest as I
 from deskline.operators.upsert import empty_like, latest_rows
 from deskline.plans.registry import register
 from deskline.plans.sqlbits import DESK
-from deskline.session import ensure_session
+from deskline.session import ensure_session, scratch_dir
 from deskline.sources.fixtures import ARRIVAL_COLS, AS_OF_DESK, views, with_views
 from deskline.sources.schemas import CONTRACT_UNIT_COLS, TIME_ENTRY_COLS
 
@@ -106,17 +106,17 @@ _CU_OLD = f"""
 
 
 def _src(units: str, name: str) -> str:
-    """R1 over the units relation ``units`` (a CTE name or a parenthesised subquery)."""
+    """R1 over the units relation ``units`` (a CTE name or a parenthesised subquery): each described
+    service of a known client's contract, once for every unit row of the service."""
     return f"""
-, {name} AS (SELECT c.id AS ContractID, c.contractName AS ContractName, c.companyID AS CompanyID, cl.companyName AS CompanyName,
-                cs.id AS ServiceID, coalesce(cs.internalDescription, 'Unknown Service') AS ServiceName,
-                u.startDate AS StartDate, u.endDate AS EndDate, coalesce(u.units, 0) AS Units,
-                coalesce(u.internalCurrencyPrice, 0) AS UnitPrice, coalesce(u.internalCurrencyPrice, 0) AS Cost,
-                c.billingPreference AS BillingPreference,
-                coalesce(u.units, 0) * coalesce(u.internalCurrencyPrice, 0) AS TotalRevenue,
-                coalesce(u.units, 0) * coalesce(u.internalCurrencyPrice, 0) AS TotalCost, u.id AS UnitID
-         FROM contracts c JOIN clients cl ON c.companyID = cl.id JOIN contract_services cs ON c.id = cs.contractID
-         JOIN {units} u ON cs.id = u.serviceID WHERE cs.internalDescription IS NOT NULL)
+, {name}_owned AS (SELECT contracts.id AS ContractID, contractName AS ContractName, companyID AS CompanyID, billingPreference AS BillingPreference,
+                   companyName AS CompanyName FROM clients, contracts WHERE clients.id = companyID)
+, {name}_priced AS (SELECT serviceID AS ServiceID, startDate AS StartDate, endDate AS EndDate, id AS UnitID, coalesce(units, 0) AS Units,
+                    coalesce(internalCurrencyPrice, 0) AS price FROM {units})
+, {name} AS (SELECT ContractID, ContractName, CompanyID, CompanyName, ServiceID, svc.internalDescription AS ServiceName, StartDate, EndDate,
+                Units, price AS UnitPrice, price AS Cost, BillingPreference, Units * price AS TotalRevenue, Units * price AS TotalCost, UnitID
+         FROM {name}_priced JOIN (SELECT id AS ServiceID, contractID AS ContractID, internalDescription FROM contract_services
+                                  WHERE internalDescription IS NOT NULL) svc USING (ServiceID) JOIN {name}_owned USING (ContractID))
 """
 
 
@@ -129,10 +129,10 @@ _SUMMARY_SELECT = ("ContractID, ContractName, CompanyID, CompanyName, ServiceID,
                    "UnitPrice, Cost, BillingPreference, TotalRevenue, TotalCost")
 
 _TICKET_COUNTS = """
-, tcount AS (SELECT t.companyID AS ClientID, s.ContractID, CAST(year(t.createDate) AS INT) AS TicketYear,
-                    CAST(month(t.createDate) AS INT) AS TicketMonth, CAST(count(t.id) AS BIGINT) AS TicketCount
-             FROM tickets t JOIN summ s ON t.companyID = s.CompanyID AND t.createDate BETWEEN s.StartDate AND s.EndDate
-             GROUP BY ALL)
+, covered AS (SELECT CompanyID AS ClientID, ContractID, date_trunc('month', createDate) AS month, tickets.id AS ticket
+              FROM summ JOIN tickets USING (companyID) WHERE createDate >= StartDate AND createDate <= EndDate)
+, tcount AS (SELECT ClientID, ContractID, CAST(date_part('year', month) AS INT) AS TicketYear, CAST(date_part('month', month) AS INT) AS TicketMonth,
+                    CAST(count(ticket) AS BIGINT) AS TicketCount FROM covered GROUP BY ClientID, ContractID, month)
 """
 
 _SPINE = f"""
@@ -241,3 +241,24 @@ def upsert_client_month(spark, sf_dir):
     rows = revenue_rows(spark, sf_dir)
     snap, _ = R.upsert_client_month(R.client_month_table(rows), rows, AS_OF_DESK, target_empty=True)
     return snap
+
+
+@register("revenue_run", with_views(_CONTRACT_VIEWS + ["tickets"], _CU + _src("cu", "src") + _SUMM + _SPINE
+                                    + _TICKET_COUNTS + _RWT + f"""
+SELECT ClientID, arg_min(ClientName, ServiceID) AS ClientName, ContractID, arg_min(ContractName, ServiceID) AS ContractName,
+       min(ServiceID) AS ServiceID, arg_min(ServiceName, ServiceID) AS ServiceName, RevenueMonth,
+       arg_max(MonthlyRevenue, ServiceID) AS MonthlyRevenue, arg_max(TicketsCreated, ServiceID) AS TicketsCreated,
+       {DESK} AS LastUpdated
+FROM rwt GROUP BY ClientID, ContractID, RevenueMonth
+""", recursive=True))
+def revenue_run(spark, sf_dir):
+    """R8 + R9 + U5 on existing rows: the whole refresh job, run twice; the second run finds every key."""
+    from deskline.plans.jobs import run_revenue
+    from deskline.sources import sinks
+    v = _v(spark, sf_dir, "contracts", "clients", "contract_services", "tickets")
+    root = scratch_dir(spark, "revenue-run")
+    for _ in range(2):
+        run_revenue(spark, root, v["contracts"], v["clients"], v["contract_services"], units_current(spark, sf_dir),
+                    v["tickets"], AS_OF_DESK)
+    like = R.client_month_table(revenue_rows(spark, sf_dir))
+    return sinks.read_snapshot(spark, f"{root}/ClientMonthlySummary", schema=like.schema)

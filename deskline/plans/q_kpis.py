@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from deskline import constants as K
 from deskline.operators import kpis as KP
+from deskline.plans import jobs
 from deskline.plans.q_contracts import _ARR_DESC, time_entries_current
 from deskline.plans.registry import register
 from deskline.plans.sqlbits import DESK, EVENTS, in_list
-from deskline.session import ensure_session
+from deskline.session import ensure_session, scratch_dir
 from deskline.sources.fixtures import AS_OF_DESK, AS_OF_EVENTS, AS_OF_SUNDAY, views, with_views
 
 
@@ -39,11 +40,13 @@ def _team(spark, sf_dir):
 _Q = in_list(K.KPI_QUEUES)
 _TEAM_SQL = f"""
 , d AS (SELECT CAST(coalesce(sum(CASE WHEN serviceLevelAgreementHasBeenMet THEN 1 ELSE 0 END), 0) AS DOUBLE) AS sla,
+               CAST(count(*) FILTER (WHERE date_diff('day', createDate, {DESK}) > {K.AGING_DAYS} AND status NOT IN ({in_list(K.AGING_EXCLUDED_STATUS)})) AS DOUBLE) AS aging,
                CAST(coalesce(CAST(trunc(avg(date_diff('minute', createDate, firstResponseDateTime)) FILTER (WHERE firstResponseDateTime IS NOT NULL AND queueID IN ({_Q}))) AS BIGINT), 0) AS DOUBLE) AS resp,
                CAST(coalesce(CAST(trunc(avg(date_diff('minute', createDate, resolvedDateTime)) FILTER (WHERE resolvedDateTime IS NOT NULL AND queueID IN ({_Q}))) AS BIGINT), 0) AS DOUBLE) AS reso
         FROM tickets)
 , team AS (
   SELECT 'SLA Met' AS kpi_name, 'Service Desk' AS category, 'Team' AS kpi_type, sla AS value FROM d
+  UNION ALL SELECT 'Aging Tickets', 'Service Desk', 'Team', aging FROM d
   UNION ALL SELECT 'Avg Response Time', 'Service Desk', 'Team', resp FROM d
   UNION ALL SELECT 'Avg Resolution Time', 'Service Desk', 'Team', reso FROM d
   UNION ALL SELECT '# of Support Calls', 'Service Desk', 'Team', CAST(count(*) FILTER (WHERE direction = 'Inbound' AND category = 'Support') AS DOUBLE) FROM call_logs
@@ -90,16 +93,15 @@ def _week(as_of: str) -> tuple[str, str]:
 def _weekly_response_sql(as_of: str) -> str:
     s, e = _week(as_of)
     return f"""
-SELECT coalesce(r.email, '') AS emailAddress, coalesce(t.assignedResourceID, 0) AS user_id,
-       CAST(coalesce(sum(date_diff('minute', t.createDate, t.firstResponseDateTime)), 0) AS BIGINT) AS total_response_time,
-       CAST(coalesce(sum(date_diff('minute', t.createDate, t.resolvedDateTime)), 0) AS BIGINT) AS total_resolution_time,
-       CAST(count(t.id) AS BIGINT) AS ticket_count,
-       coalesce(sum(date_diff('minute', t.createDate, t.firstResponseDateTime)) / nullif(count(t.id), 0), 0) AS avg_response_time,
-       coalesce(sum(date_diff('minute', t.createDate, t.resolvedDateTime)) / nullif(count(t.id), 0), 0) AS avg_resolution_time,
-       {s} AS weekStartDate, {e} AS weekEndDate
-FROM tickets t LEFT JOIN resources r ON t.assignedResourceID = r.id
-WHERE t.createDate BETWEEN CAST({s} AS TIMESTAMP) AND CAST({e} AS TIMESTAMP)
-GROUP BY r.email, t.assignedResourceID
+SELECT coalesce(any_value(email), '') AS emailAddress, coalesce(rid, 0) AS user_id, CAST(sum(a) AS BIGINT) AS total_response_time,
+       CAST(sum(b) AS BIGINT) AS total_resolution_time, CAST(sum(n) AS BIGINT) AS ticket_count,
+       CASE WHEN sum(n) = 0 THEN 0 ELSE sum(a) / sum(n) END AS avg_response_time,
+       CASE WHEN sum(n) = 0 THEN 0 ELSE sum(b) / sum(n) END AS avg_resolution_time, {s} AS weekStartDate, {e} AS weekEndDate
+FROM (SELECT assignedResourceID AS rid, (SELECT any_value(email) FROM resources WHERE resources.id = assignedResourceID) AS email,
+             coalesce(date_diff('minute', createDate, firstResponseDateTime), 0) AS a,
+             coalesce(date_diff('minute', createDate, resolvedDateTime), 0) AS b, (id IS NOT NULL)::INT AS n
+      FROM tickets WHERE createDate >= {s} AND createDate <= {e}) per_ticket
+GROUP BY rid
 """
 
 
@@ -125,11 +127,10 @@ _TE = f"""
 def _util_sql(src: str, as_of: str, extra_filter: str = "") -> str:
     s, e = _week(as_of)
     return f"""
-SELECT coalesce(r.email, '') AS emailAddress, t.creatorUserID AS user_id, coalesce(sum(t.hoursWorked), 0.0) AS total_hours,
-       coalesce(sum(t.hoursWorked), 0.0) / 40.0 * 100 AS utilization_percentage, {s} AS weekStartDate, {e} AS weekEndDate
-FROM {src} t LEFT JOIN resources r ON t.creatorUserID = r.id
-WHERE t.dateWorked BETWEEN CAST({s} AS TIMESTAMP) AND CAST({e} AS TIMESTAMP) {extra_filter}
-GROUP BY r.email, t.creatorUserID
+SELECT coalesce((SELECT any_value(email) FROM resources WHERE resources.id = worked.creatorUserID), '') AS emailAddress,
+       creatorUserID AS user_id, total_hours, total_hours * 100 / 40.0 AS utilization_percentage, {s} AS weekStartDate, {e} AS weekEndDate
+FROM (SELECT creatorUserID, coalesce(sum(hoursWorked), 0.0) AS total_hours FROM {src} t
+      WHERE t.dateWorked >= {s} AND t.dateWorked <= {e} {extra_filter} GROUP BY creatorUserID) worked
 """
 
 
@@ -164,14 +165,17 @@ def upsert_utilization(spark, sf_dir):
     return r6(snap, "totalHoursWorked", "utilizationPercentage")
 
 
+def _no_registry(spark):
+    return spark.createDataFrame([], "id bigint, name string, description string, category string, type string")
+
+
 def _registry(spark, sf_dir):
     team = _team(spark, sf_dir)
     v = _v(spark, sf_dir, "tickets", "resources")
     indiv = KP.individual_kpis(KP.weekly_utilization(_week_entries(spark, sf_dir), v["resources"], AS_OF_DESK),
                                KP.weekly_response_resolution(v["tickets"], v["resources"], AS_OF_DESK))
     rows = team.withColumn("resource_id", F.lit(None).cast("bigint")).unionByName(indiv)
-    empty = spark.createDataFrame([], "id bigint, name string, description string, category string, type string")
-    return KP.kpi_register(empty, rows), rows
+    return KP.kpi_register(_no_registry(spark)), rows
 
 
 _REG_SQL = """
@@ -186,7 +190,8 @@ _REG_SQL = """
 @register("kpi_register", with_views(_TEAM_VIEWS, _TEAM_SQL + _REG_SQL + "SELECT * FROM reg"))
 def kpi_register(spark, sf_dir):
     """KPI registry created from an empty one (ids in name order)."""
-    return _registry(spark, sf_dir)[0]
+    ensure_session(spark)
+    return KP.kpi_register(_no_registry(spark))
 
 
 @register("kpi_values", with_views(_TEAM_VIEWS + ["time_entry_rows", "resources"], _TEAM_SQL + _REG_SQL + _TE
@@ -203,3 +208,43 @@ def kpi_values(spark, sf_dir):
     """K13 + K15: team and individual KPI values with registry ids and the run date."""
     reg, rows = _registry(spark, sf_dir)
     return r6(KP.kpi_values(reg, rows, AS_OF_DESK), "value")
+
+
+def _kpi_run(spark, sf_dir):
+    """K14 with a fault in one source's data: the CSAT scores raise when they are read."""
+    v = _v(spark, sf_dir, "tickets", "resources", "call_logs", "csat_responses", "endpoints", "system_uptime")
+    bad = v["csat_responses"].withColumn("score", F.expr("if(event_id >= 0, raise_error('score'), score)").cast("int"))
+    root = scratch_dir(spark, "kpi-run")
+    jobs.run_kpis(spark, root, v["tickets"], v["resources"], _week_entries(spark, sf_dir), v["call_logs"], bad,
+                  v["endpoints"], v["system_uptime"], AS_OF_DESK, AS_OF_EVENTS)
+    return root
+
+
+@register("kpi_run", with_views(_TEAM_VIEWS + ["time_entry_rows", "resources"], _TEAM_SQL + _REG_SQL + _TE
+          + ", u AS (" + _util_sql("te", AS_OF_DESK) + ")"
+          + ", w AS (" + _weekly_response_sql(AS_OF_DESK) + ")" + f"""
+, rows AS (SELECT kpi_name, category, kpi_type, CAST(NULL AS BIGINT) AS resource_id, value FROM team WHERE kpi_name <> 'CSAT Rolling 30'
+           UNION ALL SELECT 'Utilization', 'Resource', 'Individual', user_id, utilization_percentage FROM u
+           UNION ALL SELECT 'Avg Response Time', 'Resource', 'Individual', user_id, avg_response_time FROM w
+           UNION ALL SELECT 'Avg Resolution Time', 'Resource', 'Individual', user_id, avg_resolution_time FROM w)
+SELECT reg.id AS kpi_id, rows.kpi_name, rows.resource_id, round(rows.value, 6) AS value, CAST({DESK} AS DATE) AS date_recorded
+FROM rows JOIN reg ON reg.name = rows.kpi_name AND reg.category = rows.category AND reg.type = rows.kpi_type
+"""))
+def kpi_run(spark, sf_dir):
+    """K14 + S4: the values a run stores when one source is broken: all KPIs of the others."""
+    root = _kpi_run(spark, sf_dir)
+    return r6(spark.read.parquet(f"{root}/kpi_values").select("kpi_id", "kpi_name", "resource_id", "value", "date_recorded"),
+              "value")
+
+
+@register("kpi_run_status", """
+SELECT source, CASE WHEN source = 'csat' THEN 'failed' ELSE 'ok' END AS status, source = 'csat' AS has_error,
+       CAST('1998-06-17 15:30:00' AS VARCHAR) AS as_of
+FROM (VALUES ('service_desk'), ('calls'), ('csat'), ('endpoints'), ('uptime'), ('reactive'), ('utilization'), ('response')) AS v(source)
+WHERE (SELECT count(*) FROM events) > 0
+""")
+def kpi_run_status(spark, sf_dir):
+    """The status rows of the same run."""
+    root = _kpi_run(spark, sf_dir)
+    return spark.read.parquet(f"{root}/kpi_run_status").select(
+        "source", "status", F.col("error").isNotNull().alias("has_error"), "as_of")
