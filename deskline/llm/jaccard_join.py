@@ -10,8 +10,8 @@ own, so a passage that many documents share does not reach the prefixes.
    gives the same result.
 2. Documents of equal token sets are one node. Tokens of the first order's prefixes that two or more
    nodes hold are kept with their nodes.
-3. Stars: in each token's group every node is paired with a few pivots of the group, so a group of
-   g nodes gives a multiple of g pairs. Pairs must also share prefix tokens under the second and
+3. Stars: in each token's group of more than a few nodes every node is paired with some pivots of the
+   group, so a group of g nodes gives a multiple of g pairs. Pairs must also share prefix tokens under the second and
    third order (the filters are intersected) before the whole sets are compared.
 4. What is left are pairs of nodes in different components that share a prefix token. In small token
    groups each such pair is formed once, passes the same filters and is compared; large groups are
@@ -39,6 +39,7 @@ from deskline.llm.components import components, smallest_reachable
 
 FREQUENT = 1 << 19  # entries of the broadcast table of frequent tokens (6 MB)
 COUNT_TOKENS = 1 << 22  # tokens of a counting batch (different texts only); what repeats in it is told of
+STAR = 8  # nodes of a token's group up to which all its pairs are formed at once
 LARGE = 64  # nodes of a token's group that are compared pair by pair; larger groups go in tiles
 TILE_NODES, TILE_TOKENS = 1024, 1 << 18  # expected nodes, and tokens of their sets, of a tile
 PIVOTS = (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x3333333333333333)  # masks: each picks another member
@@ -196,12 +197,12 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             first, *others = zip(*map(orders.value.prefixes, sets)) if sets else ((), (), ())
             out = {"id": batch["id"], "n": [len(s) for s in sets], "node": [_node(s) if len(s) else None for s in sets],
                    "p0": [_as_long(p) for p in first]}
-            for k, p in enumerate(others, 1):  # 32 bits do for a filter that may let too much through
-                out[f"p{k}"] = [x.astype(np.uint32).view(np.int32) for x in p]
+            for k, p in enumerate(others, 1):  # 16 bits do for a filter that may let too much through
+                out[f"p{k}"] = [np.unique(x.astype(np.uint16)).view(np.int16) for x in p]
             yield pd.DataFrame(out).astype({"node": "Int64"})
 
     id_type = own.schema["id"].dataType.simpleString()
-    tab = stored(own.mapInPandas(prefixes, f"id {id_type}, n long, node long, p0 array<long>, p1 array<int>, p2 array<int>"),
+    tab = stored(own.mapInPandas(prefixes, f"id {id_type}, n long, node long, p0 array<long>, p1 array<smallint>, p2 array<smallint>"),
                  "prefixes")
     links = _links(own, tab, width, percent)
     found = components(links, "a", "b")
@@ -226,9 +227,10 @@ def _links(own: DataFrame, tab: DataFrame, width: int, percent: int) -> DataFram
     slim = stored(tab.join(one, (F.col("node") == F.col("m")) & F.col("id").eqNullSafe(F.col("i")))
                   .select("node", "i", "n", "p1", "p2"), "slim")
 
-    # Stars around a few pivots of every token's group.
-    pivots = shared.groupBy("token").agg(*[F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"v{i}")
-                                           for i, m in enumerate(PIVOTS)])
+    # Stars around a few pivots of the token groups that have more nodes than can be paired at once.
+    pivots = shared.groupBy("token").agg(F.count(F.lit(1)).alias("g"), *[
+        F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"v{i}") for i, m in enumerate(PIVOTS)])
+    pivots = pivots.filter(F.col("g") > STAR).drop("g")
     stars = shared.join(pivots, "token").select("node", F.explode(F.array_distinct(F.array(
         *[f"v{i}" for i in range(len(PIVOTS))]))).alias("v")).filter("node <> v")
     stars = stars.select(F.least("node", "v").alias("a"), F.greatest("node", "v").alias("b")).distinct()

@@ -267,6 +267,7 @@ def test_ngrams_do_not_depend_on_the_batch():
 def test_jaccard_equals_all_pairs(spark, monkeypatch, large, tile):
     from tests.llm.test_queries import jaccard_components
     monkeypatch.setattr(jaccard_join, "LARGE", large)  # all groups in tiles, too
+    monkeypatch.setattr(jaccard_join, "STAR", 2 if large == 2 else 8)
     monkeypatch.setattr(jaccard_join, "TILE_TOKENS", tile)
     rnd = random.Random(5)
     texts = {}
