@@ -7,13 +7,14 @@ list of devices into one row except the prompt batches, which are bounded by ``b
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskline.constants import FULL_MATCH_SETS, INTEGRATIONS, ISSUE_TYPES, UNNAMED_DEVICE
 from deskline.functions import tri_state, yes_no
+from deskline.operators.upsert import dense_number
 from deskline.sources.schemas import DEVICE_FLAGS, DEVICE_IDS, DEVICE_STRINGS
 
 
@@ -146,51 +147,35 @@ def issue_counts(issues: DataFrame, issue_types: Sequence[str] = ISSUE_TYPES) ->
         .select("x.*")
 
 
-# Own wording; '{devices}' is replaced by the device names rendered as a list.
-PROMPT_TEMPLATES: Mapping[str, str] = {
-    "not_seen_recently": "Plan how to review devices that have not checked in recently: {devices}. "
-                         "Cover confirming their status, monitoring, and retiring unused hardware.",
-    "end_of_life_os": "Plan upgrades for devices on operating systems past end of life: {devices}. "
-                      "Cover migration steps, client communication, budget and a phased timeline.",
-    "end_of_support_os": "Plan the move off operating systems nearing end of support: {devices}. "
-                         "Cover risk, upgrade phases and budget.",
-    "missing_defender_on_workstation": "Plan how to get antivirus installed and running on these workstations: "
-                                       "{devices}. Cover rollout, compliance checks and automation.",
-    "missing_sentinel_one_on_server": "Plan how to protect these servers with endpoint security: {devices}. "
-                                      "Cover assessment, installation and enforcement.",
-    "reboot_required": "Plan reboots for devices that need one: {devices}. "
-                       "Cover scheduling without disruption and client reminders.",
-    "recently_inactive_devices": "Plan how to handle devices inactive in the past month: {devices}. "
-                                 "Cover usage checks, monitoring and removal thresholds.",
-}
-FALLBACK_PROMPT = ("Give high-level recommendations for overall network health: device lifecycle, compliance "
-                   "and proactive monitoring.")
+DEFAULT_PROMPT = "Suggest next steps for these devices ({issue}): {devices}."
 
 
 def recommendation_prompts(issues: DataFrame, key: str = "part_id", batch_size: int = 500,
-                           templates: Mapping[str, str] = PROMPT_TEMPLATES,
-                           fallback: str = FALLBACK_PROMPT) -> DataFrame:
-    """V9: one prompt per non-empty issue type and batch of at most ``batch_size`` key values.
-
-    A prompt lists its devices like ``['DEV-1', 'DEV-2']`` (names sorted). Batches follow the
-    device key (``key div batch_size``), so no prompt -- and no group -- grows with the fleet.
+                           templates: DataFrame | None = None, default: str = DEFAULT_PROMPT) -> DataFrame:
+    """V9: one prompt per issue type and batch of at most ``batch_size`` devices (batch 0 alone while an
+    issue has no more). Devices are numbered densely inside their issue type, so sparse keys do not
+    split batches and repeated keys do not fill one; the long table of devices is ``device_issues``.
+
+    ``templates`` is the caller's wording (``issue_type``, ``template``), where ``{devices}`` becomes
+    the sorted names like ``['DEV-1', 'DEV-2']`` and ``{issue}`` the issue type; issue types without one
+    get ``default``.
     """
-    tmpl = None
-    for t, text in templates.items():
-        tmpl = (F.when(F.col("issue_type") == t, F.lit(text)) if tmpl is None
-                else tmpl.when(F.col("issue_type") == t, F.lit(text)))
-    tmpl = tmpl.otherwise(F.lit(fallback))
-    g = (issues.groupBy("issue_type", (F.col(key) / batch_size).cast("bigint").alias("batch"))
+    numbered = dense_number(issues, ["issue_type"], [key, "device_name"], "_n")
+    g = (numbered.groupBy("issue_type", F.floor(F.col("_n") / batch_size).alias("batch"))
          .agg(F.array_sort(F.collect_list("device_name")).alias("names")))
+    if templates is not None:
+        g = g.join(templates.select("issue_type", "template"), "issue_type", "left")
+    else:
+        g = g.withColumn("template", F.lit(None).cast("string"))
     listed = F.concat(F.lit("['"), F.array_join("names", "', '"), F.lit("']"))
-    return g.filter(F.size("names") > 0).select(
-        "issue_type", "batch", F.size("names").cast("int").alias("device_count"),
-        F.replace(tmpl, F.lit("{devices}"), listed).alias("prompt"))
+    text = F.replace(F.coalesce("template", F.lit(default)), F.lit("{issue}"), F.col("issue_type"))
+    return g.select("issue_type", "batch", F.size("names").cast("int").alias("device_count"),
+                    F.replace(text, F.lit("{devices}"), listed).alias("prompt"))
 
 
 # --- I13 ----------------------------------------------------------------------------------------
 def report_payload(devices: DataFrame, key: str = "part_id") -> DataFrame:
-    """One-row analytics payload as JSON: totals, manufacturers, integrations, section sizes.
+    """One-row analytics payload as JSON: totals, manufacturers, integrations, section and issue sizes.
 
     Built from aggregates only (one row per manufacturer / integration / class), never from the
     device rows themselves.
@@ -202,11 +187,14 @@ def report_payload(devices: DataFrame, key: str = "part_id") -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("integration", "device_count")))).alias("i"))
     sections = match_summary(device_match(devices, key)).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("match_class", "device_count")))).alias("s"))
+    issues = issue_counts(device_issues(devices, key)).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("issue_type", "device_count")))).alias("u"))
     one = (totals.select(F.lit(0).alias("_p"), F.to_json(F.struct("*")).alias("counts"))
            .unionByName(manu.select(F.lit(1).alias("_p"), F.to_json("m").alias("counts")))
            .unionByName(integ.select(F.lit(2).alias("_p"), F.to_json("i").alias("counts")))
-           .unionByName(sections.select(F.lit(3).alias("_p"), F.to_json("s").alias("counts"))))
-    names = F.array(*[F.lit(p) for p in ["counts", "manufacturers", "integrations", "integration_matches"]])
+           .unionByName(sections.select(F.lit(3).alias("_p"), F.to_json("s").alias("counts")))
+           .unionByName(issues.select(F.lit(4).alias("_p"), F.to_json("u").alias("counts"))))
+    names = F.array(*[F.lit(p) for p in ["counts", "manufacturers", "integrations", "integration_matches", "issues"]])
     return one.agg(F.array_sort(F.collect_list(F.struct("_p", "counts"))).alias("a")).select(
         F.concat(F.lit("{"), F.array_join(F.transform(
             "a", lambda x: F.concat(F.lit('"'), F.element_at(names, x["_p"] + 1), F.lit('":'), x["counts"])), ","),

@@ -153,6 +153,14 @@ def policy_counts(policies: DataFrame, reqs: DataFrame, key: str = "doc_id", ten
                     F.coalesce(F.col("requirement_count"), F.lit(0).cast("bigint")).alias("requirement_count")))
 
 
+def policy_headers(documents: DataFrame, as_of, key: str = "doc_id", tenant_id: int = 1) -> DataFrame:
+    """Policies rows (id, tenantId, filename, uploadedUtc), one per document."""
+    ts = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    pid = policy_id(key)
+    return documents.select(pid.alias("id"), F.lit(tenant_id).alias("tenantId"),
+                            F.concat(pid, F.lit(".pdf")).alias("filename"), ts.alias("uploadedUtc"))
+
+
 # --- N6 -----------------------------------------------------------------------------------------
 def requirement_categories(reqs: DataFrame, vocabulary: Sequence[str] = REQUIREMENT_CATEGORIES) -> DataFrame:
     """Tally over the vocabulary plus 'other', zero-filled."""

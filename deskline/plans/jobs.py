@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskline.operators import contracts as R
+from deskline.operators import documents as D
 from deskline.operators import kpis as KP
 from deskline.session import ensure_checkpoint_dir
 from deskline.sources import sinks
@@ -75,7 +76,7 @@ def run_kpis(spark: SparkSession, root: str, tickets: DataFrame, resources: Data
     sinks.write_snapshot(KP.kpi_register(existing), reg_t, rv)
     registry = sinks.read_snapshot(spark, reg_t)
     # A run owns the partitions (date, run, source) it writes, so a replay replaces its own rows.
-    run_id = F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyyMMddHHmmss")
+    run_id = _run_id(as_of)
 
     def store(source: str, rows: DataFrame) -> None:
         values = KP.kpi_values(registry, rows, as_of).withColumn("run_id", run_id).withColumn("source", F.lit(source))
@@ -106,13 +107,34 @@ def run_kpis(spark: SparkSession, root: str, tickets: DataFrame, resources: Data
     return {"status": status, "kpis": rv}
 
 
+def _run_id(as_of):
+    return F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyyMMddHHmmss")
+
+
 def append_command_log(log: DataFrame, root: str, as_of: dt.datetime | str) -> None:
-    """I8: append audit rows, partitioned by day."""
-    sinks.append(log.withColumn("logged_date", F.lit(as_of).cast("timestamp_ntz").cast("date")),
-                 f"{root}/CommandLogs", partition_by=["logged_date"])
+    """I8: audit rows by day and run; a replayed run replaces its own rows."""
+    day = F.lit(as_of).cast("timestamp_ntz").cast("date")
+    sinks.replace_partitions(log.withColumn("logged_date", day).withColumn("run_id", _run_id(as_of)),
+                             f"{root}/CommandLogs", ["logged_date", "run_id"])
+
 
+def store_policies(policies: DataFrame, requirements: DataFrame, root: str, as_of: dt.datetime | str) -> None:
+    """Policy headers and requirement rows by run; a replayed run replaces its own rows."""
+    sinks.replace_partitions(policies.withColumn("run_id", _run_id(as_of)), f"{root}/Policies", ["run_id"])
+    sinks.replace_partitions(requirements.withColumn("run_id", _run_id(as_of)), f"{root}/PolicyRequirements", ["run_id"])
 
-def store_policies(policies: DataFrame, requirements: DataFrame, root: str) -> None:
-    """Append policy headers and requirement rows."""
-    sinks.append(policies, f"{root}/Policies")
-    sinks.append(requirements, f"{root}/PolicyRequirements")
+
+def ingest_policies(spark: SparkSession, root: str, pages: DataFrame, answer: Callable[[DataFrame], DataFrame],
+                    as_of: dt.datetime | str, tenant_id: int = 1) -> DataFrame:
+    """Pages -> N1 text -> N2 chunks -> N9 requests -> ``answer`` -> N3/N4 requirements -> I11 stores.
+
+    ``answer`` turns the request table into ``doc_id``, ``answer`` rows (the model calls themselves are
+    the caller's batch job). Returns doc_id, policyId and the number of requirements of every document.
+    """
+    text = D.document_text(pages)
+    requests = D.chat_requests(D.chunk_documents(text))
+    found, _ = D.parse_requirements(answer(requests))
+    store_policies(D.policy_headers(text, as_of, tenant_id=tenant_id), D.requirement_rows(found, as_of), root, as_of)
+    stored = spark.read.parquet(f"{root}/PolicyRequirements").filter(F.col("run_id") == _run_id(as_of))
+    return (D.policy_counts(text, stored, tenant_id=tenant_id)
+            .select("doc_id", F.col("policy_id").alias("policyId"), "requirement_count"))

@@ -105,18 +105,34 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_TMPL = ("CASE " + " ".join(f"WHEN issue_type = '{t}' THEN {_sql_str(x)}" for t, x in V.PROMPT_TEMPLATES.items())
-         + f" ELSE {_sql_str(V.FALLBACK_PROMPT)} END")
+_PROMPTS = f"""
+, batched AS (SELECT issue_type, device_name, (row_number() OVER (PARTITION BY issue_type ORDER BY part_id, device_name) - 1) // {BATCH} AS batch FROM iss)
+, prm AS (SELECT issue_type, CAST(batch AS BIGINT) AS batch, CAST(count(*) AS INT) AS device_count,
+       CASE issue_type WHEN 'not_seen_recently' THEN 'Check these: ' ELSE 'Suggest next steps for these devices (' || issue_type || '): ' END
+       || '[' || chr(39) || string_agg(device_name, chr(39) || ', ' || chr(39) ORDER BY device_name) || chr(39) || '].' AS prompt
+FROM batched GROUP BY issue_type, batch)
+"""
 
 
-@register("prompts", with_views(["devices"], _ISSUES + f"""
-SELECT issue_type, CAST(part_id // {BATCH} AS BIGINT) AS batch, CAST(count(*) AS INT) AS device_count,
-       replace({_TMPL}, '{{devices}}', '[''' || string_agg(device_name, ''', ''' ORDER BY device_name) || ''']') AS prompt
-FROM iss GROUP BY issue_type, part_id // {BATCH}
-"""))
+def _prompts(spark, sf_dir):
+    wording = spark.createDataFrame([("not_seen_recently", "Check these: {devices}.")], "issue_type string, template string")
+    return V.recommendation_prompts(V.device_issues(_devices(spark, sf_dir)), batch_size=BATCH, templates=wording)
+
+
+@register("prompts", with_views(["devices"], _ISSUES + _PROMPTS + "SELECT * FROM prm"))
 def prompts(spark, sf_dir):
-    """V9: prompt table, one prompt per issue type and batch of devices."""
-    return V.recommendation_prompts(V.device_issues(_devices(spark, sf_dir)), batch_size=BATCH)
+    """V9: prompt table, one prompt per issue type and batch of devices, in a caller's wording."""
+    return _prompts(spark, sf_dir)
+
+
+@register("prompt_requests", with_views(["devices"], _ISSUES + _PROMPTS + """
+SELECT issue_type, batch, to_json([{'role': 'user', 'content': prompt}]) :: VARCHAR AS messages FROM prm
+"""))
+def prompt_requests(spark, sf_dir):
+    """N9 for a bare prompt: one user message for each V9 prompt."""
+    from deskline.operators.documents import prompt_request
+    p = _prompts(spark, sf_dir)
+    return p.select("issue_type", "batch", prompt_request(p).alias("messages"))
 
 
 @register("parse_flags", with_views(["device_flags_raw"], """
@@ -134,7 +150,7 @@ _INTEG_SQL = " UNION ALL ".join(
     f"SELECT '{n}' AS integration, count(*) FILTER (WHERE {n}) AS device_count FROM devices" for n in K.INTEGRATIONS)
 
 
-@register("device_report", with_views(["devices"], _MATCH + f"""
+@register("device_report", with_views(["devices"], _MATCH + _ISSUES + f"""
 , tot AS (SELECT to_json({{'total_devices': count(*), 'inactive_devices': count(*) FILTER (WHERE Inactive_Computer),
                           'no_antivirus': CAST(0 AS BIGINT), 'no_last_reboot': CAST(0 AS BIGINT)}}) :: VARCHAR AS j FROM devices)
 , man AS (SELECT to_json(map_from_entries(list({{'k': manufacturer_name, 'v': n}} ORDER BY manufacturer_name, n))) :: VARCHAR AS j
@@ -145,9 +161,11 @@ _INTEG_SQL = " UNION ALL ".join(
           FROM ({_INTEG_SQL}))
 , sec AS (SELECT to_json(map_from_entries(list({{'k': match_class, 'v': n}} ORDER BY match_class, n))) :: VARCHAR AS j
           FROM (SELECT match_class, count(*) AS n FROM m WHERE match_class IS NOT NULL GROUP BY match_class))
+, isu AS (SELECT to_json(map_from_entries(list({{'k': t, 'v': n}} ORDER BY t, n))) :: VARCHAR AS j
+          FROM (SELECT t, (SELECT count(*) FROM iss WHERE issue_type = t) AS n FROM (VALUES {", ".join(f"('{t}')" for t in K.ISSUE_TYPES)}) AS v(t)))
 SELECT '{{"counts":' || tot.j || ',"manufacturers":' || man.j || ',"integrations":' || itg.j
-       || ',"integration_matches":' || sec.j || '}}' AS payload
-FROM tot, man, itg, sec
+       || ',"integration_matches":' || sec.j || ',"issues":' || isu.j || '}}' AS payload
+FROM tot, man, itg, sec, isu
 """))
 def device_report(spark, sf_dir):
     """The one-row analytics payload (JSON text)."""

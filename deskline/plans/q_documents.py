@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from deskline import constants as K
 from deskline.operators import documents as N
 from deskline.plans.registry import register
 from deskline.plans.sqlbits import DESK
-from deskline.session import ensure_session
+from deskline.session import ensure_session, scratch_dir
 from deskline.sources.fixtures import AS_OF_DESK, load_table, view, with_views
 
 SMALL_CHUNK = 200
@@ -163,3 +165,26 @@ FROM chunks
 def chat_requests(spark, sf_dir):
     """One request per document chunk for the offline extraction job."""
     return N.chat_requests(N.chunk_documents(_docs(spark, sf_dir), K.CHUNK_MAX_CHARS))
+
+
+@register("policy_run", with_views(["policy_pages"], _DOC_TEXT + _chunk_sql("dt", K.CHUNK_MAX_CHARS) + """
+, told AS (SELECT doc_id, count(*) FILTER (WHERE (doc_id + chunk_no) % 3 <> 0) * 2 AS n FROM chunks GROUP BY doc_id)
+SELECT dt.doc_id, sha256(CAST(dt.doc_id AS VARCHAR)) AS policyId, CAST(coalesce(n, 0) AS BIGINT) AS requirement_count
+FROM dt LEFT JOIN told USING (doc_id)
+""", recursive=True))
+def policy_run(spark, sf_dir):
+    """The whole ingest job, replayed once, with a stand-in for the model: two requirements for two of
+    three chunks and no list for the rest."""
+    from deskline.plans.jobs import ingest_policies
+
+    def answer(requests):
+        text = F.concat(F.lit('[{"requirement":"part '), F.col("chunk_no").cast("string"),
+                        F.lit('"},{"requirement":"x","category":"permitted"}]'))
+        return requests.select("doc_id", F.when((F.col("doc_id") + F.col("chunk_no")) % 3 != 0, text)
+                               .otherwise(F.lit("none")).alias("answer"))
+
+    ensure_session(spark)
+    root = scratch_dir(spark, "policy-run")
+    for _ in range(2):
+        out = ingest_policies(spark, root, view(spark, sf_dir, "policy_pages"), answer, AS_OF_DESK)
+    return out
