@@ -1,8 +1,10 @@
 """A gated recurrent language model in numpy with a class-factored output softmax.
 
 Symbols are numbered by falling frequency; class = symbol // width, so the probability of a symbol is
-P(class | state) * P(symbol | class, state). Texts are laid into lanes, one after another, and all
-lanes step together; the state begins at zero with each text and is carried across windows within it.
+P(class | state) * P(symbol | class, state). All lanes of a batch step together; the state begins at
+zero with each text and is carried across windows within it. For scoring a lane holds whole texts, so
+every text is scored with the state of all that stands before; for training the texts are one stream
+that is cut into equal lanes.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ TRAIN_LANES, SCORE_LANES = 512, 512  # at most
 LANE_STEPS = 1024  # symbols a training lane should have, so that small inputs are learned in as many steps
 RATE = 6e-3
 CLIP = 1.0
-BATCH_TOKENS = 1 << 19  # symbols laid into lanes at once; a longer text goes alone
+TRAIN_TOKENS = 1 << 19  # symbols of a training stream
+SCORE_TOKENS = 1 << 22  # symbols laid into lanes at once for scoring, so that long texts have company
 
 H = HIDDEN
 SHAPES = {"G": (SYMBOLS, 3 * H), "U": (H, 3 * H), "Wc": (H, CLASSES), "bc": (CLASSES,),
@@ -49,8 +52,28 @@ def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+class Stream:
+    """All texts one after another, cut into lanes of equal length (the last may be shorter). A text
+    that a cut goes through is continued with a zero state."""
+
+    def __init__(self, texts: list[np.ndarray], lanes: int, end: int):
+        total = sum(map(len, texts))
+        steps = -(-total // max(1, lanes))
+        self.lanes = -(-total // steps) if total else 0
+        self.steps = steps
+        y = np.zeros(self.lanes * steps, np.int16)
+        y[:total] = np.concatenate(texts) if texts else []
+        x, first = np.empty_like(y), np.zeros(len(y), bool)
+        x[1:] = y[:-1]
+        begins = np.cumsum([0, *map(len, texts)])[:-1]
+        x[begins], first[begins] = end, True
+        shape = (self.lanes, steps)
+        self.x, self.y, self.first = (np.ascontiguousarray(v.reshape(shape).T) for v in (x, y, first))
+        self.live = np.where(np.arange(steps) < total - (self.lanes - 1) * steps, self.lanes, self.lanes - 1)
+
+
 class Lanes:
-    """Texts (arrays of symbols, each ending with the end symbol) in lanes of nearly equal length.
+    """Whole texts (arrays of symbols, each ending with the end symbol) in lanes of nearly equal length.
 
     ``x`` is the symbol before, ``y`` the symbol to tell, ``first`` marks a text's first step and
     ``text`` its number; all are steps x lanes with the longest lane first; ``live[t]`` lanes are
@@ -70,8 +93,8 @@ class Lanes:
         held.sort(key=lambda own: -sum(len(texts[i]) for i in own))
         sizes = np.array([sum(len(texts[i]) for i in own) for own in held])
         steps = int(sizes.max()) if len(texts) else 0
-        y = np.zeros((lanes, steps), np.int32)
-        x, text = np.full_like(y, end), np.zeros_like(y)
+        y = np.zeros((lanes, steps), np.int16)
+        x, text = np.full_like(y, end), np.zeros((lanes, steps), np.int32)
         first = np.zeros((lanes, steps), bool)
         for k, own in enumerate(held):
             at = 0
@@ -189,12 +212,12 @@ class Trainer:
 
     def learn(self, texts: list[np.ndarray], end: int) -> None:
         wanted = max(8, sum(map(len, texts)) // LANE_STEPS)
-        lanes = Lanes(texts, min(TRAIN_LANES, wanted), end)
+        lanes = Stream(texts, min(TRAIN_LANES, wanted), end)
         h = np.zeros((H, lanes.lanes), self.p["U"].dtype)
         for t0 in range(0, lanes.steps, WINDOW):
             h = self._window(lanes, t0, min(t0 + WINDOW, lanes.steps), h)
 
-    def _window(self, lanes: Lanes, t0: int, t1: int, h: np.ndarray) -> np.ndarray:
+    def _window(self, lanes: Stream, t0: int, t1: int, h: np.ndarray) -> np.ndarray:
         p, saved, states, live = self.p, [], [], lanes.live[t0:t1]
         for t, k in zip(range(t0, t1), live):
             h, cache = _step(p, h[:, :k], lanes.x[t, :k], lanes.first[t, :k])
@@ -223,7 +246,7 @@ class Trainer:
             dnext = np.where(lanes.first[t0 + s, :dnext.shape[1]], dnext.dtype.type(0), dnext)
         grads["U"] = dU
         x = _span(lanes.x, t0, live)
-        order = np.argsort(x.astype(np.int16), kind="stable")
+        order = np.argsort(x, kind="stable")
         names, starts = np.unique(x[order], return_index=True)
         grads["G"] = np.zeros_like(p["G"])
         grads["G"][names] = np.add.reduceat(da.take(order, 1), starts, axis=1).T

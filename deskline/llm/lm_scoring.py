@@ -155,17 +155,8 @@ def symbol_table(docs: DataFrame, vocab, id_col: str, text_col: str, held_out: C
     return stored(own.mapInPandas(convert, SYMBOL_ROWS.format(own.schema["id"].dataType.simpleString())), "symbols")
 
 
-def _batched(batch: pd.DataFrame) -> Iterator[list[np.ndarray]]:
-    held, size = [], 0
-    for raw in batch:
-        x = np.frombuffer(raw, np.int16).astype(np.int32)
-        if held and size + len(x) > gru.BATCH_TOKENS:
-            yield held
-            held, size = [], 0
-        held.append(x)
-        size += len(x)
-    if held:
-        yield held
+def _texts(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(raw, np.int16) for raw in column]
 
 
 def train(symbols: DataFrame, frequency: np.ndarray, end: int) -> dict[str, np.ndarray]:
@@ -179,12 +170,11 @@ def train(symbols: DataFrame, frequency: np.ndarray, end: int) -> dict[str, np.n
         def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model, tokens, held, size = gru.Trainer(gru.unflat(start.value), rate), 0, [], 0
             for batch in batches:
-                for texts in _batched(batch["symbols"]):
-                    held += texts
-                    size += sum(map(len, texts))
-                    if size >= gru.BATCH_TOKENS:
-                        model.learn(held, end)
-                        tokens, held, size = tokens + size, [], 0
+                held += (texts := _texts(batch["symbols"]))
+                size += sum(map(len, texts))
+                if size >= gru.TRAIN_TOKENS:
+                    model.learn(held, end)
+                    tokens, held, size = tokens + size, [], 0
             if held:
                 model.learn(held, end)
                 tokens += size
@@ -225,13 +215,12 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
             return pd.concat(rows, ignore_index=True).assign(model=logs)
 
         for batch in batches:
-            for i, raw in enumerate(batch["symbols"]):
-                held.append(np.frombuffer(raw, np.int16).astype(np.int32))
-                size += len(held[-1])
-                rows.append(batch.iloc[i:i + 1][keep])
-                if size >= gru.BATCH_TOKENS:
-                    yield flush()
-                    rows, held, size = [], [], 0
+            held += (texts := _texts(batch["symbols"]))
+            rows.append(batch[keep])
+            size += sum(map(len, texts))
+            if size >= gru.SCORE_TOKENS:
+                yield flush()
+                rows, held, size = [], [], 0
         if rows:
             yield flush()
 
