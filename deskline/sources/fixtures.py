@@ -131,8 +131,8 @@ SELECT p_partkey AS part_id, CASE p_size % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no'
 FROM part
 """),
     "uploads": ([], """
-SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"attachments":[{"contentType":"application/pdf","contentUrl":"u1"}]}' WHEN 1 THEN '{"attachments":[],"value":{"attachments":[{"contentType":"application/pdf","contentUrl":"u2"}]}}'
-       WHEN 2 THEN '{"value":{"attachments":[{"contentType":"image/png","contentUrl":"u3"}]}}' WHEN 3 THEN '{"attachments":[{"contentType":"application/pdf","contentUrl":"u4"},{"contentType":"application/pdf","contentUrl":"u5"}]}'
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN replace('{"attachments":[{"contentType":"application/pdf","contentUrl":"u1-EVENT"}]}', 'EVENT', CAST(event_id AS STRING)) WHEN 1 THEN replace('{"attachments":[],"value":{"attachments":[{"contentType":"application/pdf","contentUrl":"u2-EVENT"}]}}', 'EVENT', CAST(event_id AS STRING))
+       WHEN 2 THEN replace('{"value":{"attachments":[{"contentType":"image/png","contentUrl":"u3-EVENT"}]}}', 'EVENT', CAST(event_id AS STRING)) WHEN 3 THEN replace('{"attachments":[{"contentType":"application/pdf","contentUrl":"u4-EVENT"},{"contentType":"application/pdf","contentUrl":"u5-EVENT"}]}', 'EVENT', CAST(event_id AS STRING))
        WHEN 4 THEN '{}' ELSE '{"value":{}}' END AS payload
 FROM events
 """),
@@ -178,16 +178,19 @@ SELECT event_id, CASE event_id % 12
 FROM events
 """),
     "stamps": ([], """
-SELECT event_id, CASE event_id % 8 WHEN 0 THEN '2024-01-05T01:02:03Z' WHEN 1 THEN '2024-01-05T01:02:03.250Z' WHEN 2 THEN '2024-01-05' WHEN 3 THEN '2024'
-       WHEN 4 THEN 'bad' WHEN 5 THEN '' WHEN 6 THEN '2024-07-05T01:02:03' END AS txt
-FROM events
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN concat(d, 'T', t, 'Z') WHEN 1 THEN concat(d, 'T', t, '.250Z') WHEN 2 THEN d WHEN 3 THEN substring(d, 1, 4)
+       WHEN 4 THEN concat('bad ', CAST(user_id AS STRING)) WHEN 5 THEN '' WHEN 6 THEN concat(d, 'T', t) END AS txt
+FROM (SELECT event_id, user_id,
+             concat(CAST(2000 + event_id % 41 AS STRING), '-', lpad(CAST(event_id % 13 AS STRING), 2, '0'), '-', lpad(CAST(event_id % 32 AS STRING), 2, '0')) AS d,
+             concat(lpad(CAST(user_id % 25 AS STRING), 2, '0'), ':', lpad(CAST(event_id % 60 AS STRING), 2, '0'), ':', lpad(CAST(user_id % 60 AS STRING), 2, '0')) AS t
+      FROM events) made
 """),
     "policy_pages": ([], """
 SELECT conv_id AS doc_id, turn AS page_no, text FROM conversations
 """),
     "model_replies": ([], """
-SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN concat('Before ', CAST(conv_id AS STRING), chr(10), '```python', chr(10), 'x = ', CAST(turn AS STRING), chr(10), '``` after ```y```')
-       ELSE concat(' plain ', CAST(turn AS STRING), ' ') END AS reply
+SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN concat(text, chr(10), '```python', chr(10), 'x = ', CAST(turn AS STRING), chr(10), '``` after ```y```')
+       ELSE concat(' ', text, ' ') END AS reply
 FROM conversations
 """),
     "policy_answers": ([], """
