@@ -28,9 +28,9 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 SHORT_TAILS, LONG_TAILS = "stmd", ["re", "ve", "ll"]
 
 END = 0x110000  # stands between texts
-CACHE_ENTRIES = 200_000  # distinct slices of each generation that a worker keeps
+CACHE_ENTRIES = 150_000  # distinct slices of each generation that a worker keeps
 CACHE_SLICE = 64  # longer slices are merged anew each time
-BLOCK_CHARS = 1 << 20  # code points scanned at once; a longer text is scanned alone
+BLOCK_CHARS = 1 << 19  # code points scanned at once; a longer text is scanned alone
 
 # Classes of the automaton.
 LETTER, NUMBER, OTHER, QUOTE2, QUOTE3, SPACE_RUN, SPACE_JOIN, SPACE_LONE, BREAK = range(9)

@@ -38,7 +38,7 @@ from deskline.llm.common import most_frequent, prepare, small, stored
 from deskline.llm.components import components, smallest_reachable
 
 FREQUENT = 1 << 19  # entries of the broadcast table of frequent tokens (6 MB)
-COUNT_TOKENS = 1 << 22  # tokens of a counting batch (different texts only); what repeats in it is told of
+COUNT_TOKENS = 1 << 21  # tokens of a counting batch (different texts only); what repeats in it is told of
 STAR = 8  # nodes of a token's group up to which all its pairs are formed at once
 LARGE = 64  # nodes of a token's group that are compared pair by pair; larger groups go in tiles
 TILE_NODES, TILE_TOKENS = 1024, 1 << 18  # expected nodes, and tokens of their sets, of a tile
@@ -56,7 +56,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
-BATCH_BYTES = 1 << 20  # text hashed at once; a longer text goes alone
+BATCH_BYTES = 1 << 19  # text hashed at once; a longer text goes alone
 
 
 def _powers(n: int, base: int) -> np.ndarray:
