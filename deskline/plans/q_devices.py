@@ -72,14 +72,14 @@ _MATCH = f"""
 
 @register("device_match", with_views(["devices"], _MATCH + "SELECT * FROM m"))
 def device_match(spark, sf_dir):
-    return V.device_match(_devices(spark, sf_dir))
+    return V.device_match(_devices(spark, sf_dir), "part_id")
 
 
 @register("match_summary", with_views(["devices"], _MATCH + """
 SELECT match_class, CAST(count(*) AS BIGINT) AS device_count FROM m WHERE match_class IS NOT NULL GROUP BY match_class
 """))
 def match_summary(spark, sf_dir):
-    return V.match_summary(V.device_match(_devices(spark, sf_dir)))
+    return V.match_summary(V.device_match(_devices(spark, sf_dir), "part_id"))
 
 
 _ISSUES = """
@@ -91,14 +91,14 @@ _ISSUES = """
 
 @register("device_issues", with_views(["devices"], _ISSUES + "SELECT * FROM iss"))
 def device_issues(spark, sf_dir):
-    return V.device_issues(_devices(spark, sf_dir))
+    return V.device_issues(_devices(spark, sf_dir), "part_id")
 
 
 @register("issue_counts", with_views(["devices"], _ISSUES + " UNION ALL ".join(
     f"SELECT '{t}' AS issue_type, CAST(count(*) FILTER (WHERE issue_type = '{t}') AS BIGINT) AS device_count FROM iss"
     for t in K.ISSUE_TYPES)))
 def issue_counts(spark, sf_dir):
-    return V.issue_counts(V.device_issues(_devices(spark, sf_dir)))
+    return V.issue_counts(V.device_issues(_devices(spark, sf_dir), "part_id"))
 
 
 def _sql_str(s: str) -> str:
@@ -116,7 +116,7 @@ FROM batched GROUP BY issue_type, batch)
 
 def _prompts(spark, sf_dir):
     wording = spark.createDataFrame([("not_seen_recently", "Check these: {devices}.")], "issue_type string, template string")
-    return V.recommendation_prompts(V.device_issues(_devices(spark, sf_dir)), batch_size=BATCH, templates=wording)
+    return V.recommendation_prompts(V.device_issues(_devices(spark, sf_dir), "part_id"), "part_id", batch_size=BATCH, templates=wording)
 
 
 @register("prompts", with_views(["devices"], _ISSUES + _PROMPTS + "SELECT * FROM prm"))
@@ -169,4 +169,4 @@ FROM tot, man, itg, sec, isu
 """))
 def device_report(spark, sf_dir):
     """The one-row analytics payload (JSON text)."""
-    return V.report_payload(_devices(spark, sf_dir))
+    return V.report_payload(_devices(spark, sf_dir), "part_id")

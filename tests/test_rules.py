@@ -213,7 +213,7 @@ def test_match_classes(spark):
     cols = list(base)
     df = spark.createDataFrame([(i, n, *[f[c] for c in cols]) for i, n, f in rows],
                                "part_id bigint, device_name string, " + ", ".join(f"{c} boolean" for c in cols))
-    got = {r["part_id"]: (r["device_name"], r["match_class"]) for r in V.device_match(df).collect()}
+    got = {r["part_id"]: (r["device_name"], r["match_class"]) for r in V.device_match(df, "part_id").collect()}
     assert got == {1: ("a", "full"), 2: ("Unnamed Device", "partial"), 3: ("Unnamed Device", "single"), 4: ("d", None)}
 
 
