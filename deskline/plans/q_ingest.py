@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from deskline import constants as K
 from deskline.functions import display_text, parse_iso, parse_strict_z
