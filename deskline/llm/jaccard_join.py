@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deskline.llm.common import most_frequent, prepare, small, stored
+from deskline.llm.common import drop_finished_shuffles, most_frequent, prepare, small, stored
 from deskline.llm.components import components, smallest_reachable
 
 FREQUENT = 1 << 19  # entries of the broadcast table of frequent tokens (6 MB)
@@ -220,6 +220,7 @@ def _links(own: DataFrame, tab: DataFrame, width: int, percent: int) -> DataFram
     several = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     several = small(stored(several.select("token"), "several"))
     shared = stored(entries.join(several, "token", "left_semi").distinct(), "shared")
+    drop_finished_shuffles(own.sparkSession)
     # One row of each node that stands there.
     nodes = small(stored(shared.select("node").distinct(), "nodes"))
     one = tab.select("node", "id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("i"))
@@ -239,6 +240,7 @@ def _links(own: DataFrame, tab: DataFrame, width: int, percent: int) -> DataFram
     # Pairs that still lie in different components.
     comp = components(near, "a", "b")
     comp = small(stored(comp, "near_components"))
+    drop_finished_shuffles(own.sparkSession)
     placed = shared.join(comp, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
     placed = stored(placed.join(small(stored(mixed, "mixed_tokens")), "token", "left_semi"), "mixed")
@@ -321,10 +323,13 @@ def _overlap(a: pd.Series, b: pd.Series) -> np.ndarray:
 
 def _verified(pairs: DataFrame, own: DataFrame, slim: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs that link: length and the other orders' prefixes are checked, then the whole sets."""
-    left = slim.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
-    right = slim.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
-    pairs = pairs.join(left, "a").join(right, "b").filter(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
-    pairs = stored(pairs.filter("arrays_overlap(a1, b1) AND arrays_overlap(a2, b2)").select("a", "b"), "pairs")
+    for p in ("p1", "p2"):  # one filter after the other, so that few pairs carry the second one's prefixes
+        left = slim.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col(p).alias("ap"))
+        right = slim.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col(p).alias("bp"))
+        pairs = pairs.join(left, "a").join(right, "b").filter(
+            f"100 * least(an, bn) >= {percent} * greatest(an, bn) AND arrays_overlap(ap, bp)").select("a", "b")
+    pairs = stored(pairs, "pairs")
+    drop_finished_shuffles(own.sparkSession)
     whole = _sets(own, slim, pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), width)
     left = whole.select(F.col("node").alias("a"), F.col("tokens").alias("at"))
     right = whole.select(F.col("node").alias("b"), F.col("tokens").alias("bt"))
