@@ -220,6 +220,11 @@ def _links(own: DataFrame, tab: DataFrame, width: int, percent: int) -> DataFram
     several = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     several = small(stored(several.select("token"), "several"))
     shared = stored(entries.join(several, "token", "left_semi").distinct(), "shared")
+    # Tokens held by the very same nodes (near copies share dozens) tell the same: one of them stays.
+    same = shared.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("node").alias("lo"), F.max("node").alias("hi"),
+                                       F.bit_xor(F.xxhash64("node")).alias("mark"))
+    same = small(stored(same.groupBy("g", "lo", "hi", "mark").agg(F.min("token").alias("token")).select("token"), "tokens"))
+    shared = stored(shared.join(same, "token", "left_semi"), "shared")
     drop_finished_shuffles(own.sparkSession)
     # One row of each node that stands there.
     nodes = small(stored(shared.select("node").distinct(), "nodes"))
