@@ -1,12 +1,14 @@
 """Licence scans by sentence rules (operator 2), DataFrame functions only.
 
-A text is cut into sentences, sentences are normalised and looked up among known licence sentences,
-and the sequence of their identifiers is matched against ordered rules: each rule is a run of
-identifiers, earlier rules take their runs first, and what a rule has taken no later one sees.
+A text is cut into sentences, known licence sentences are looked up in them (whole, or as whole lines
+of one, since a line without end punctuation is glued to the next), and the sequence of their
+identifiers is matched against ordered rules: each rule is a run of identifiers, earlier rules take
+their runs first, and what a rule has taken no later one sees.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from deskline.llm.common import ascii_lower
 
-# Sentences of public licences, normalised (see `normalised`), by identifier.
+# Sentences of public licences, normalised (see `sentences`), by identifier. These and
+# RULES are also what the SQL of op2_licence_sentences is made from; more stand in PUBLISHED.
 SENTENCES = {
     "mit-ref": "released under the mit license",
     "mit-ref2": "licensed under the mit license",
@@ -62,32 +65,126 @@ RULES = [
     LicenceRule("All-rights-reserved", ("rights",)),
 ]
 
+_GRANT, _NOTICE = (SENTENCES["mit-grant"].partition(" the above copyright")[0],
+                   "the above copyright" + SENTENCES["mit-grant"].partition(" the above copyright")[2])
+_COPY = SENTENCES["apache-copy"].partition(" http ")[0]
+_UNLESS = "unless" + SENTENCES["apache-copy"].partition(" unless")[2]
+_TERMS = ("you can redistribute it and or modify it under the terms of the gnu {} as published by the free software "
+          "foundation either version {} of the license or at your option any later version")
+
+#: SENTENCES, the parts that published layouts set off by an empty line, and further public licences.
+PUBLISHED = SENTENCES | {
+    "mit-terms": _GRANT,
+    "mit-notice": _NOTICE,
+    "mit-ref3": "this project is licensed under the mit license",
+    "mit-ref4": "distributed under the mit license",
+    "apache-obtain": _COPY,
+    "apache-url": "http www apache org licenses license 2 0",
+    "apache-urls": "https www apache org licenses license 2 0",
+    "apache-unless": _UNLESS,
+    "apache-ref2": "this project is licensed under the apache license version 2 0",
+    "apache-ref3": "licensed under the apache license 2 0",
+    "gpl-free": "this program is free software",
+    "gpl3-terms": _TERMS.format("general public license", "3"),
+    "gpl2-terms": _TERMS.format("general public license", "2"),
+    "gpl2-head": "this program is free software " + _TERMS.format("general public license", "2"),
+    "agpl3-terms": _TERMS.format("affero general public license", "3"),
+    "agpl3-head": "this program is free software " + _TERMS.format("affero general public license", "3"),
+    "agpl-see": "see the gnu affero general public license for more details",
+    "lgpl-free": "this library is free software",
+    "lgpl21-terms": _TERMS.format("lesser general public license", "2 1"),
+    "gpl3-ref2": "licensed under the gnu general public license version 3",
+    "gpl2-ref": "licensed under the gnu general public license version 2",
+    "bsd-head": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "mpl-head": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl-copy2": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "ccby-ref2": "this work is licensed under cc by 4 0",
+    "ccby-name": "this work is licensed under a creative commons attribution 4 0 international license",
+    "ccbysa-ref": "licensed under cc by sa 4 0",
+    "ccbysa-name": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "ccbync-name": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+}
+
+_GPL_TAIL = ("gpl-warranty", "gpl-fitness", "gpl-see")
+_AGPL_TAIL = ("gpl-warranty", "gpl-fitness", "agpl-see")
+#: RULES, and those of the further sentences; longer runs first again.
+PUBLISHED_RULES = [
+    LicenceRule("Apache-2.0", ("apache-head", "apache-use", "apache-obtain", "apache-url", "apache-unless", "apache-see")),
+    LicenceRule("Apache-2.0", ("apache-head", "apache-use", "apache-obtain", "apache-urls", "apache-unless", "apache-see")),
+    LicenceRule("GPL-3.0-or-later", ("gpl-free", "gpl3-terms", *_GPL_TAIL)),
+    LicenceRule("GPL-2.0-or-later", ("gpl-free", "gpl2-terms", *_GPL_TAIL)),
+    LicenceRule("AGPL-3.0-or-later", ("gpl-free", "agpl3-terms", *_AGPL_TAIL)),
+    LicenceRule("GPL-2.0-or-later", ("gpl2-head", *_GPL_TAIL)),
+    LicenceRule("AGPL-3.0-or-later", ("agpl3-head", *_AGPL_TAIL)),
+    LicenceRule("MIT", ("mit-terms", "mit-notice", "mit-warranty", "mit-liability")),
+    LicenceRule("BSD-3-Clause", ("bsd-head", "bsd-source", "bsd-binary", "bsd-name")),
+    *[r for r in RULES if len(r.run) > 1],
+    LicenceRule("BSD-2-Clause", ("bsd-head", "bsd-source", "bsd-binary")),
+    LicenceRule("GPL-3.0-or-later", ("gpl-free", "gpl3-terms")),
+    LicenceRule("GPL-2.0-or-later", ("gpl-free", "gpl2-terms")),
+    LicenceRule("AGPL-3.0-or-later", ("gpl-free", "agpl3-terms")),
+    LicenceRule("LGPL-2.1-or-later", ("lgpl-free", "lgpl21-terms")),
+    LicenceRule("MPL-2.0", ("mpl-head", "mpl-copy")),
+    LicenceRule("MPL-2.0", ("mpl-head", "mpl-copy2")),
+    LicenceRule("MIT", ("mit-terms", "mit-notice")),
+    LicenceRule("MIT", ("mit-warranty", "mit-liability")),
+    *[r for r in RULES if len(r.run) == 1],
+    *[LicenceRule(name, (i,)) for name, i in [
+        ("MIT", "mit-terms"), ("MIT", "mit-ref3"), ("MIT", "mit-ref4"), ("Apache-2.0", "apache-ref2"),
+        ("Apache-2.0", "apache-ref3"), ("GPL-2.0-or-later", "gpl2-head"), ("AGPL-3.0-or-later", "agpl3-head"),
+        ("GPL-3.0-or-later", "gpl3-terms"), ("GPL-2.0-or-later", "gpl2-terms"), ("AGPL-3.0-or-later", "agpl3-terms"),
+        ("LGPL-2.1-or-later", "lgpl21-terms"), ("GPL-3.0", "gpl3-ref2"), ("GPL-2.0", "gpl2-ref"), ("MPL-2.0", "mpl-copy"),
+        ("MPL-2.0", "mpl-copy2"), ("Unlicense", "unlicense"), ("CC-BY-4.0", "ccby-ref2"), ("CC-BY-4.0", "ccby-name"),
+        ("CC-BY-SA-4.0", "ccbysa-ref"), ("CC-BY-SA-4.0", "ccbysa-name"), ("CC-BY-NC-4.0", "ccbync-name")]],
+]
 
-def sentences(text: Column) -> Column:
+
+def sentences(text: Column, lines: bool = False) -> Column:
     """Array of normalised sentences: a sentence ends at ``.``, ``;``, ``!`` or ``?`` before white space or
     the end, and at an empty line. Normalised: A-Z lower-cased, runs of anything but a-z and 0-9 one
-    blank, none at the ends; sentences without a letter or digit are left out. Null gives an empty array."""
+    blank, none at the ends; sentences without a letter or digit are left out. Null gives an empty array.
+    With ``lines`` the blank that stands for a line's end is a line feed."""
     marked = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[.;!?](?=\s|$)|\n[ \t\r]*\n", "\u0001")
+    if lines:
+        plain = F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9\u0001\r\n]+", " "), " ?[\r\n][ \r\n]*", "\n")
+        return F.filter(F.transform(F.split(plain, "\u0001"), lambda s: F.trim(s, F.lit(" \n"))), lambda s: s != "")
     plain = F.regexp_replace(marked, "[^a-z0-9\u0001]+", " ")
     return F.filter(F.transform(F.split(plain, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] | None = None,
-         rules: list[LicenceRule] | None = None) -> DataFrame:
+         rules: list[LicenceRule] | None = None, lines: bool = True) -> DataFrame:
     """One row per document: id, ``n_sentences``, ``found`` (array of sentence number from 0 and identifier),
     ``licences`` (names of the rules that match, in rule order, once for each run) and ``n_left``
     (known sentences that no rule takes).
 
+    With ``lines`` a known sentence is also found as one or more whole lines inside a sentence (wrapped
+    sentences stay joined): leftmost first, then the longest, without overlap, so a sentence may give
+    several identifiers. Without, only whole sentences are looked up.
+
     Row by row: nothing is shuffled, and rows that repeat an id are rows of their own. Null and empty
     texts have no sentences. Known sentences and rules are literals of the plan, so their number is
     that of the caller's list. Identifiers may not hold ``<`` or ``>``.
     """
-    known = SENTENCES if known is None else known
-    rules = RULES if rules is None else rules
+    known = PUBLISHED if known is None else known
+    rules = PUBLISHED_RULES if rules is None else rules
     names = F.array(*[F.lit(k) for k in known]) if known else F.array().cast("array<string>")
     texts = F.array(*[F.lit(v) for v in known.values()]) if known else F.array().cast("array<string>")
-    own = docs.select(F.col(id_col).alias("_id"), sentences(F.col(text_col)).alias("_s"))
-    place = F.transform("_s", lambda s, i: F.struct(i.alias("sentence"), F.array_position(texts, s).cast("int").alias("n")))
+    own = docs.select(F.col(id_col).alias("_id"), sentences(F.col(text_col), lines).alias("_s"))
+    if lines and known:
+        longest = sorted(known.values(), key=lambda v: (-len(v), v))
+        anyone = "|".join("[ \\n]".join(map(re.escape, v.split())) for v in longest)
+        hits = F.transform("_s", lambda s, i: F.transform(
+            F.regexp_extract_all(s, F.lit(rf"(?<![^\n])({anyone})(?![^\n])"), F.lit(1)),
+            lambda m: F.struct(i.alias("sentence"), F.array_position(texts, F.translate(m, "\n", " ")).cast("int").alias("n"))))
+        place = F.flatten(hits)
+    else:
+        place = F.transform("_s", lambda s, i: F.struct(i.alias("sentence"), F.array_position(texts, s).cast("int").alias("n")))
     found = F.transform(F.filter(place, lambda p: p["n"] > 0), lambda p: F.struct(
         p["sentence"].alias("sentence"), F.element_at(names, p["n"]).alias("identifier")))
     own = own.select("_id", F.size("_s").cast("long").alias("_n"), found.alias("_found"))

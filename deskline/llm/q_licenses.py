@@ -36,6 +36,7 @@ SELECT doc_id, n_sentences, found, array_to_string(flatten([{names}]), ',') AS l
 
 @register("op2_licence_sentences", _oracle())
 def op2_licence_sentences(spark, sf_dir):
-    out = L.scan(table(spark, sf_dir, "documents"))
+    # The SQL above looks up whole sentences of the first lists only, and the query's results are the SQL's.
+    out = L.scan(table(spark, sf_dir, "documents"), known=L.SENTENCES, rules=L.RULES, lines=False)
     found = F.array_join(F.transform("found", lambda f: F.concat(f["sentence"].cast("string"), F.lit(":"), f["identifier"])), ",")
     return out.select("doc_id", "n_sentences", found.alias("found"), F.array_join("licences", ",").alias("licences"), "n_left")

@@ -1,6 +1,7 @@
 """Operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -84,6 +85,68 @@ def test_licence_runs_take_the_longest_rule(spark):
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, known={}, rules=[]).count() == 7
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+APACHE = """# Copyright 2020 A
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+
+     http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_licences_in_published_layouts(spark):
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
+           "following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this\n"
+           "   list of conditions and the following disclaimer.\n")
+    binary = ("2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+              "following disclaimer in the documentation and/or other materials provided with the distribution.")
+    docs = [(1, MIT, ["MIT"]), (2, APACHE, ["Apache-2.0"]), (3, MIT[MIT.index("THE SOFTWARE IS"):], ["MIT"]),
+            (4, "a title without a stop\nReleased under the MIT License.\nmore", ["MIT"]),
+            (5, "x\r\n * Licensed under\r\n * CC BY 4.0\r\n * y", ["CC-BY-4.0"]), (6, bsd + binary, ["BSD-2-Clause"]),
+            (7, "x is not released under the MIT License.", []), (8, "released under the MIT License for all.", [])]
+    got = licenses.scan(spark.createDataFrame([d[:2] for d in docs], DOCS)).collect()
+    assert {r["doc_id"]: (r["licences"], r["n_left"]) for r in got} == {i: (names, 0) for i, _, names in docs}
+
+
+def test_licence_phrases_equal_a_search_of_the_documents(spark, sf_dir):
+    phrases = ["released under the mit license", "licensed under the apache license version 2 0", "licensed under cc by nc 4 0",
+               "this work is licensed under the gnu general public license version 3", "all rights reserved"]
+    between = "|".join(r"[^a-z0-9]+".join(p.split()) for p in phrases)
+    search = re.compile(rf"(?:^|\n|[.;!?](?=\s))[^a-z0-9\n]*(?:{between})(?:$|\n|[.;!?](?=\s|$)|[^a-z0-9\n]+(?:$|\n))", re.I)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    lead = spark.createDataFrame([(-1, "a line\nAll rights reserved.")], DOCS)
+    docs = docs.union(lead)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"] for r in licenses.scan(docs).filter("size(found) > 0").collect()}
+    assert got == {i for i, t in texts.items() if search.search(t or "")} and -1 in got
+
+
 def test_gru_gradients(monkeypatch):
     monkeypatch.setattr(gru, "TRAIN_LANES", 1)  # no text is cut
     monkeypatch.setattr(gru, "SCORE_LANES", 2)
