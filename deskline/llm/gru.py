@@ -75,9 +75,8 @@ class Stream:
 class Lanes:
     """Whole texts (arrays of symbols, each ending with the end symbol) in lanes of nearly equal length.
 
-    ``x`` is the symbol before, ``y`` the symbol to tell, ``first`` marks a text's first step and
-    ``text`` its number; all are steps x lanes with the longest lane first; ``live[t]`` lanes are
-    still running at step t.
+    The lanes lie one after another, the longest first, so memory follows the symbols of all texts
+    whatever the longest one has; ``span`` gathers the steps that are wanted.
     """
 
     def __init__(self, texts: list[np.ndarray], lanes: int, end: int):
@@ -91,23 +90,25 @@ class Lanes:
             held[k].append(i)
             heapreplace(load, (n + len(texts[i]), k))
         held.sort(key=lambda own: -sum(len(texts[i]) for i in own))
-        sizes = np.array([sum(len(texts[i]) for i in own) for own in held])
-        steps = int(sizes.max()) if len(texts) else 0
-        y = np.zeros((lanes, steps), np.int16)
-        x, text = np.full_like(y, end), np.zeros((lanes, steps), np.int32)
-        first = np.zeros((lanes, steps), bool)
-        for k, own in enumerate(held):
-            at = 0
-            for i in own:
-                t = texts[i]
-                y[k, at:at + len(t)] = t
-                x[k, at + 1:at + len(t)] = t[:-1]
-                text[k, at:at + len(t)] = i
-                first[k, at] = True
-                at += len(t)
-        self.x, self.y, self.text, self.first = (np.ascontiguousarray(v.T) for v in (x, y, text, first))
-        self.live = (sizes[:, None] > np.arange(steps)).sum(0) if steps else np.zeros(0, int)
-        self.lanes, self.steps = lanes, steps
+        self.sizes = np.array([sum(len(texts[i]) for i in own) for own in held])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        laid = [i for own in held for i in own]
+        lengths = np.array([len(texts[i]) for i in laid], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        self.y = np.concatenate([texts[i] for i in laid]).astype(np.int16, copy=False) if laid else np.zeros(0, np.int16)
+        self.x, self.first = np.empty_like(self.y), np.zeros(len(self.y), bool)
+        self.x[1:] = self.y[:-1]
+        self.x[begins], self.first[begins] = end, True
+        self.text = np.repeat(np.array(laid, np.int32), lengths)
+        self.lanes, self.steps = lanes, int(self.sizes.max())
+
+    def span(self, t0: int, t1: int) -> tuple[np.ndarray, ...]:
+        """``x`` (the symbol before), ``y`` (the symbol to tell), ``text`` (its number) and ``first`` (a text's
+        first step), steps x lanes from ``t0`` up to ``t1``, and ``live``: so many lanes still run at each step."""
+        steps = np.arange(t0, t1)
+        live = np.searchsorted(-self.sizes, -steps)
+        at = np.minimum(self.starts[:live[0]] + steps[:, None], len(self.y) - 1)
+        return self.x[at], self.y[at], self.text[at], self.first[at], live
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -185,15 +186,13 @@ def score(p: dict[str, np.ndarray], texts: list[np.ndarray], end: int) -> np.nda
     h = np.zeros((H, lanes.lanes), p["U"].dtype)
     span = 32
     for t0 in range(0, lanes.steps, span):
-        stop = min(t0 + span, lanes.steps)
+        x, y, text, first, live = lanes.span(t0, min(t0 + span, lanes.steps))
         states = []
-        for t in range(t0, stop):
-            k = lanes.live[t]
-            h, _ = _step(p, h[:, :k], lanes.x[t, :k], lanes.first[t, :k])
+        for t, k in enumerate(live):
+            h, _ = _step(p, h[:, :k], x[t, :k], first[t, :k])
             states.append(h)
-        live = lanes.live[t0:stop]
-        logp, _ = _output(p, np.concatenate(states, axis=1), _span(lanes.y, t0, live))
-        out += np.bincount(_span(lanes.text, t0, live), logp, len(texts))
+        logp, _ = _output(p, np.concatenate(states, axis=1), _span(y, 0, live))
+        out += np.bincount(_span(text, 0, live), logp, len(texts))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -181,6 +182,43 @@ def test_gru_probabilities_sum_to_one():
     assert np.exp(np.array(logs) - first).sum() == pytest.approx(1, rel=1e-4)
 
 
+def test_gru_lanes_take_memory_by_symbols():
+    """One text of a million symbols beside 600 short ones: no rectangle of lanes x longest text."""
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, gru.SYMBOLS, n).astype(np.int16) for n in [1_000_000, *rng.integers(1, 60, 600)]]
+    total = sum(map(len, texts))
+    tracemalloc.start()
+    lanes = gru.Lanes(texts, gru.SCORE_LANES, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * total
+    told = [[] for _ in texts]
+    for t0 in range(0, lanes.steps, 32):
+        x, y, text, first, live = lanes.span(t0, min(t0 + 32, lanes.steps))
+        if live[0] == 1:  # the long one alone
+            assert (text == 0).all() and not first.any() and (x[1:, 0] == y[:-1, 0]).all()
+            told[0].append(y[:, 0])
+            continue
+        for t, k in enumerate(live):
+            for lane in range(k):
+                i = text[t, lane]
+                assert first[t, lane] == (not told[i]) and x[t, lane] == (told[i][-1][-1] if told[i] else 5)
+                told[i].append(y[t, lane:lane + 1])
+    assert all((np.concatenate(a) == b).all() for a, b in zip(told, texts))
+
+
+def test_gru_scores_a_long_text_in_bounded_memory():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, gru.SYMBOLS, n).astype(np.int16) for n in [60_000, *rng.integers(1, 60, 600)]]
+    p = gru.initial(np.ones(gru.SYMBOLS))
+    tracemalloc.start()
+    got = gru.score(p, texts, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert got[[0, 1, 600]] == pytest.approx([gru.score(p, [texts[i]], 5)[0] for i in (0, 1, 600)], rel=1e-4)
+
+
 def test_lm_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HOT", 5)  # most tokens go by the join
     docs = spark.createDataFrame([(1, "a b a c d e f g h"), (1, "a b a c d e f g h"), (2, None), (3, ""), (None, " \t "),
