@@ -14,7 +14,8 @@ document if all its word shingles do, one after another. The steps:
    are counted as hit.
 
 The benchmark is taken in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast has a bound
-whatever the benchmark's size; more blocks mean more passes over the documents.
+whatever the benchmark's size; more blocks mean more passes over the documents. With more than one
+block every document row first gets a stored number of its own, by which the blocks' results are merged.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ class Benchmark:
 
 
 def find_shingles(docs: DataFrame, bench, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n_words``, ``at`` and ``shingle``: where benchmark shingles occur, one row a document."""
+    """``row``, ``id``, ``n_words``, ``at`` and ``shingle``: where benchmark shingles occur, one row a document."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = bench.value
@@ -96,12 +97,12 @@ def find_shingles(docs: DataFrame, bench, id_col: str, text_col: str) -> DataFra
                 out += _positions(texts[begin:i], block, get)
                 begin, size = i, len(texts[i] or "") if i < len(texts) else 0
             n, at, shingle = zip(*out) if out else ((), (), ())
-            yield pd.DataFrame({"id": ids, "n_words": list(n), "at": pd.Series(list(at), index=ids.index, dtype=object),
+            yield pd.DataFrame({"row": batch["row"], "id": ids, "n_words": list(n), "at": pd.Series(list(at), index=ids.index, dtype=object),
                                 "shingle": pd.Series(list(shingle), index=ids.index, dtype=object)})
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = docs.select("row", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    return own.mapInPandas(find, f"id {kind}, n_words long, at array<int>, shingle array<int>")
+    return own.mapInPandas(find, f"row long, id {kind}, n_words long, at array<int>, shingle array<int>")
 
 
 def _positions(texts: list[str], block: Benchmark, get) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -163,21 +164,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. An item of fewer
     than ``width`` words is one window; items without words, null texts and an empty benchmark hit
-    nothing. Rows that repeat an id are separate rows if their occurrences differ and are otherwise
-    one; null ids stay apart from others. Extra columns of either table are ignored.
+    nothing. Rows that repeat an id and rows without one are rows of their own, whatever the benchmark's
+    size. Extra columns of either table are ignored.
     """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
     found = None
-    for block in _blocks(items, item_id, item_text):
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    blocks = _blocks(items, item_id, item_text)
+    block, after = next(blocks), next(blocks, None)
+    own = own.withColumn("row", F.monotonically_increasing_id())
+    if after is not None:  # a number must be the same row's in every pass
+        own = stored(own, "numbered")
+    while block is not None:
         bench = spark.sparkContext.broadcast(Benchmark(block, width))
-        part = stored(find_shingles(docs, bench, id_col, text_col), "shingles")
+        part = stored(find_shingles(own, bench, "id", "text"), "shingles")
         counts = (part.filter("size(shingle) > 0").select(F.explode(F.array_distinct("shingle")).alias("s"))
                   .groupBy("s").agg(F.count(F.lit(1)).alias("n")))
         # as many rows as the block has shingles at most
         rarity = {r["s"]: r["n"] for r in counts.toLocalIterator()}
         part = _hits(part, bench, spark.sparkContext.broadcast(_index(bench.value, rarity)))
-        found = part if found is None else _merged(found, part)
+        found = part if found is None else stored(_merged(found, part), "merged")
+        block, after = after, next(blocks, None)
     return found.select(F.col("id").alias(id_col), "n_words", "spans",
                         F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)").alias("n_hit"), "item_ids")
 
@@ -219,16 +227,16 @@ def _hits(part: DataFrame, bench, index) -> DataFrame:
                 got, items = _verify(at, shingle, n, block, prefix) if len(at) else ([], set())
                 spans.append([{"start": a, "stop": b} for a, b in _union(got)])
                 names.append(sorted({block.ids[i] for i in items if block.ids[i] is not None}))
-            yield pd.DataFrame({"id": batch["id"], "n_words": batch["n_words"],
+            yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "n_words": batch["n_words"],
                                 "spans": pd.Series(spans, index=batch.index, dtype=object),
                                 "item_ids": pd.Series(names, index=batch.index, dtype=object)})
 
     kind = part.schema["id"].dataType.simpleString()
-    return part.mapInPandas(join, f"id {kind}, {HITS}")
+    return part.mapInPandas(join, f"row long, id {kind}, {HITS}")
 
 
 def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Results of two benchmark blocks for the same documents, put together."""
+    """Results of benchmark blocks for the same documents, put together: one row of each side a group."""
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -236,8 +244,9 @@ def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
                               for p in batch["spans"]]
             yield batch
 
-    both = a.unionByName(b).groupBy("id", "n_words").agg(
+    both = a.unionByName(b).groupBy("row").agg(
+        F.first("id").alias("id"), F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     kind = a.schema["id"].dataType.simpleString()
-    return both.mapInPandas(put, f"id {kind}, {HITS}")
+    return both.mapInPandas(put, f"row long, id {kind}, {HITS}")

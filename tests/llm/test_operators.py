@@ -299,6 +299,18 @@ def test_decontamination_blocks_and_odd_items(spark, monkeypatch):
     assert decontam.decontaminate(docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 2])
+def test_decontamination_keeps_every_row(spark, monkeypatch, block):
+    """Repeated and null ids of equal length are rows of their own, with one benchmark block or several."""
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    docs = spark.createDataFrame([(1, "red fish"), (1, "blue bird"), (1, "blue bird"), (1, "clean text"), (None, "red fish"),
+                                  (None, "clean text"), (None, "clean text"), (2, None), (2, "")], DOCS)
+    items = spark.createDataFrame([(1, "red fish"), (2, "blue bird"), (3, "green tree")], "item_id long, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in decontam.decontaminate(docs, items).collect()]
+    assert sorted(got, key=str) == sorted([(1, 2, 2, ("1",)), (1, 2, 2, ("2",)), (1, 2, 2, ("2",)), (1, 2, 0, ()),
+                                           (None, 2, 2, ("1",)), (None, 2, 0, ()), (None, 2, 0, ()), (2, 0, 0, ()), (2, 0, 0, ())], key=str)
+
+
 def brute_links(rows, threshold):
     ok = {}
     for n, (i, v, label) in enumerate(rows):
