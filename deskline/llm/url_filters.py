@@ -68,22 +68,44 @@ def rule_match(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.get(F.filter(known, lambda r: dotted.endswith(r["host"]) & path.startswith(r["path"])), F.lit(0))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its ``.`` and ``..`` segments taken out."""
+    parts = F.slice(F.split(path, "/"), 2, F.length(path) + 1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda own, x: F.when(x == "..", F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))))
+                       .when(x == ".", own).otherwise(F.concat(own, F.array(x))))
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(closed, "/"))
+
+
+def resolved(src: Column, target: Column) -> Column:
+    """``target`` as a whole url, relative ones as seen from the page ``src``: its scheme for ``//host``, its host
+    for ``/path``, its path for ``?query``, else its directory, without dot segments. Null for empty
+    targets, fragments, schemes without ``//`` (``mailto:``) and relative ones on a page without a host."""
+    site = F.regexp_extract(src, r"^([^:/?#]*://[^/?#]+)", 1)
+    page = F.regexp_extract(src, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(F.substring(page, F.length(site) + 1, F.length(page)), "^(.*/)", 1)
+    path, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when((target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (site == ""), F.lit(None))
+            .when(target.startswith("//"), F.concat(F.substring_index(src, "//", 1), target))
+            .when(target.startswith("?"), F.concat(page, target))
+            .otherwise(F.concat(site, _without_dots(full), rest)))
+
+
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(src, dst)`` urls that pages themselves state: every ``<link rel=canonical>`` and meta refresh.
 
-    Relative targets are resolved against the page's scheme and host. Null html states nothing.
+    Relative targets are resolved against the page's url (see `resolved`). Null html states nothing.
     """
     tags = F.regexp_extract_all(F.col("h"), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     wanted = r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b|^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""
     target = F.regexp_extract("tag", r"""(?is)\b(?:href|url)\s*=\s*["']?([^"'\s>]*)""", 1)
-    site = F.regexp_extract("src", r"^([^:/?#]*://[^/?#]*)", 1)
-    full = (F.when(F.instr(F.col("t"), "://") > 0, F.col("t"))
-            .when(F.col("t").startswith("//"), F.concat(F.substring_index("src", "//", 1), F.col("t")))
-            .when(F.col("t").startswith("/"), F.concat(site, F.col("t"))))
     return (pages.select(F.col(url_col).alias("src"), F.col(html_col).alias("h"))
             .filter("src IS NOT NULL AND h IS NOT NULL")
             .select("src", F.explode(F.filter(tags, lambda t: t.rlike(wanted))).alias("tag"))
-            .select("src", target.alias("t")).select("src", full.alias("dst")))
+            .select("src", target.alias("t")).select("src", resolved(F.col("src"), F.col("t")).alias("dst")))
 
 
 def judge(urls: DataFrame, rules: list[Rule], edges: DataFrame | None = None, id_col: str = "page_id",

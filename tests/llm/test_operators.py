@@ -3,6 +3,7 @@
 import random
 import re
 import tracemalloc
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -86,6 +87,24 @@ def test_licence_runs_take_the_longest_rule(spark):
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, known={}, rules=[]).count() == 7
 
 
+def test_url_targets_are_resolved_as_a_browser_does(spark):
+    bases = ["http://r.net/a/b/c.html?q=/z/#f", "http://r.net", "http://r.net/", "https://r.net?x=/1", "http://r.net/a"]
+    targets = ["page.html", "../x", "../../../../x/", "?p=1", "./", "..", "x/../y?z=../w", "/go?u=http://blocked.com/x", "/a/../b",
+               "//other.com/p", "HTTP://Other.com/p", "x?u=http://blocked.com/", "b#f", "svn+x://h/p"]
+    pages = spark.createDataFrame([(b, f'<link rel="canonical" href="{t}">') for b in bases for t in targets], "url string, html string")
+    assert rows(url_filters.html_edges(pages)) == rows(spark.createDataFrame(
+        [(b, t if "://" in t.split("?")[0] else urljoin(b, t)) for b in bases for t in targets], "src string, dst string"))
+    none = spark.createDataFrame([("http://r.net/a", f"<link rel=canonical href='{t}'>") for t in ("", "#x", "mailto:a@b")]
+                                 + [("no host", "<link rel=canonical href=x>")], "url string, html string")
+    assert [r["dst"] for r in url_filters.html_edges(none).collect()] == [None] * 4
+    rules = [url_filters.Rule("block", "r.net", "/bad/"), url_filters.Rule("block", "blocked.com", "/")]
+    pages = spark.createDataFrame([(1, "http://r.net/ok/p", "<link rel=canonical href='../bad/x'>"),
+                                   (2, "http://r.net/q", "<link rel=canonical href='/go?u=http://blocked.com/x'>")],
+                                  "page_id int, url string, html string")
+    out = url_filters.judge(pages, rules, url_filters.html_edges(pages)).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == {1: "block", 2: "allow"}
+
+
 MIT = """MIT License
 
 Copyright (c) 2020 A
