@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from deskline.constants import FULL_MATCH_SETS, INTEGRATIONS, ISSUE_TYPES, UNNAMED_DEVICE
 from deskline.functions import tri_state, yes_no
-from deskline.operators.upsert import dense_number
+from deskline.operators.ranking import dense_number
 from deskline.sources.schemas import DEVICE_FLAGS, DEVICE_IDS, DEVICE_STRINGS
 
 DEVICE_KEY = "serial_number"  # what tells the devices of a feed apart
@@ -160,7 +160,7 @@ def recommendation_prompts(issues: DataFrame, key: str = DEVICE_KEY, batch_size:
 
     ``templates`` is the caller's wording (``issue_type``, ``template``), where ``{devices}`` becomes
     the sorted names like ``['DEV-1', 'DEV-2']`` and ``{issue}`` the issue type; issue types without one
-    get ``default``.
+    get ``default``. Devices are numbered in the order of ``key`` whatever the size of the fleet.
     """
     numbered = dense_number(issues, ["issue_type"], [key, "device_name"], "_n")
     g = (numbered.groupBy("issue_type", F.floor(F.col("_n") / batch_size).alias("batch"))

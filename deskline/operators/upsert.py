@@ -187,20 +187,3 @@ def empty_like(df: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
     for name, typ in (extra or {}).items():
         cols.append(F.lit(None).cast(typ).alias(name))
     return df.select(*cols).limit(0)
-
-
-def dense_number(df: DataFrame, by: Sequence[str], order_by: Sequence[str], name: str, cell_rows: int = 100_000) -> DataFrame:
-    """``name``: a number from 0 without gaps inside ``by``, the same for the same rows.
-
-    Rows are dealt into cells by a hash of ``order_by``; a window numbers the rows of one cell and the
-    cells before it add their counts, so no task sorts a whole group. Up to ``cell_rows`` rows there is
-    one cell and the numbers follow ``order_by``.
-    """
-    cells = max(1, -(-df.count() // cell_rows))
-    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(*order_by), F.lit(cells)))
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_k"))
-    offsets = counts.select(*by, "_cell", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(*order_by))
-    return (dealt.withColumn("_at", inside).join(offsets, [*by, "_cell"])
-            .withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_cell", "_at", "_before"))
