@@ -115,12 +115,3 @@ def upsert_time_entries(target: DataFrame, batch: DataFrame, order_by: Sequence[
 def upsert_contracts(target: DataFrame, batch: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """U1 (inferred): Contracts on ``id``; every other column is updated."""
     return upsert(target, batch, ["id"], order_by)
-
-
-def unit_table(units: DataFrame) -> DataFrame:
-    """ContractUnits columns only (drops arrival-order columns)."""
-    return units.select(*CONTRACT_UNIT_COLS)
-
-
-def time_entry_table(entries: DataFrame) -> DataFrame:
-    return entries.select(*TIME_ENTRY_COLS)

@@ -80,7 +80,8 @@ def run_kpis(spark: SparkSession, root: str, tickets: DataFrame, resources: Data
 
     def store(source: str, rows: DataFrame) -> None:
         values = KP.kpi_values(registry, rows, as_of).withColumn("run_id", run_id).withColumn("source", F.lit(source))
-        sinks.replace_partitions(values, val_t, ["date_recorded", "run_id", "source"])
+        sinks.replace_partitions(values, val_t, ["date_recorded", "run_id", "source"],
+                                 {"date_recorded": str(as_of)[:10], **_owned(as_of), "source": source})
 
     def utilization() -> None:
         # Stored first, by week; a run reads and replaces its own week only, and the KPI rows come from it.
@@ -91,7 +92,7 @@ def run_kpis(spark: SparkSession, root: str, tickets: DataFrame, resources: Data
                     .select(*urows.columns))
             ensure_checkpoint_dir(spark)  # the partition read is the one replaced: cut the lineage first
             urows = KP.upsert_utilization(prev, KP.weekly_utilization(entries, resources, as_of))[0].checkpoint()
-        sinks.replace_partitions(urows, util_t, ["weekStartDate"])
+        sinks.replace_partitions(urows, util_t, ["weekStartDate"])  # rows stay while their week has entries
         now = spark.read.schema(urows.schema).parquet(util_t).filter(F.col("weekStartDate") == week)
         store("utilization", KP.utilization_kpis(now.select(
             F.col("resourceID").alias("user_id"), F.col("utilizationPercentage").alias("utilization_percentage"))))
@@ -111,17 +112,22 @@ def _run_id(as_of):
     return F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyyMMddHHmmss")
 
 
+def _owned(as_of) -> dict[str, str]:
+    """The run's own partition, as its folder is named."""
+    return {"run_id": "".join(c for c in str(as_of)[:19] if c.isdigit())}
+
+
 def append_command_log(log: DataFrame, root: str, as_of: dt.datetime | str) -> None:
     """I8: audit rows by day and run; a replayed run replaces its own rows."""
     day = F.lit(as_of).cast("timestamp_ntz").cast("date")
     sinks.replace_partitions(log.withColumn("logged_date", day).withColumn("run_id", _run_id(as_of)),
-                             f"{root}/CommandLogs", ["logged_date", "run_id"])
+                             f"{root}/CommandLogs", ["logged_date", "run_id"], {"logged_date": str(as_of)[:10], **_owned(as_of)})
 
 
 def store_policies(policies: DataFrame, requirements: DataFrame, root: str, as_of: dt.datetime | str) -> None:
     """Policy headers and requirement rows by run; a replayed run replaces its own rows."""
-    sinks.replace_partitions(policies.withColumn("run_id", _run_id(as_of)), f"{root}/Policies", ["run_id"])
-    sinks.replace_partitions(requirements.withColumn("run_id", _run_id(as_of)), f"{root}/PolicyRequirements", ["run_id"])
+    sinks.replace_partitions(policies.withColumn("run_id", _run_id(as_of)), f"{root}/Policies", ["run_id"], _owned(as_of))
+    sinks.replace_partitions(requirements.withColumn("run_id", _run_id(as_of)), f"{root}/PolicyRequirements", ["run_id"], _owned(as_of))
 
 
 def ingest_policies(spark: SparkSession, root: str, pages: DataFrame, answer: Callable[[DataFrame], DataFrame],
