@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from deskline.llm import byte_bpe, decontam, jaccard_join, langid
 from deskline.llm.common import crc32_text, prepare, small, stored, table
@@ -51,14 +52,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.filter(good).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _text_key(docs: DataFrame) -> Column:
+    """What tells (doc_id, text) apart, in the order of doc_ids: numbers as 20 digits, other types as text. Null
+    for a null doc_id."""
+    kind = docs.schema["doc_id"].dataType
+    name = F.col("doc_id").cast("string")
+    if isinstance(kind, IntegralType):
+        name = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
+    return F.concat(name, F.lit(":"), F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows with a null doc_id and
-    documents without words stay."""
+    The decision is about a row's own text: rows that repeat a doc_id with other texts are judged apart.
+    Of the rows of one doc_id that stay, one is kept. Rows with a null doc_id and documents without words stay."""
     prepare(spark)
-    found = jaccard_join.link_table(docs.select("doc_id", "text"), width=NEAR_WORDS, percent=NEAR_PERCENT)
-    kept = _without(docs, F.col("doc_id"), found.filter("component_id <> doc_id").select("doc_id"))
+    key = _text_key(docs)
+    texts = docs.select(key.alias("key"), "text")
+    found = jaccard_join.link_table(texts, id_col="key", width=NEAR_WORDS, percent=NEAR_PERCENT)
+    kept = _without(docs, key, found.filter("component_id <> key").select("key"))
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     repeated = stored(repeated, "repeated")
     if repeated.isEmpty():

@@ -8,11 +8,12 @@ own, so a passage that many documents share does not reach the prefixes.
 1. Frequent tokens are counted over all documents (what repeats inside a task's batches, summed by
    Spark; a bounded table of the most frequent is broadcast). It only shapes the orders: any table
    gives the same result.
-2. Documents of equal token sets are one node. Tokens of the first order's prefixes that two or more
-   nodes hold are kept with their nodes.
+2. Documents of equal token sets are one node, of which one row goes on. Tokens of the first order's
+   prefixes are dealt by hash as packed arrays; those that two or more nodes hold are kept with their nodes.
 3. Stars: in each token's group of more than a few nodes every node is paired with some pivots of the
    group, so a group of g nodes gives a multiple of g pairs. Pairs must also share prefix tokens under the second and
-   third order (the filters are intersected) before the whole sets are compared.
+   third order (the filters are intersected). Pairs are then compared by 16-bit marks of their whole sets,
+   which never miss a link, and those that pass by the sets themselves.
 4. What is left are pairs of nodes in different components that share a prefix token. In small token
    groups each such pair is formed once, passes the same filters and is compared; large groups are
    cut into tiles, and a task applies the filters and the comparison to two tiles at a time and
@@ -41,6 +42,8 @@ FREQUENT = 1 << 19  # entries of the broadcast table of frequent tokens (6 MB)
 COUNT_TOKENS = 1 << 21  # tokens of a counting batch (different texts only); what repeats in it is told of
 STAR = 8  # nodes of a token's group up to which all its pairs are formed at once
 LARGE = 64  # nodes of a token's group that are compared pair by pair; larger groups go in tiles
+BUCKET_TOKENS = 1 << 21  # expected prefix tokens of one hash bucket
+MARKED = 1 << 12  # sets up to this size have 16-bit marks; larger ones are compared whole at once
 TILE_NODES, TILE_TOKENS = 1024, 1 << 18  # expected nodes, and tokens of their sets, of a tile
 PIVOTS = (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x3333333333333333)  # masks: each picks another member
 ORDER_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -202,8 +205,8 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame(out).astype({"node": "Int64"})
 
     id_type = own.schema["id"].dataType.simpleString()
-    tab = stored(own.mapInPandas(prefixes, f"id {id_type}, n long, node long, p0 array<long>, p1 array<smallint>, p2 array<smallint>"),
-                 "prefixes")
+    tab = own.mapInPandas(prefixes, f"id {id_type}, n long, node long, p0 array<long>, p1 array<smallint>, p2 array<smallint>")
+    tab = stored(tab.withColumn("row", F.monotonically_increasing_id()), "prefixes")
     links = _links(own, tab, width, percent)
     found = components(links, "a", "b")
     rows = tab.select("id", "n", "node").join(found.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
@@ -215,23 +218,21 @@ def link_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _links(own: DataFrame, tab: DataFrame, width: int, percent: int) -> DataFrame:
     """Links ``a``, ``b`` between nodes whose components are those of all links."""
+    # One row of each node goes on: rows that repeat a text (and an id) never meet one another.
+    first = tab.filter("n > 0").groupBy("node").agg(F.min("row").alias("r"))
+    nodes = tab.join(small(stored(first.select("r"), "first_rows")), F.col("row") == F.col("r"), "left_semi")
     # Tokens in the first order's prefixes of two nodes or more, each with its nodes.
-    entries = tab.filter("n > 0").select("node", "n", F.explode("p0").alias("token"))
-    several = entries.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    several = small(stored(several.select("token"), "several"))
-    shared = stored(entries.join(several, "token", "left_semi").distinct(), "shared")
+    several = small(stored(_repeated(nodes.select("p0")), "several"))
+    entries = nodes.select("node", "n", F.explode("p0").alias("token"))
+    shared = stored(entries.join(several, "token", "left_semi"), "shared")
     # Tokens held by the very same nodes (near copies share dozens) tell the same: one of them stays.
     same = shared.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("node").alias("lo"), F.max("node").alias("hi"),
                                        F.bit_xor(F.xxhash64("node")).alias("mark"))
     same = small(stored(same.groupBy("g", "lo", "hi", "mark").agg(F.min("token").alias("token")).select("token"), "tokens"))
     shared = stored(shared.join(same, "token", "left_semi"), "shared")
     drop_finished_shuffles(own.sparkSession)
-    # One row of each node that stands there.
-    nodes = small(stored(shared.select("node").distinct(), "nodes"))
-    one = tab.select("node", "id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("i"))
-    one = small(stored(one.withColumnRenamed("node", "m"), "one"))
-    slim = stored(tab.join(one, (F.col("node") == F.col("m")) & F.col("id").eqNullSafe(F.col("i")))
-                  .select("node", "i", "n", "p1", "p2"), "slim")
+    standing = small(stored(shared.select("node").distinct(), "nodes"))
+    slim = stored(nodes.join(standing, "node", "left_semi").select("node", F.col("id").alias("i"), "n", "p1", "p2"), "slim")
 
     # Stars around a few pivots of the token groups that have more nodes than can be paired at once.
     pivots = shared.groupBy("token").agg(F.count(F.lit(1)).alias("g"), *[
@@ -261,6 +262,41 @@ def _links(own: DataFrame, tab: DataFrame, width: int, percent: int) -> DataFram
         _tiled(stored(many, "many"), own, slim, width, percent))
 
 
+def _repeated(prefixes: DataFrame) -> DataFrame:
+    """``token``: those that stand in two or more rows of ``p0`` (a row holds a token once).
+
+    Tokens travel as arrays of 64-bit numbers, one a batch and bucket of their hash, not as rows."""
+    total = prefixes.agg(F.sum(F.size("p0"))).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_TOKENS))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            tokens = np.concatenate(held)
+            bucket = (_mix(tokens.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.flatnonzero(np.diff(bucket[order])) + 1
+            names = bucket[order][np.concatenate([[0], cut])]
+            return pd.DataFrame({"bucket": names, "tokens": [x.tobytes() for x in np.split(tokens[order], cut)]})
+
+        for batch in batches:
+            held += [np.asarray(p, dtype=np.int64) for p in batch["p0"] if len(p)]
+            size += sum(map(len, batch["p0"]))
+            if size >= COUNT_TOKENS:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    def repeats(group: pd.DataFrame) -> pd.DataFrame:
+        tokens, n = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in group["tokens"]]), return_counts=True)
+        return pd.DataFrame({"token": tokens[n > 1]})
+
+    return prefixes.mapInPandas(deal, "bucket long, tokens binary").groupBy("bucket").applyInPandas(repeats, "token long")
+
+
 def _tiled(many: DataFrame, own: DataFrame, slim: DataFrame, width: int, percent: int) -> DataFrame:
     """Links inside large token groups, compared tile by tile; of each pair of tiles a spanning forest.
 
@@ -283,7 +319,7 @@ def _tiled(many: DataFrame, own: DataFrame, slim: DataFrame, width: int, percent
                         F.expr("pmod(xxhash64(node, 2), right_tiles)").alias("r"))
     dealt = left.unionByName(right)
     whole = _sets(own, slim, many.select(F.col("node").alias("m")).distinct(), width)
-    dealt = dealt.join(whole.join(slim.select("node", "p1", "p2").dropDuplicates(["node"]), "node"), "node")
+    dealt = dealt.join(whole.join(slim.select("node", "p1", "p2"), "node"), "node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         a, b = group[group["side"] == 0], group[group["side"] == 1]
@@ -336,6 +372,13 @@ def _verified(pairs: DataFrame, own: DataFrame, slim: DataFrame, width: int, per
     pairs = stored(pairs, "pairs")
     drop_finished_shuffles(own.sparkSession)
     whole = _sets(own, slim, pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), width)
+    # Links have at least ``least`` tokens in common. Marks that fall together inside a set hide as many of them.
+    left = whole.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("marks").alias("am"))
+    right = whole.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("marks").alias("bm"))
+    least = F.expr(f"ceil({percent} * (an + bn) / {100 + percent}.0)")
+    hidden = F.least(F.col("an") - F.size("am"), F.col("bn") - F.size("bm"))
+    may = F.size(F.array_intersect("am", "bm")) >= least - hidden
+    pairs = stored(pairs.join(left, "a").join(right, "b").filter(F.coalesce(may, F.lit(True))).select("a", "b"), "marked")
     left = whole.select(F.col("node").alias("a"), F.col("tokens").alias("at"))
     right = whole.select(F.col("node").alias("b"), F.col("tokens").alias("bt"))
     both = pairs.join(left, "a").join(right, "b").select(
@@ -344,9 +387,9 @@ def _verified(pairs: DataFrame, own: DataFrame, slim: DataFrame, width: int, per
 
 
 def _sets(own: DataFrame, slim: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``node`` and ``tokens`` of the nodes in ``nodes.m``, from one text each."""
-    ids = slim.select("node", "i").join(nodes, F.col("node") == F.col("m"), "left_semi").select("i").distinct()
-    ids = small(stored(ids, "ids"))
+    """``node``, ``n``, ``tokens`` and their 16-bit ``marks`` (null for large sets) of the nodes in ``nodes.m``, each once."""
+    chosen = stored(slim.select("node", "i").join(nodes, F.col("node") == F.col("m"), "left_semi"), "ids")
+    ids, wanted = small(chosen.select("i").distinct()), small(chosen.select(F.col("node").alias("m")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()  # of the task
@@ -356,7 +399,11 @@ def _sets(own: DataFrame, slim: DataFrame, nodes: DataFrame, width: int) -> Data
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)
                     new[node] = s
-            yield pd.DataFrame({"node": list(new), "tokens": [_as_long(s) for s in new.values()]})
+            yield pd.DataFrame({"node": list(new), "n": [len(s) for s in new.values()], "tokens": [_as_long(s) for s in new.values()],
+                                "marks": [np.unique(_mix(s).astype(np.uint16)).view(np.int16) if len(s) <= MARKED else None
+                                          for s in new.values()]})
 
     texts = own.join(ids, F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text")
-    return stored(texts.mapInPandas(sets, "node long, tokens array<long>"), "sets")
+    found = texts.mapInPandas(sets, "node long, n long, tokens array<long>, marks array<smallint>")
+    # ids that repeat bring other texts, and tasks of one id the same text
+    return stored(found.join(wanted, F.col("node") == F.col("m"), "left_semi").dropDuplicates(["node"]), "sets")

@@ -395,6 +395,18 @@ def test_ngrams_do_not_depend_on_the_batch():
             assert sorted(ids[docs == i]) == sorted(one) and has[0] == letter[i] == any(map(str.isalpha, t))
 
 
+def test_jaccard_of_texts_that_repeat_a_thousand_times(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET_TOKENS", 50)  # several buckets
+    base = [f"w{i}" for i in range(60)]
+    near = base[:-1] + ["other"]
+    far = base[:30] + [f"x{i}" for i in range(30)]
+    texts = [(7, " ".join(base))] * 1000 + [(3, " ".join(near))] * 1000 + [(9, " ".join(far)), (None, " ".join(far))] + [(4, " ".join(base))]
+    out = jaccard_join.link_table(spark.createDataFrame(texts, DOCS).repartition(5), width=3, percent=80)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["n"]) for r in out.groupBy("doc_id", "n_shingles", "component_id").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(7, 58, 3, 1000), (3, 58, 3, 1000), (4, 58, 3, 1), (9, 58, 9, 1), (None, 58, 9, 1)}
+
+
 @pytest.mark.parametrize("large,tile", [(64, 1 << 18), (2, 40)])
 def test_jaccard_equals_all_pairs(spark, monkeypatch, large, tile):
     from tests.llm.test_queries import jaccard_components

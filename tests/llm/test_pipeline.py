@@ -66,3 +66,12 @@ def test_empty_table(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.count() == 0
         assert name == "byte_bpe" or out.columns == docs.columns
+
+
+def test_a_text_of_its_own_is_not_lost_with_a_repeated_id(spark, sf_dir):
+    a, b = "the house of the river and the house by it", "der fluss und das haus am anderen ende der stadt"
+    docs = spark.createDataFrame([(2, a, "en", "x", 1), (5, a, "en", "x", 1), (5, b, "de", "x", 1), (-30, b, "de", "x", 1)], SCHEMA)
+    kept = sorted((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs.filter("doc_id > 0"), sf_dir).collect())
+    assert kept == [(2, a), (5, b)]
+    kept = sorted((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, sf_dir).collect())
+    assert kept == [(-30, b), (2, a)]  # the smallest id of a group, negative ones first
