@@ -399,9 +399,10 @@ def _sets(own: DataFrame, slim: DataFrame, nodes: DataFrame, width: int) -> Data
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)
                     new[node] = s
-            yield pd.DataFrame({"node": list(new), "n": [len(s) for s in new.values()], "tokens": [_as_long(s) for s in new.values()],
-                                "marks": [np.unique(_mix(s).astype(np.uint16)).view(np.int16) if len(s) <= MARKED else None
-                                          for s in new.values()]})
+            if new:
+                yield pd.DataFrame({
+                    "node": list(new), "n": [len(s) for s in new.values()], "tokens": [_as_long(s) for s in new.values()],
+                    "marks": [np.unique(_mix(s).astype(np.uint16)).view(np.int16) if len(s) <= MARKED else None for s in new.values()]})
 
     texts = own.join(ids, F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text")
     found = texts.mapInPandas(sets, "node long, n long, tokens array<long>, marks array<smallint>")
