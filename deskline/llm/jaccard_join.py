@@ -379,6 +379,8 @@ def _verified(pairs: DataFrame, own: DataFrame, slim: DataFrame, width: int, per
     hidden = F.least(F.col("an") - F.size("am"), F.col("bn") - F.size("bm"))
     may = F.size(F.array_intersect("am", "bm")) >= least - hidden
     pairs = stored(pairs.join(left, "a").join(right, "b").filter(F.coalesce(may, F.lit(True))).select("a", "b"), "marked")
+    passed = small(stored(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), "passed"))
+    whole = whole.join(passed, F.col("node") == F.col("m"), "left_semi")  # only these sets are moved
     left = whole.select(F.col("node").alias("a"), F.col("tokens").alias("at"))
     right = whole.select(F.col("node").alias("b"), F.col("tokens").alias("bt"))
     both = pairs.join(left, "a").join(right, "b").select(
@@ -406,5 +408,10 @@ def _sets(own: DataFrame, slim: DataFrame, nodes: DataFrame, width: int) -> Data
 
     texts = own.join(ids, F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text")
     found = texts.mapInPandas(sets, "node long, n long, tokens array<long>, marks array<smallint>")
-    # ids that repeat bring other texts, and tasks of one id the same text
-    return stored(found.join(wanted, F.col("node") == F.col("m"), "left_semi").dropDuplicates(["node"]), "sets")
+    # Ids that repeat bring other texts, and tasks that met one text its set once each: the first one stays.
+    # Such rows are told by narrow numbers; the sets themselves are not dealt anew.
+    found = found.join(wanted, F.col("node") == F.col("m"), "left_semi").withColumn("row", F.monotonically_increasing_id())
+    found = stored(found, "sets")
+    again = found.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    again = small(stored(again.select(F.col("node").alias("twice"), "first"), "twice"))
+    return found.join(again, F.col("node") == F.col("twice"), "left").filter("first IS NULL OR row = first").drop("row", "twice", "first", "k")
