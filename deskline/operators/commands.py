@@ -24,9 +24,10 @@ UPLOAD_SCHEMA = f"struct<attachments:{ATTACHMENTS},value:struct<attachments:{ATT
 def unwrap_envelope(df: DataFrame, body: str = "body", field: str = "my_ticket", keys: Sequence[str] = ("event_id",),
                     item_schema: str = ENVELOPE_TICKET) -> tuple[DataFrame, DataFrame]:
     """``{"my_ticket": [...]}`` -> one row per ticket; a missing key or a non-list value is
-    malformed and goes to the second frame (an empty list is fine and yields no rows). Tickets come with
+    malformed and goes to the second frame (an empty list is fine and yields no rows), and so does a body that
+    is not one whole JSON value, text behind it included. Tickets come with
     all fields of the ticket feed, stamps parsed by B1."""
-    parsed = F.from_json(F.col(body), f"struct<{field}:{item_schema}>")[field]
+    parsed = F.when(json_valid(body), F.from_json(F.col(body), f"struct<{field}:{item_schema}>")[field])
     x = df.select(*keys, body, parsed.alias("_items"))
     bad = x.filter(F.col("_items").isNull()).select(*keys, body)
     ok = (x.filter(F.col("_items").isNotNull()).select(*keys, F.posexplode("_items").alias("pos", "t"))
@@ -98,8 +99,8 @@ def command_log(routed: DataFrame, user: str = "aad_object_id", response: str =
 def valid_uploads(df: DataFrame, payload: str = "payload", keys: Sequence[str] = ("event_id",),
                   content_type: str = PDF_CONTENT_TYPE) -> DataFrame:
     """Accept exactly one attachment of ``content_type``, looked up at the root and, when the
-    root list is missing or empty, under ``value``."""
-    p = F.from_json(F.col(payload), UPLOAD_SCHEMA)
+    root list is missing or empty, under ``value``. A payload that is not one whole JSON value has none."""
+    p = F.when(json_valid(payload), F.from_json(F.col(payload), UPLOAD_SCHEMA))
     root, nested = p["attachments"], p["value"]["attachments"]
     atts = (F.when(F.coalesce(F.size(root), F.lit(0)) > 0, root)
             .otherwise(F.coalesce(nested, F.array().cast(ATTACHMENTS))))
