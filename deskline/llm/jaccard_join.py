@@ -12,8 +12,10 @@ own, so a passage that many documents share does not reach the prefixes.
    prefixes are dealt by hash as packed arrays; those that two or more nodes hold are kept with their nodes.
 3. Stars: in each token's group of more than a few nodes every node is paired with some pivots of the
    group, so a group of g nodes gives a multiple of g pairs. Pairs must also share prefix tokens under the second and
-   third order (the filters are intersected). Pairs are then compared by 16-bit marks of their whole sets,
-   which never miss a link, and those that pass by the sets themselves.
+   third order (the filters are intersected), and as many as a link of their two sizes must: if two sets
+   have at least s tokens in common, then their prefixes of n - ceil(t n) + 1 tokens share at least
+   s - ceil(t m) + 1 of them, m being the larger n. Pairs are then compared by 16-bit marks of their whole
+   sets, which never miss a link, and those that pass by the sets themselves.
 4. What is left are pairs of nodes in different components that share a prefix token. In small token
    groups each such pair is formed once, passes the same filters and is compared; large groups are
    cut into tiles, and a task applies the filters and the comparison to two tiles at a time and
@@ -43,7 +45,7 @@ COUNT_TOKENS = 1 << 21  # tokens of a counting batch (different texts only); wha
 STAR = 8  # nodes of a token's group up to which all its pairs are formed at once
 LARGE = 64  # nodes of a token's group that are compared pair by pair; larger groups go in tiles
 BUCKET_TOKENS = 1 << 21  # expected prefix tokens of one hash bucket
-MARKED = 1 << 12  # sets up to this size have 16-bit marks; larger ones are compared whole at once
+MARKED = 1 << 15  # sets up to this size have 16-bit marks; larger ones are compared whole at once
 TILE_NODES, TILE_TOKENS = 1024, 1 << 18  # expected nodes, and tokens of their sets, of a tile
 PIVOTS = (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x3333333333333333)  # masks: each picks another member
 ORDER_SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -325,7 +327,13 @@ def _tiled(many: DataFrame, own: DataFrame, slim: DataFrame, width: int, percent
         a, b = group[group["side"] == 0], group[group["side"] == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": []})
-        may = (_overlap(a["p1"], b["p1"]) > 0) & (_overlap(a["p2"], b["p2"]) > 0)
+        an, bn = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
+        least = -(-percent * (an + bn) // (100 + percent)) + 1 + (-percent * np.maximum(an, bn) // 100)  # in prefixes
+        may = np.ones(least.shape, bool)
+        for p in ("p1", "p2"):
+            lost = [(x["n"] + (-percent * x["n"] // 100) + 1 - x[p].map(len)).to_numpy() for x in (a, b)]
+            both = _overlap(a[p], b[p])
+            may &= (both > 0) & (both >= least - np.minimum(lost[0][:, None], lost[1][None, :]))
         if not may.any():
             return pd.DataFrame({"a": [], "b": []})
         both = _overlap(a["tokens"], b["tokens"])
@@ -362,22 +370,35 @@ def _overlap(a: pd.Series, b: pd.Series) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _links_need(an: str, bn: str, percent: int) -> tuple[str, str]:
+    """SQL for the tokens that linked sets of ``an`` and ``bn`` tokens have in common at least: all, and in prefixes."""
+    common = f"({percent}L * ({an} + {bn}) + {99 + percent}L) div {100 + percent}L"
+    return common, f"{common} - ({percent}L * greatest({an}, {bn}) + 99L) div 100L + 1L"
+
+
 def _verified(pairs: DataFrame, own: DataFrame, slim: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs that link: length and the other orders' prefixes are checked, then the whole sets."""
+    least, in_prefix = _links_need("an", "bn", percent)
+
+    def size(n: str) -> str:  # of a prefix
+        return f"{n} - ({percent}L * {n} + 99L) div 100L + 1L"
+
+    # What falls together among 16-bit tokens of one prefix hides as many common ones, and no more.
+    hidden = f"least({size('an')} - size(ap), {size('bn')} - size(bp))"
     for p in ("p1", "p2"):  # one filter after the other, so that few pairs carry the second one's prefixes
         left = slim.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col(p).alias("ap"))
         right = slim.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col(p).alias("bp"))
         pairs = pairs.join(left, "a").join(right, "b").filter(
-            f"100 * least(an, bn) >= {percent} * greatest(an, bn) AND arrays_overlap(ap, bp)").select("a", "b")
+            f"100 * least(an, bn) >= {percent} * greatest(an, bn) AND arrays_overlap(ap, bp) "
+            f"AND size(array_intersect(ap, bp)) >= {in_prefix} - {hidden}").select("a", "b")
     pairs = stored(pairs, "pairs")
     drop_finished_shuffles(own.sparkSession)
     whole = _sets(own, slim, pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), width)
     # Links have at least ``least`` tokens in common. Marks that fall together inside a set hide as many of them.
     left = whole.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("marks").alias("am"))
     right = whole.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("marks").alias("bm"))
-    least = F.expr(f"ceil({percent} * (an + bn) / {100 + percent}.0)")
     hidden = F.least(F.col("an") - F.size("am"), F.col("bn") - F.size("bm"))
-    may = F.size(F.array_intersect("am", "bm")) >= least - hidden
+    may = F.size(F.array_intersect("am", "bm")) >= F.expr(least) - hidden
     pairs = stored(pairs.join(left, "a").join(right, "b").filter(F.coalesce(may, F.lit(True))).select("a", "b"), "marked")
     passed = small(stored(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), "passed"))
     whole = whole.join(passed, F.col("node") == F.col("m"), "left_semi")  # only these sets are moved
