@@ -17,7 +17,7 @@ from deskline.operators import contracts as R
 from deskline.operators import documents as D
 from deskline.operators import kpis as KP
 from deskline.session import ensure_checkpoint_dir
-from deskline.sources import sinks
+from deskline.sources import part_table, sinks
 from deskline.streaming.ingest import run_isolated
 
 
@@ -60,6 +60,45 @@ def run_revenue(spark: SparkSession, root: str, contracts: DataFrame, clients: D
     return {"skipped": False, "ContractSummary": sv, "ClientMonthlySummary": mv}
 
 
+SUMMARY_PARTS = 64  # hash buckets of contracts in the refreshed ContractSummary; fixed for a table's life
+
+
+def refresh_revenue(spark: SparkSession, root: str, contracts: DataFrame, clients: DataFrame, services: DataFrame,
+                    units: DataFrame, tickets: DataFrame, as_of, summary_parts: int = SUMMARY_PARTS) -> dict:
+    """R9 by change sets (U4, U5): the tables of ``run_revenue``, of which a run reads and rewrites only the
+    buckets of contracts and the months whose source rows differ from those of the run before.
+
+    ``client_months`` reads the months, with the same rows and stamps that full runs would have stored."""
+    src = R.contract_summary(contracts, clients, services, units)
+    bucket = F.pmod(F.xxhash64("ContractID"), F.lit(summary_parts)).cast("string")
+    summary = part_table.refresh(f"{root}/ContractSummary", src.withColumn("_part", bucket), [*R.SUMMARY_COLS, "_part"],
+                                 ["ContractID", "ServiceID"], ["StartDate", "UnitID"], "_part", as_of)
+    stored = part_table.read(spark, f"{root}/ContractSummary", "_part", _summary_schema(src)).drop("_part")
+    count_t = f"{root}/TicketCounts"
+    sinks.write_snapshot(R.tickets_per_contract_month(tickets, stored), count_t, summary["run"])
+    counts = sinks.read_snapshot(spark, count_t)
+    if not R.has_rows(stored) or not R.has_rows(counts):  # R8
+        return {"skipped": True, "ContractSummary": summary}
+    rows = R.revenue_with_tickets(R.monthly_revenue(R.contracts_frame(stored), as_of), counts)
+    months = part_table.refresh(f"{root}/ClientMonthlySummary", rows, R.MONTHLY_COLS, ["ClientID", "ContractID", "RevenueMonth"],
+                                ["ServiceID"], "RevenueMonth", as_of, stamp_when_repeated=True,
+                                first_cols=["ClientName", "ContractName", "ServiceID", "ServiceName"])
+    return {"skipped": False, "ContractSummary": summary, "ClientMonthlySummary": months}
+
+
+def _summary_schema(src: DataFrame) -> str:
+    return ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in R.SUMMARY_COLS) + ", `_part` string"
+
+
+MONTHLY_SCHEMA = ("ClientID string, ClientName string, ContractID string, ContractName string, ServiceID bigint, "
+                  "ServiceName string, RevenueMonth string, MonthlyRevenue double, TicketsCreated bigint")
+
+
+def client_months(spark: SparkSession, root: str) -> DataFrame | None:
+    """ClientMonthlySummary as ``refresh_revenue`` stored it, or None."""
+    return part_table.read(spark, f"{root}/ClientMonthlySummary", "RevenueMonth", MONTHLY_SCHEMA)
+
+
 def run_kpis(spark: SparkSession, root: str, tickets: DataFrame, resources: DataFrame, entries: DataFrame,
              calls: DataFrame, csat: DataFrame, endpoints: DataFrame, uptime: DataFrame, as_of,
              events_as_of=None) -> dict:
