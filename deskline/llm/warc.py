@@ -59,13 +59,16 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
 
 
 def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Each record's payload cut into chunk rows (``chunk_no`` from 0, ``data``); a revisit has one empty one."""
-    stop = F.when(F.col("type") == "revisit", 0).otherwise(F.greatest(F.lit(0), F.ceil(F.col("bytes") / chunk) - 1))
-    size = F.when(F.col("type") == "revisit", 0).otherwise(chunk)
-    cut = F.transform(F.sequence(F.lit(0), stop.cast("int")),
-                      lambda i: F.substring(F.col("payload"), i * chunk + 1, size))
-    return records.select(F.col("id").cast("string").alias("id"), "uri", "bytes", "digest", "type",
-                          F.col("refers_to").cast("string").alias("refers_to"), F.posexplode(cut).alias("chunk_no", "data"))
+    """Each record's payload cut into chunk rows (``chunk_no`` from 0, ``data``); a revisit has one empty one.
+
+    Numbers are generated first and each row cuts its own chunk, so one chunk is held beside the payload, not a
+    second copy of it."""
+    whole = F.col("type") != "revisit"
+    stop = F.when(whole, F.greatest(F.lit(0), F.ceil(F.col("bytes") / chunk) - 1)).otherwise(0)
+    numbered = records.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), stop.cast("int"))))
+    data = F.when(whole, F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    return numbered.select(F.col("id").cast("string").alias("id"), "uri", "bytes", "digest", "type",
+                           F.col("refers_to").cast("string").alias("refers_to"), "chunk_no", data.alias("data"))
 
 
 def _open(path: str, write: bool):

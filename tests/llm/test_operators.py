@@ -475,3 +475,20 @@ def test_bpe_equals_tiktoken_on_odd_texts(spark):
         raw = (texts[r["doc_id"]] or "").encode()
         assert [raw[a:a + len(tokens[i])] for a, i in zip(r["starts"], r["ids"])] == [tokens[i] for i in r["ids"]]
     assert byte_bpe.encode_documents(docs.limit(0), path).count() == 0
+
+
+def test_chunks_of_a_large_payload(spark):
+    big = "".join(chr(97 + i % 26) for i in range(1 << 16)) * 64  # 4 MB
+    rows = spark.createDataFrame([(1, "u", big), (2, "u", "é" * 700), (3, "v", None), (4, "v", big)], "page_id bigint, url string, html string")
+    records = warc.plan_records(rows)
+    chunks = warc.chunk_rows(records, 1000)
+    got: dict[str, list] = {}
+    for r in chunks.collect():
+        got.setdefault(r["id"], []).append((r["chunk_no"], bytes(r["data"])))
+    want = {"1": b"", "2": ("é" * 700).encode(), "3": b"", "4": big.encode()}  # the older copy revisits the newest
+    for name, text in want.items():
+        parts = sorted(got[name])
+        assert [n for n, _ in parts] == list(range(max(1, -(-len(text) // 1000))))
+        assert b"".join(d for _, d in parts) == text and all(len(d) <= 1000 for _, d in parts)
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(0" in plan and "transform(" not in plan
