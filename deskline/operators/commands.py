@@ -36,6 +36,36 @@ def unwrap_envelope(df: DataFrame, body: str = "body", field: str = "my_ticket",
     return ok, bad
 
 
+def unwrap_items(df: DataFrame, body: str = "body", field: str = "my_ticket", keys: Sequence[str] = ("event_id",),
+                 schema: T.StructType = TICKET_FEED, stamps: Sequence[str] = TICKET_STAMPS) -> tuple[DataFrame, DataFrame]:
+    """I6 item by item: ``(items, rejects)``; a bad item is turned away, not its neighbours.
+
+    ``items``: ``keys``, ``pos`` and the fields of ``schema``. ``rejects``: ``keys``, ``pos`` (null for a whole body),
+    ``reason`` and ``record`` (the item or body as text). Reasons: ``body`` (not one whole JSON value, null too),
+    ``list`` (no list under ``field``), ``object`` (an item of another kind), ``fields`` (a value that does not fit
+    its field, an id that is no whole number too), ``id`` (none). An empty list has no rows in either. Fields that
+    ``schema`` does not name are ignored; null stamps and unreadable ones are null (B1)."""
+    value = F.when(json_valid(body), F.try_parse_json(F.col(body)))
+    x = df.select(*keys, F.col(body).alias("_body"), value.alias("_v"))
+    x = x.withColumn("_list", F.try_variant_get("_v", f"$.{field}", "array<variant>"))
+    whole = x.filter(F.col("_list").isNull()).select(
+        *keys, F.lit(None).cast("int").alias("pos"), F.when(F.col("_v").isNull(), F.lit("body")).otherwise(F.lit("list")).alias("reason"),
+        F.col("_body").alias("record"))
+    each = x.select(*keys, F.posexplode("_list").alias("pos", "_item"))
+    corrupt = "_corrupt"
+    full = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    each = each.withColumn("record", F.coalesce(F.to_json("_item"), F.lit("null")))
+    each = each.withColumn("_r", F.from_json("record", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}))
+    reason = (F.when(~F.coalesce(F.schema_of_variant("_item").startswith("OBJECT"), F.lit(False)), F.lit("object"))
+              .when(F.col(f"_r.{corrupt}").isNotNull(), F.lit("fields"))
+              .when(F.col("_r.id").isNull(), F.lit("id")))
+    each = each.withColumn("reason", reason)
+    ok = each.filter(F.col("reason").isNull()).select(*keys, F.col("pos").cast("int").alias("pos"), "_r.*").drop(corrupt)
+    ok = ok.withColumns({c: parse_iso(c).cast("timestamp_ntz") for c in stamps if c in ok.columns})
+    bad = each.filter(F.col("reason").isNotNull()).select(*keys, F.col("pos").cast("int").alias("pos"), "reason", "record")
+    return ok, whole.unionByName(bad)
+
+
 def count_payload(payload) -> Column:
     """A JSON list counts its items, a single object counts 1, anything else is null (reject)."""
     kind = payload_kind(payload)

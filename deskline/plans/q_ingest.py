@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from deskline import constants as K
 from deskline.functions import display_text, parse_iso, parse_strict_z
@@ -136,3 +137,24 @@ FROM a
 def valid_uploads(spark, sf_dir):
     """I12."""
     return C.valid_uploads(_view(spark, sf_dir, "uploads"))
+
+
+@register("unwrap_ticket_items", with_views(["mixed_envelopes"], """
+, b AS (SELECT event_id, json_valid(body) AS good, CASE WHEN json_valid(body) THEN json_extract(body, '$.my_ticket') END AS listed FROM mixed_envelopes)
+, items AS (SELECT event_id, listed, CAST(unnest(range(CAST(json_array_length(listed) AS BIGINT))) AS INT) AS pos FROM b WHERE json_type(listed) = 'ARRAY')
+, item AS (SELECT event_id, pos, json_extract(listed, '$[' || pos || ']') AS v FROM items)
+SELECT event_id, CAST(NULL AS INT) AS pos, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS queueID, CASE WHEN good THEN 'list' ELSE 'body' END AS reason
+FROM b WHERE NOT good OR coalesce(json_type(listed), '') <> 'ARRAY'
+UNION ALL
+SELECT event_id, pos, CASE WHEN json_type(v, '$.id') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(v, '$.id') AS BIGINT) END,
+       CASE WHEN json_type(v, '$.id') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(v, '$.queueID') AS BIGINT) END,
+       CASE WHEN json_type(v) <> 'OBJECT' THEN 'object' WHEN json_type(v, '$.id') IS NULL THEN 'id'
+            WHEN json_type(v, '$.id') NOT IN ('UBIGINT', 'BIGINT') THEN 'fields' END
+FROM item
+"""))
+def unwrap_ticket_items(spark, sf_dir):
+    """I6 strictly: every item of every envelope, with the reason why it (or the whole body) was turned away."""
+    ok, bad = C.unwrap_items(_view(spark, sf_dir, "mixed_envelopes"))
+    none = F.lit(None).cast("bigint")
+    return ok.select("event_id", "pos", "id", "queueID", F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select("event_id", "pos", none.alias("id"), none.alias("queueID"), "reason"))

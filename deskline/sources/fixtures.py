@@ -155,6 +155,15 @@ SELECT event_id, CASE event_id % 9 WHEN 0 THEN '{"other":1}' WHEN 1 THEN '{"my_t
        WHEN 3 THEN concat('{"my_ticket":[{"id":', CAST(event_id AS STRING), ',"queueID":29683537,"title":"T ', event_type, '","status":', CAST(event_id % 30 AS STRING), ',"priority":', CAST(user_id % 4 + 1 AS STRING), ',"companyID":', CAST(user_id AS STRING), ',"description":"from ', CAST(user_id AS STRING), '","createDate":"2024-01-0', CAST(event_id % 9 + 1 AS STRING), 'T0', CAST(user_id % 9 AS STRING), ':15:00Z","resolvedDueDateTime":"soon"}]}')
        ELSE concat('{"my_ticket":[{"id":', CAST(event_id AS STRING), ',"queueID":8},{"id":', CAST(event_id + 100000 AS STRING), ',"queueID":29683506}]}') END AS body
 FROM events
+"""),
+    "mixed_envelopes": ([], """
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN concat('{"my_ticket":[{"id":', CAST(event_id AS STRING), '}]} ', event_type)
+       WHEN 1 THEN concat('{"my_ticket":[{"id":"', event_type, '"},{"id":', CAST(event_id AS STRING), ',"queueID":8}]}')
+       WHEN 2 THEN concat('{"my_ticket":[', CAST(user_id AS STRING), ',{"id":', CAST(event_id AS STRING), ',"more":{"a":[1]}}]}')
+       WHEN 3 THEN concat('{"my_ticket":[null,{"title":"', event_type, '"},[]]}') WHEN 4 THEN concat('{"other":[', CAST(user_id AS STRING), ']}')
+       WHEN 5 THEN '{"my_ticket":[]}' WHEN 6 THEN concat('{"my_ticket":{"id":', CAST(event_id AS STRING), '}}')
+       ELSE concat('{"my_ticket":[{"id":', CAST(event_id AS STRING), ',"queueID":', CAST(user_id AS STRING), '},{"id":', CAST(event_id + 100000 AS STRING), '}]}') END AS body
+FROM events
 """),
     "command_messages": ([], """
 SELECT event_id, CASE event_type WHEN 'click' THEN concat('  AskBot what is ', CAST(event_id AS STRING), ' ') WHEN 'view' THEN 'GetNextTicket' WHEN 'error' THEN ' mytickets'
