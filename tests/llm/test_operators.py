@@ -492,3 +492,24 @@ def test_chunks_of_a_large_payload(spark):
         assert b"".join(d for _, d in parts) == text and all(len(d) <= 1000 for _, d in parts)
     plan = chunks._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(sequence(0" in plan and "transform(" not in plan
+
+
+def test_linked_sets_share_as_many_prefix_tokens_as_the_filter_asks():
+    rng = np.random.default_rng(5)
+    for percent in (70, 80, 85):
+        for n in (1, 2, 7, 40, 900):
+            base = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+            orders = jaccard_join.Orders(rng.permutation(base)[:n // 3], percent)  # some tokens are frequent
+            for cut in {0, n // 20, n // 8, n // 5}:
+                a, b = np.unique(base[:n]), np.unique(base[cut:n + cut // 2])
+                both = len(np.intersect1d(a, b))
+                if 100 * both < percent * (len(a) + len(b) - both):
+                    continue  # not linked
+                need = -(-percent * (len(a) + len(b)) // (100 + percent))
+                assert both >= need
+                for p, q in zip(orders.prefixes(a), orders.prefixes(b)):
+                    least = need + 1 - -(-percent * max(len(a), len(b)) // 100)
+                    assert least >= 1 and len(np.intersect1d(p, q)) >= least
+                    p16, q16 = np.unique(p.astype(np.uint16)), np.unique(q.astype(np.uint16))
+                    hidden = min(len(p) - len(p16), len(q) - len(q16))
+                    assert len(np.intersect1d(p16, q16)) >= least - hidden
