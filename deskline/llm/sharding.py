@@ -4,19 +4,19 @@ Rows are put in a seeded pseudo-random order inside their source; row r of a sou
 the fractional rank (r - 1/2) / n. All rows sorted by fractional rank are cut into shards of equal
 counts, so every shard holds every source in its share of the whole.
 
-Ranks are found without ever sorting a whole source (or everything) in one task: rows are grouped
-by (stratum, range of the sort key), a window numbers the rows of one such cell, and a cell's
-offset is the running count of the cells before it, taken from the small table of cell counts.
+Ranks are found without ever sorting a whole source (or everything) in one task: rows are cut into
+ranges of the *whole* sort order, numbered inside them, and a range's offset is the running count of
+those before it. So many sources of one row, or one id on every row, are split like any other rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskline.llm.common import stored
+from deskline.operators.ranking import dense_number, stored
 
-CELL_ROWS = 20_000  # expected rows of a cell, the unit one task sorts
+CELL_ROWS = 20_000  # expected rows of a range, the unit one task sorts
 
 
 def seeded_key(seed: int, key: Column) -> Column:
@@ -24,23 +24,6 @@ def seeded_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
-def _ranked(df: DataFrame, strata: list[str], cell: str, order: list[str], rank: str) -> DataFrame:
-    """``rank`` from 1 by ``order`` inside ``strata``; ``cell`` is a number that never falls with it."""
-    inside = Window.partitionBy(*strata, cell).orderBy(*order)
-    counts = df.groupBy(*strata, cell).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*strata).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(c).alias(f"_o{c}") for c in [*strata, cell]],
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-                            F.sum("_n").over(Window.partitionBy(*strata)).alias("_total"))
-    same = [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in [*strata, cell]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return (df.withColumn("_r", F.row_number().over(inside)).join(offsets, cond)
-            .withColumn(rank, F.col("_r") + F.col("_offset"))
-            .drop("_r", "_offset", *[f"_o{c}" for c in [*strata, cell]]))
-
-
 def assign_shards(rows: DataFrame, id_col: str, source_col: str, shards: int, seed: int = 17,
                   carry: list[str] | None = None) -> DataFrame:
     """One row per input row: ``id_col``, ``carry`` columns, ``shard`` (int) and ``slot`` (from 0).
@@ -57,19 +40,15 @@ def assign_shards(rows: DataFrame, id_col: str, source_col: str, shards: int, se
                       *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     keyed = own.withColumn("_key", seeded_key(seed, F.col("_id")))
     ties = ["_key", "_id", *[f"_c{i}" for i in range(len(carry))]]
-    # The number of cells follows the row count alone; a cell number is a range of the leading 32 bits.
     keyed = stored(keyed, "shard_keys")  # narrow rows: later steps never read the input again
     total = keyed.count()
     cells = max(1, -(-total // CELL_ROWS))
-    lead = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    keyed = keyed.withColumn("_cell", F.floor(lead * F.lit(cells) / F.lit(float(1 << 32))))
-    in_source = _ranked(keyed, ["_source"], "_cell", ties, "_rank").drop("_cell")
-    shared = in_source.withColumn("_share", (F.col("_rank") * 2 - 1) / (F.col("_total") * 2).cast("double"))
-    placed = shared.drop("_total").withColumn("_cell", F.floor(F.col("_share") * cells)).withColumn("_all", F.lit(0))
-    placed = _ranked(placed, ["_all"], "_cell", ["_share", "_source", *ties], "_place")
+    in_source = dense_number(keyed, ["_source"], ties, "_rank", size="_total", ranges=cells)
+    shared = in_source.withColumn("_share", (F.col("_rank") * 2 + 1) / (F.col("_total") * 2).cast("double"))
+    placed = dense_number(shared.drop("_rank", "_total"), [], ["_share", "_source", *ties], "_place", ranges=cells)
     # exact integer cut: shard s begins at ceil(s * total / shards)
-    shard = F.expr(f"((_place - 1) * {shards}L) div {max(1, total)}L")
+    shard = F.expr(f"(_place * {shards}L) div {max(1, total)}L")
     first = F.expr(f"(_shard * {total}L + {shards - 1}L) div {shards}L")
-    return (placed.withColumn("_shard", shard).withColumn("_slot", F.col("_place") - 1 - first)
+    return (placed.withColumn("_shard", shard).withColumn("_slot", F.col("_place") - first)
             .select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)],
                     F.col("_shard").cast("int").alias("shard"), F.col("_slot").cast("long").alias("slot")))

@@ -513,3 +513,14 @@ def test_linked_sets_share_as_many_prefix_tokens_as_the_filter_asks():
                     p16, q16 = np.unique(p.astype(np.uint16)), np.unique(q.astype(np.uint16))
                     hidden = min(len(p) - len(p16), len(q) - len(q16))
                     assert len(np.intersect1d(p16, q16)) >= least - hidden
+
+
+@pytest.mark.parametrize("doc_id, source", [("id", "concat('s', id)"), ("CAST(NULL AS BIGINT)", "'one'"), ("7L", "'s'")])
+def test_shards_of_one_row_sources_and_of_one_id(spark, monkeypatch, doc_id, source):
+    data = spark.range(600).selectExpr(f"{doc_id} AS doc_id", f"{source} AS source", "id AS n")
+    got = []
+    for cell in (50, 100_000):
+        monkeypatch.setattr(sharding, "CELL_ROWS", cell)
+        out = sharding.assign_shards(data, "doc_id", "source", 8, carry=["n"])
+        got.append(sorted((r["n"], r["shard"], r["slot"]) for r in out.collect()))
+    assert got[0] == got[1] and len({(s, p) for _, s, p in got[0]}) == len(got[0]) == 600
