@@ -98,7 +98,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` of every document, and the SHA-256 of the decoded ids."""
     prepare(spark)
     path = rank_file()
-    out = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path), path)
+    # Stored in between: a task that encodes and decodes at once needs two Python workers, which live on.
+    encoded = stored(byte_bpe.encode_documents(docs, path).select("doc_id", "ids"), "encoded")
+    out = byte_bpe.decode_documents(encoded, path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
