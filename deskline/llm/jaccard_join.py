@@ -8,8 +8,9 @@ own, so a passage that many documents share does not reach the prefixes.
 1. Frequent tokens are counted over all documents (what repeats inside a task's batches, summed by
    Spark; a bounded table of the most frequent is broadcast). It only shapes the orders: any table
    gives the same result.
-2. Documents of equal token sets are one node, of which one row goes on. Tokens of the first order's
-   prefixes are dealt by hash as packed arrays; those that two or more nodes hold are kept with their nodes.
+2. Documents of equal token sets are one node, of which one row goes on. 32 bits of each token of the first order's
+   prefixes and a byte for the size of its set are dealt by hash as packed arrays; tokens that two or more nodes
+   hold whose sizes permit a link are kept with their nodes (a token kept by mistake costs time only).
 3. Stars: in each token's group of more than a few nodes every node is paired with some pivots of the
    group, so a group of g nodes gives a multiple of g pairs. Pairs must also share prefix tokens under the second and
    third order (the filters are intersected), and as many as a link of their two sizes must: if two sets
@@ -17,7 +18,8 @@ own, so a passage that many documents share does not reach the prefixes.
    s - ceil(t m) + 1 of them, m being the larger n. Pairs are then compared by 16-bit marks of their whole
    sets, which never miss a link, and those that pass by the sets themselves.
 4. What is left are pairs of nodes in different components that share a prefix token. In small token
-   groups each such pair is formed once, passes the same filters and is compared; large groups are
+   groups each such pair is formed, its common tokens of the first order's prefixes are counted (what large groups may
+   add is granted to it), it passes the same filters and is compared; large groups are
    cut into tiles, and a task applies the filters and the comparison to two tiles at a time and
    returns a spanning forest of the links it finds. Pairs inside a component can add nothing to the
    components, so no link that matters is lost and no large group's pairs are listed.
@@ -29,6 +31,7 @@ are taken to differ.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,6 +48,7 @@ COUNT_TOKENS = 1 << 21  # tokens of a counting batch (different texts only); wha
 STAR = 8  # nodes of a token's group up to which all its pairs are formed at once
 LARGE = 64  # nodes of a token's group that are compared pair by pair; larger groups go in tiles
 BUCKET_TOKENS = 1 << 21  # expected prefix tokens of one hash bucket
+DEAL_TOKENS = 1 << 19  # prefix tokens of a task that are dealt at once
 MARKED = 1 << 15  # sets up to this size have 16-bit marks; larger ones are compared whole at once
 TILE_NODES, TILE_TOKENS = 1024, 1 << 18  # expected nodes, and tokens of their sets, of a tile
 PIVOTS = (0, 0x2AAAAAAAAAAAAAAA, 0x5555555555555555, 0x3333333333333333)  # masks: each picks another member
@@ -222,81 +226,109 @@ def _links(own: DataFrame, tab: DataFrame, width: int, percent: int) -> DataFram
     """Links ``a``, ``b`` between nodes whose components are those of all links."""
     # One row of each node goes on: rows that repeat a text (and an id) never meet one another.
     first = tab.filter("n > 0").groupBy("node").agg(F.min("row").alias("r"))
-    nodes = tab.join(small(stored(first.select("r"), "first_rows")), F.col("row") == F.col("r"), "left_semi")
+    first = small(stored(first.select("r"), "first_rows"))
+    nodes = tab.join(first, F.col("row") == F.col("r"), "left_semi")
     # Tokens in the first order's prefixes of two nodes or more, each with its nodes.
-    several = small(stored(_repeated(nodes.select("p0")), "several"))
+    codes, code = _repeated(nodes.select("n", "p0"), percent)
+    several = small(stored(codes, "several"))
     entries = nodes.select("node", "n", F.explode("p0").alias("token"))
-    shared = stored(entries.join(several, "token", "left_semi"), "shared")
-    # Tokens held by the very same nodes (near copies share dozens) tell the same: one of them stays.
+    shared = stored(entries.join(several, F.expr(code) == F.col("code"), "left_semi"), "shared")
+    # Tokens held by the very same nodes (near copies share dozens) tell the same: one of them stays, with their number.
     same = shared.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min("node").alias("lo"), F.max("node").alias("hi"),
-                                       F.bit_xor(F.xxhash64("node")).alias("mark"))
-    same = small(stored(same.groupBy("g", "lo", "hi", "mark").agg(F.min("token").alias("token")).select("token"), "tokens"))
-    shared = stored(shared.join(same, "token", "left_semi"), "shared")
+                                       F.bit_xor(F.xxhash64("node")).alias("mark")).filter("g > 1")
+    same = same.groupBy("g", "lo", "hi", "mark").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("w"))
+    shared = stored(shared.join(small(stored(same.select("token", "g", "w"), "tokens")), "token"), "shared")
     drop_finished_shuffles(own.sparkSession)
     standing = small(stored(shared.select("node").distinct(), "nodes"))
-    slim = stored(nodes.join(standing, "node", "left_semi").select("node", F.col("id").alias("i"), "n", "p1", "p2"), "slim")
+    slim = tab.join(standing, "node", "left_semi").join(first, F.col("row") == F.col("r"), "left_semi")
+    slim = stored(slim.select("node", F.col("id").alias("i"), "n", "p1", "p2"), "slim")
 
     # Stars around a few pivots of the token groups that have more nodes than can be paired at once.
-    pivots = shared.groupBy("token").agg(F.count(F.lit(1)).alias("g"), *[
-        F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"v{i}") for i, m in enumerate(PIVOTS)])
-    pivots = pivots.filter(F.col("g") > STAR).drop("g")
-    stars = shared.join(pivots, "token").select("node", F.explode(F.array_distinct(F.array(
-        *[f"v{i}" for i in range(len(PIVOTS))]))).alias("v")).filter("node <> v")
-    stars = stars.select(F.least("node", "v").alias("a"), F.greatest("node", "v").alias("b")).distinct()
+    starred = shared.filter(F.col("g") > STAR)
+    pivots = starred.groupBy("token").agg(*[
+        F.min(F.struct(F.col("node").bitwiseXOR(F.lit(m)).alias("k"), F.col("n").alias("vn"))).alias(f"v{i}")
+        for i, m in enumerate(PIVOTS)])
+    pivots = pivots.select("token", F.array(*[
+        F.struct(F.col(f"v{i}.k").bitwiseXOR(F.lit(m)).alias("v"), F.col(f"v{i}.vn").alias("vn"))
+        for i, m in enumerate(PIVOTS)]).alias("pivots"))
+    stars = starred.join(pivots, "token").select("node", "n", F.explode(F.array_distinct("pivots")).alias("p"))
+    stars = stars.filter(f"node <> p.v AND 100 * least(n, p.vn) >= {percent} * greatest(n, p.vn)").select(
+        F.least("node", "p.v").alias("a"), F.greatest("node", "p.v").alias("b")).distinct()
     near = _verified(stars, own, slim, width, percent)
 
     # Pairs that still lie in different components.
     comp = components(near, "a", "b")
     comp = small(stored(comp, "near_components"))
     drop_finished_shuffles(own.sparkSession)
-    placed = shared.join(comp, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
+    placed = shared.join(comp, "node", "left").select("token", "node", "n", "g", "w", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
     placed = stored(placed.join(small(stored(mixed, "mixed_tokens")), "token", "left_semi"), "mixed")
-    sizes = placed.groupBy("token").agg(F.count(F.lit(1)).alias("g"))
-    few = placed.join(sizes.filter(F.col("g") <= LARGE).select("token"), "token", "left_semi")
+    few, many = placed.filter(F.col("g") <= LARGE), stored(placed.filter(F.col("g") > LARGE), "many")
     x, y = few.alias("x"), few.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr("x.c < y.c")
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr("x.node < y.node AND x.c <> y.c")
                    & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    cross = cross.distinct()
-    many = placed.join(sizes.filter(F.col("g") > LARGE).select("token"), "token", "left_semi")
+    cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("an"),
+                          F.col("y.n").alias("bn")).agg(F.sum("x.w").alias("w"))
+    # Large groups are not listed by pairs: a pair may share as many of their tokens as each of its nodes has.
+    more = small(stored(many.groupBy("node").agg(F.sum("w").alias("more")), "in_many"))
+    for side in ("a", "b"):
+        cross = cross.join(more.select(F.col("node").alias(side), F.col("more").alias(f"{side}_more")), side, "left")
+    in_prefix = _links_need("an", "bn", percent)[1]
+    cross = cross.filter(f"w + least(coalesce(a_more, 0L), coalesce(b_more, 0L)) >= {in_prefix}").select("a", "b")
     return near.unionByName(_verified(cross, own, slim, width, percent)).unionByName(
-        _tiled(stored(many, "many"), own, slim, width, percent))
+        _tiled(many, own, slim, width, percent))
 
 
-def _repeated(prefixes: DataFrame) -> DataFrame:
-    """``token``: those that stand in two or more rows of ``p0`` (a row holds a token once).
+def _size_class(n, percent: int) -> np.ndarray:
+    """A number below 256 for sizes of sets; those of linked sets differ by one at most."""
+    step = max(-math.log(percent / 100), 0.1) * (1 + 1e-9)  # a little wide, so that rounding never makes it two
+    return np.floor(np.log(np.asarray(n, dtype=np.float64)) / step).astype(np.uint8)
 
-    Tokens travel as arrays of 64-bit numbers, one a batch and bucket of their hash, not as rows."""
+
+def _repeated(prefixes: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """``code`` of the tokens in ``p0`` of two or more rows whose sizes ``n`` permit a link, and SQL for a ``token``'s code.
+
+    A row holds a token once. A code is a token's bucket and 32 of its bits, so now and then it stands for other tokens, too.
+    Tokens travel as packed arrays, one a batch and bucket, not as rows."""
     total = prefixes.agg(F.sum(F.size("p0"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_TOKENS))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
+        classes: list[np.ndarray] = []
         size = 0
 
         def flush() -> pd.DataFrame:
-            tokens = np.concatenate(held)
-            bucket = (_mix(tokens.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            tokens = np.concatenate(held).view(np.uint64)
+            bucket = (tokens & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.diff(bucket[order])) + 1
-            names = bucket[order][np.concatenate([[0], cut])]
-            return pd.DataFrame({"bucket": names, "tokens": [x.tobytes() for x in np.split(tokens[order], cut)]})
+            names = bucket[order][np.concatenate([[0], cut])].astype(np.int64)
+            parts = [np.split(x[order], cut) for x in ((tokens >> np.uint64(32)).astype(np.uint32), np.concatenate(classes))]
+            return pd.DataFrame({"bucket": names, **{k: [x.tobytes() for x in v] for k, v in zip(("tokens", "classes"), parts)}})
 
         for batch in batches:
-            held += [np.asarray(p, dtype=np.int64) for p in batch["p0"] if len(p)]
-            size += sum(map(len, batch["p0"]))
-            if size >= COUNT_TOKENS:
-                yield flush()
-                held, size = [], 0
-        if held:
+            for p, k in zip(batch["p0"], _size_class(batch["n"], percent)):
+                held.append(np.asarray(p, dtype=np.int64))
+                classes.append(np.full(len(p), k, np.uint8))
+                size += len(p)
+                if size >= DEAL_TOKENS:
+                    yield flush()
+                    held, classes, size = [], [], 0
+        if size:
             yield flush()
 
     def repeats(group: pd.DataFrame) -> pd.DataFrame:
-        tokens, n = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in group["tokens"]]), return_counts=True)
-        return pd.DataFrame({"token": tokens[n > 1]})
+        tokens = np.frombuffer(b"".join(group["tokens"]), np.uint32).astype(np.uint64) << np.uint64(8)
+        tokens |= np.frombuffer(b"".join(group["classes"]), np.uint8)
+        tokens.sort()
+        close = (tokens[1:] - tokens[:-1] <= np.uint64(1)) & (tokens[1:] >> np.uint64(8) == tokens[:-1] >> np.uint64(8))
+        found = np.unique(tokens[1:][close] >> np.uint64(8)).view(np.int64)
+        return pd.DataFrame({"code": found + (int(group["bucket"].iloc[0]) << 32)})
 
-    return prefixes.mapInPandas(deal, "bucket long, tokens binary").groupBy("bucket").applyInPandas(repeats, "token long")
+    dealt = prefixes.mapInPandas(deal, "bucket long, tokens binary, classes binary")
+    code = f"shiftleft((token & 4294967295L) % {buckets}L, 32) + shiftrightunsigned(token, 32)"
+    return dealt.groupBy("bucket").applyInPandas(repeats, "code long"), code
 
 
 def _tiled(many: DataFrame, own: DataFrame, slim: DataFrame, width: int, percent: int) -> DataFrame:
@@ -320,7 +352,8 @@ def _tiled(many: DataFrame, own: DataFrame, slim: DataFrame, width: int, percent
     right = rows.select("token", "node", F.lit(1).alias("side"), F.explode(F.expr("sequence(0L, left_tiles - 1)")).alias("l"),
                         F.expr("pmod(xxhash64(node, 2), right_tiles)").alias("r"))
     dealt = left.unionByName(right)
-    whole = _sets(own, slim, many.select(F.col("node").alias("m")).distinct(), width)
+    slim = _slim_of(slim, many.select("node"))
+    whole = _sets(own, slim, width)
     dealt = dealt.join(whole.join(slim.select("node", "p1", "p2"), "node"), "node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -383,17 +416,19 @@ def _verified(pairs: DataFrame, own: DataFrame, slim: DataFrame, width: int, per
     def size(n: str) -> str:  # of a prefix
         return f"{n} - ({percent}L * {n} + 99L) div 100L + 1L"
 
+    pairs = stored(pairs, "formed")
+    near = _slim_of(slim, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     # What falls together among 16-bit tokens of one prefix hides as many common ones, and no more.
     hidden = f"least({size('an')} - size(ap), {size('bn')} - size(bp))"
     for p in ("p1", "p2"):  # one filter after the other, so that few pairs carry the second one's prefixes
-        left = slim.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col(p).alias("ap"))
-        right = slim.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col(p).alias("bp"))
+        left = near.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col(p).alias("ap"))
+        right = near.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col(p).alias("bp"))
         pairs = pairs.join(left, "a").join(right, "b").filter(
             f"100 * least(an, bn) >= {percent} * greatest(an, bn) AND arrays_overlap(ap, bp) "
             f"AND size(array_intersect(ap, bp)) >= {in_prefix} - {hidden}").select("a", "b")
     pairs = stored(pairs, "pairs")
     drop_finished_shuffles(own.sparkSession)
-    whole = _sets(own, slim, pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct(), width)
+    whole = _sets(own, _slim_of(near.select("node", "i"), pairs.select(F.explode(F.array("a", "b")).alias("node"))), width)
     # Links have at least ``least`` tokens in common. Marks that fall together inside a set hide as many of them.
     left = whole.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("marks").alias("am"))
     right = whole.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("marks").alias("bm"))
@@ -409,10 +444,15 @@ def _verified(pairs: DataFrame, own: DataFrame, slim: DataFrame, width: int, per
     return stored(both.filter(f"100L * common >= {percent}L * (sum - common)").select("a", "b"), "links")
 
 
-def _sets(own: DataFrame, slim: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """``node``, ``n``, ``tokens`` and their 16-bit ``marks`` (null for large sets) of the nodes in ``nodes.m``, each once."""
-    chosen = stored(slim.select("node", "i").join(nodes, F.col("node") == F.col("m"), "left_semi"), "ids")
-    ids, wanted = small(chosen.select("i").distinct()), small(chosen.select(F.col("node").alias("m")))
+def _slim_of(slim: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``slim`` whose ``node`` is in ``nodes``, stored: only these are moved by joins."""
+    wanted = small(stored(nodes.select(F.col("node").alias("m")).distinct(), "wanted"))
+    return stored(slim.join(wanted, F.col("node") == F.col("m"), "left_semi"), "slim")
+
+
+def _sets(own: DataFrame, slim: DataFrame, width: int) -> DataFrame:
+    """``node``, ``n``, ``tokens`` and their 16-bit ``marks`` (null for large sets) of the nodes in ``slim``, each once."""
+    ids, wanted = small(slim.select("i").distinct()), small(slim.select(F.col("node").alias("m")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()  # of the task
