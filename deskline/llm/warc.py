@@ -28,6 +28,7 @@ CHUNK = 64 << 10  # payload bytes of a chunk row
 READ = 256 << 10  # compressed bytes read at once
 ARCHIVE_BYTES = 1 << 30  # a task begins another archive beyond this size
 MIN_REVISIT = 1000  # smaller payloads are always stored
+BROADCAST_REVISITS = 1 << 18  # more of them are not broadcast, however small their packed files
 DATE = "2024-01-01T00:00:00Z"  # WARC-Date of every record: archives depend on their input only
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "<urn:page:{}>"
@@ -52,6 +53,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     revisits = stored(narrow.select("id", "digest").join(latest, "digest").filter("NOT (id <=> refers_to)")
                       .select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to").distinct(),
                       "revisits")
+    if revisits.count() > BROADCAST_REVISITS:
+        revisits = revisits.hint("merge")
     out = own.join(revisits, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
                    & (F.col("bytes") >= min_revisit), "left")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
@@ -136,13 +139,13 @@ class _Unzipped:
     def more(self) -> bool:
         """Unpack up to READ more bytes into ``held``; False at the end of the file."""
         while True:
-            if self.unzip.eof:
-                self.raw, self.unzip = self.unzip.unused_data + self.raw, zlib.decompressobj(31)
             if not self.raw and not (raw := self.stream.read(READ)):
                 return False
             self.raw = self.raw or raw
             got = self.unzip.decompress(self.raw, READ)
             self.raw = self.unzip.unconsumed_tail
+            if self.unzip.eof:  # after a member of several reads, both names hold what follows it
+                self.raw, self.unzip = self.unzip.unused_data, zlib.decompressobj(31)
             if got:
                 self.held += got
                 return True
