@@ -14,7 +14,7 @@ def _path(p):
     return p.replace("file://", "", 1).replace("file:", "", 1)
 
 
-@pytest.mark.parametrize("name", ["stream_units", "stream_time_entries"])
+@pytest.mark.parametrize("name", ["stream_units", "stream_time_entries", "stream_feed_counts"])
 def test_only_the_last_version_and_no_feed_stay(spark, sf_dir, monkeypatch, name):
     made = []
 
